@@ -16,5 +16,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), into="found")
+    base = F.filter("found", lambda s: s["kind"].isin(*[k.name for k in pii.KINDS if k.base]))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("found")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op6_pii, op8_quality_rules)}
 ORACLES: dict[str, str] = {}
