@@ -37,6 +37,15 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(every))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = lambda c: F.coalesce(F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    model = langid.fit(langid.sample(docs.where(~held("doc_id"))))
+    return langid.predict(docs, model).select("doc_id", held("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -74,5 +83,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op4_language_id, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing)}
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
