@@ -37,6 +37,14 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(every))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, docs.where(~lm.held_out(F.col("doc_id"))).select("text"))
+    return scored.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -83,5 +91,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op4_language_id, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_language_id, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing)}
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
