@@ -54,6 +54,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True).withColumnRenamed("kept_text", "kept_sha256")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -97,5 +103,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_language_id, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_language_id, op5_substring_dedup, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
