@@ -1,6 +1,4 @@
-"""Named queries over the driver's tables with their SQL."""
+"""All named queries over the driver's tables."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import reports, structure  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
