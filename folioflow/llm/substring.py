@@ -39,7 +39,7 @@ ANCHOR = 8
 HOT = 1 << 16
 RUNS = 1024
 ANCHOR_BITS = 0.1  # of the filter, a byte of text; about ten an anchor
-FLUSH = 2_000_000
+FLUSH = 700_000
 
 
 def _windows(w, width: int, anchor: int):
