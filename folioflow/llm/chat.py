@@ -157,12 +157,15 @@ def fold(tree):
     """A node of constants becomes its value; a constant side decides and/or."""
     op = tree[0]
     if op in _BINARY and tree[1][0] == tree[2][0] == "const":
-        return ("const", _BINARY[op](tree[1][1], tree[2][1]))
+        try:
+            return ("const", _BINARY[op](tree[1][1], tree[2][1]))
+        except TypeError as e:
+            raise TemplateError(str(e)) from e
     if op in ("and", "or") and tree[1][0] == "const":
         return tree[2] if bool(tree[1][1]) == (op == "and") else tree[1]
     if op == "not" and tree[1][0] == "const":
         return ("const", not tree[1][1])
-    if op == "filter" and tree[2][0] == "const":
+    if op == "filter" and tree[2][0] == "const" and isinstance(tree[2][1], str):
         return ("const", FILTERS[tree[1]](tree[2][1]))
     return tree
 
