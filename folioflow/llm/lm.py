@@ -34,7 +34,7 @@ SEGMENT_BYTES = 8 << 20
 HASHES = 3
 LEVELS = 48
 ALPHA = 2.0
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 END = _U(0x5EED0E4D5EED0E4D)
 _TOP = _U(0xFFFF000000000000)
 _LOW = _U(0x0000FFFFFFFFFFFF)
