@@ -76,7 +76,7 @@ def plan(sizes: DataFrame, **rule) -> DataFrame:
     sources = settle(source_targets(sizes, **rule).withColumn("shards", F.ceil(F.col("n_docs") / SHARD_DOCS).cast("bigint")))
     least = sources.where("target > 0").agg(F.min("target").alias("t"), F.sum("target").alias("s")).first()
     block = max(1, min(MAX_BLOCK, int((least["t"] or 0) // 1000)))
-    seats = round((least["s"] or 0) / block)
+    seats = int((least["s"] or 0) / block + 0.5)
     quotas = apportion(sources.withColumn("seats", F.lit(seats).cast("bigint")), [], [F.col("source").asc_nulls_last()], "target", "seats", "quota")
 
     placed = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select(sizes["doc_id"], sizes["source"], "size", "source_size", "target", "shards")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from ._shared import shared_dir, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,4 +105,4 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_language_id, op5_substring_dedup, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing, op10_ngram_jaccard)}
-ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_substring_dedup": oracles.OP5, "op7_decontamination": oracles.OP7, "op8_quality_rules": oracles.OP8, "op9_mixing": oracles.OP9}
