@@ -100,3 +100,67 @@ SELECT conv_id, turn, CASE WHEN h <> '' AND h = lower(regexp_replace(trim(split_
 def heading_echo_removed(t: Tables):
     b = t.conversations.select("conv_id", "turn", (F.col("role") == "user").alias("is_heading"), "text")
     return windows.drop_repeated_first_line(b, ["conv_id"], ["turn"], "text", "is_heading").select("conv_id", "turn", "text")
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn AS id, CASE WHEN turn = 0 THEN NULL ELSE (turn - 1) // 2 END AS parent FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, parent ORDER BY id) AS nth FROM t),
+w AS (SELECT conv_id, id, 0 AS depth, lpad(CAST(nth AS VARCHAR), 8, '0') AS path, CAST(nth AS VARCHAR) AS number FROM n WHERE parent IS NULL UNION ALL SELECT n.conv_id, n.id, w.depth + 1, w.path || '.' || lpad(CAST(nth AS VARCHAR), 8, '0'), w.number || '.' || nth FROM w JOIN n ON n.conv_id = w.conv_id AND n.parent = w.id)
+SELECT conv_id, id AS block_id, depth, number, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY path) AS INTEGER) AS "position" FROM w""")
+def tree_preorder(t: Tables):
+    from ..operators import blocks
+
+    b = t.conversations.select("conv_id", F.col("turn").alias("block_id"), F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2)).alias("parent_id"), F.col("turn").alias("reading_order"))
+    return blocks.preorder(b, ["conv_id"])
+
+
+@query("""SELECT conv_id, string_agg(trim(text), chr(10) ORDER BY turn) AS page_text FROM conversations WHERE role <> 'system' AND trim(text) <> '' GROUP BY conv_id""")
+def evaluation_text(t: Tables):
+    from ..operators import blocks
+
+    b = t.conversations.select("conv_id", F.col("turn").alias("block_id"), F.col("turn").alias("reading_order"), "text", F.when(F.col("role") == "system", "rejected").otherwise("verified").alias("status"))
+    return blocks.page_texts(b, ["conv_id"])
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderkey % 7 AS r, o_orderkey % 3 AS k, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS v FROM orders)
+SELECT o_custkey, CASE WHEN max(r) + 1 < 2 OR max(k) + 1 < 2 THEN 0.25 ELSE (avg(CASE WHEN trim(v) <> '' THEN 1.0 ELSE 0.0 END) + count(DISTINCT (r, k)) / ((max(r) + 1) * (max(k) + 1))) / 2 END AS table_quality FROM c GROUP BY 1""")
+def table_quality(t: Tables):
+    from ..operators import blocks
+
+    c = t.orders.select("o_custkey", (F.col("o_orderkey") % 7).alias("row"), (F.col("o_orderkey") % 3).alias("col"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderstatus")).alias("text"))
+    return blocks.table_quality(c, ["o_custkey"])
+
+
+@query("""SELECT user_id, count(*) FILTER (WHERE event_id % 4 > 0 AND event_type = 'view') AS full_page_calls, count(*) FILTER (WHERE event_id % 4 > 0 AND event_type = 'click') AS crop_calls, CAST(coalesce(sum(event_id % 100) FILTER (WHERE event_id % 4 > 0), 0) AS BIGINT) AS image_pixels,
+  CAST(coalesce(sum(event_id % 100) FILTER (WHERE event_id % 4 > 0 AND event_type = 'click'), 0) AS BIGINT) AS crop_pixels, round(coalesce(sum((event_id % 100) / (event_id % 6)) FILTER (WHERE event_id % 4 > 0 AND event_id % 6 > 0), 0.0), 9) AS full_page_equivalents,
+  count(*) FILTER (WHERE event_type <> 'view') AS repair_calls, CAST(count(DISTINCT event_id % 10) FILTER (WHERE event_type <> 'view') AS INTEGER) AS repaired_targets FROM events GROUP BY user_id""")
+def run_telemetry(t: Tables):
+    from ..operators import blocks
+
+    e = t.events.select("user_id", (F.col("event_id") % 4).alias("image_count"), F.expr("CASE event_type WHEN 'view' THEN 'full_page' WHEN 'click' THEN 'crop_batch' ELSE 'other' END").alias("image_scope"), (F.col("event_id") % 100).alias("image_pixels"), (F.col("event_id") % 6).alias("source_page_pixels"), F.when(F.col("event_type") == "view", "page_draft").otherwise("repair").alias("action"), F.array(F.col("event_id") % 10).alias("target_ids"))
+    return blocks.run_telemetry(e, ["user_id"]).withColumn("full_page_equivalents", F.round("full_page_equivalents", 9))
+
+
+@query("""WITH b AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 10 AS DOUBLE) / 10 END AS confidence, o_orderstatus = 'F' AS risky, o_orderstatus = 'O' AS doubtful FROM orders)
+SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN risky THEN 1 ELSE 2 END, confidence NULLS LAST, o_orderkey) AS INTEGER) AS rank FROM b WHERE risky OR doubtful QUALIFY rank <= 3""")
+def repair_order(t: Tables):
+    from ..operators import blocks
+
+    b = t.orders.select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("block_id"), F.col("o_orderkey").alias("reading_order"), F.when(F.col("o_orderkey") % 6 != 0, (F.col("o_orderkey") % 10).cast("double") / 10).alias("confidence"), F.when(F.col("o_orderstatus") == "F", F.array(F.lit("structure"))).otherwise(F.array().cast("array<string>")).alias("risks"), (F.col("o_orderstatus") == "O").alias("doubtful"))
+    return blocks.repair_order(b, ["o_custkey"], 3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query()
+def lexical_retrieval(t: Tables):
+    from ..operators import blocks
+
+    e = t.conversations.select("conv_id", F.col("turn").alias("idx"), F.when(F.col("role") == "system", "heading").otherwise("paragraph").alias("type"), "text")
+    return blocks.retrieve(e, "the order of the pages", ["conv_id"], k=3)
+
+
+@query("""WITH l AS (SELECT conv_id, turn, trim(line) AS line, regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '^[ |]+|[ |]+$', '', 'g') AS key, pos FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM conversations) q),
+h AS (SELECT conv_id, key, count(*) AS held FROM l WHERE turn % 2 = 0 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn * 100000 + pos) AS nth FROM l WHERE turn % 2 = 1)
+SELECT conv_id, turn * 100000 + pos AS pos, line FROM o LEFT JOIN h USING (conv_id, key) WHERE nth > coalesce(held, 0) AND line <> ''""")
+def residual_lines(t: Tables):
+    from ..operators import blocks
+
+    l = t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("conv_id", "turn", (F.col("turn") * 100000 + F.col("p")).alias("pos"), "line")
+    return blocks.residual_lines(l.where("turn % 2 = 1"), l.where("turn % 2 = 0"), ["conv_id"])
