@@ -6,6 +6,7 @@ A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 
 
@@ -43,6 +44,15 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between stages, and one executor's workers share its limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose every output bit depends on every input bit."""
     x = x ^ (x >> _U(30))
@@ -70,7 +80,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.ones(max(n, 1 << 16), _U)
         have[1:] = base & 0xFFFFFFFFFFFFFFFF
         have = np.multiply.accumulate(have)
-        if n <= 4 * PIECE:
+        if n <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
@@ -144,6 +154,7 @@ def words_of(column: pa.Array, size: int = PIECE):
         after[:-1] = inside[1:]
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         yield Words(i, j, own, at, starts, ends, np.searchsorted(starts, at), inside)
+    release()
 
 
 def per_row(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:

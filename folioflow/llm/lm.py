@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _U, buffers, mix, settle, text_bytes, words_of
+from ._shared import _U, mix, release, settle, text_bytes, words_of
 
 HEAD = 1 << 21
 BITS_PER_BYTE = 0.6
@@ -123,6 +123,7 @@ def _segments(batches):
             if segment != at and held:
                 yield done()
                 held = []
+                release()
             at = segment
             held.append((np.frombuffer(keys, _U), np.frombuffer(counts, np.uint32).astype(np.int64)))
             if sum(len(h[0]) for h in held) > 4 * FLUSH:

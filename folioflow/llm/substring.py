@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _U, mix, settle, span_hash, text_bytes, words_of
+from ._shared import _U, mix, release, settle, span_hash, text_bytes, words_of
 from .lm import MAX_FILTER, SEGMENT_BYTES, Filter, _place, HASHES
 
 WIDTH = 50
@@ -39,7 +39,7 @@ ANCHOR = 8
 HOT = 1 << 16
 RUNS = 1024
 ANCHOR_BITS = 0.1  # of the filter, a byte of text; about ten an anchor
-FLUSH = 700_000
+FLUSH = 400_000
 
 
 def _windows(w, width: int, anchor: int):
@@ -237,6 +237,8 @@ def _meet(batches):
             held.append((np.frombuffer(hashes, _U), docs[own, 0], docs[own, 1], places))
         if held:
             runs, _ = _resolve(*(np.concatenate(x) for x in zip(*held)))
+            held = []
+            release()
             if len(runs[0]):
                 yield batch_of(runs)
 
