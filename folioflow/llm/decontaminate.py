@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of benchmark words, found in documents by a broadcast hash set, verified and removed.
 
 Words are runs of a-z, 0-9 and everything beyond ASCII, after lowering A-Z. A window is ``WINDOW`` consecutive words of an
-item, or a shorter item's words as a whole. Documents are cut into chunks of words, each chunk into windows, and each
-window's text probes the set of benchmark windows: the join hashes it and then compares the whole text, so a hit is exact.
+item, or a shorter item's words as a whole. The set of windows is hashed by each window's longest word; documents are cut into chunks of words,
+every word probes the set, and the window around a word that is found is compared as a whole, so a hit is exact.
 The set is broadcast when it has at most ``BROADCAST_WINDOWS`` windows (checked by counting), else the join is shuffled.
 
 Null or empty texts, or texts without words, have no hits; so have null items. Repeated rows get equal results; extra
@@ -38,19 +38,18 @@ def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return w.select("item", "width", F.explode(keys).alias("key")).groupBy("key", "width").agg(F.collect_set("item").alias("items"))
 
 
-def _probes(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """doc_id, row_hash, pos, key: each window of the widths in use, chunk by chunk."""
-    most = max(widths)
-    chunks = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(CHUNK)), lambda s: F.struct(s.alias("at"), F.slice("w", s + 1, CHUNK + most - 1).alias("w")))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    rows = rows.select("doc_id", "row_hash", F.explode(chunks).alias("c")).select("doc_id", "row_hash", F.col("c.at").alias("at"), F.col("c.w").alias("w"))
+def anchored(known: DataFrame) -> DataFrame:
+    """The windows with the word they are looked up by, and its place: the longest word, of equals the first."""
+    w = F.split("key", " ")
+    best = F.array_max(F.transform(w, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("at"))))
+    return known.withColumn("anchor_at", -best["at"]).withColumn("anchor", F.element_at(w, F.col("anchor_at") + 1))
 
-    def of(width: int) -> Column:
-        last = F.least(F.size("w") - width, F.lit(CHUNK - 1))
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i + 1, width), " ").alias("key")))).otherwise(F.array().cast("array<struct<i:int,key:string>>"))
 
-    windows = F.concat(*[of(x) for x in widths]) if len(widths) > 1 else of(widths[0])
-    return rows.select("doc_id", "row_hash", "at", F.explode(windows).alias("x")).select("doc_id", "row_hash", (F.col("at") + F.col("x.i")).alias("pos"), F.col("x.key").alias("key"))
+def _chunks(docs: DataFrame, most: int) -> DataFrame:
+    """doc_id, row_hash, at, w: each text's words in chunks that overlap by a window less a word."""
+    cut = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(CHUNK)), lambda s: F.struct(s.alias("at"), F.slice("w", s + 1, CHUNK + most - 1).alias("w")))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return rows.select("doc_id", "row_hash", F.explode(cut).alias("c")).select("doc_id", "row_hash", F.col("c.at").alias("at"), F.col("c.w").alias("w"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -59,9 +58,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
     sizes = known.groupBy("width").count().collect()  # at most width rows
     if not sizes:
         return known.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("row_hash"), F.array().cast("array<int>").alias("places"), "items").where("false")
-    probes = _probes(docs, sorted(r["width"] for r in sizes))
-    side = F.broadcast(known) if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS else known
-    found = probes.join(side, "key").groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("pos", "width")).alias("runs"), F.flatten(F.collect_set("items")).alias("items"))
+    side = anchored(known)
+    if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS:
+        side = F.broadcast(side)
+    probes = _chunks(docs, max(r["width"] for r in sizes)).select("doc_id", "row_hash", "at", "w", F.posexplode("w").alias("i", "word"))
+    start = F.col("i") - F.col("anchor_at")
+    inside = (start >= 0) & (start < CHUNK) & (start + F.col("width") <= F.size("w"))
+    same = F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("width")), " ") == F.col("key")
+    found = probes.join(side, (F.col("word") == F.col("anchor")) & inside & same).select("doc_id", "row_hash", (F.col("at") + start).alias("pos"), "width", "items")
+    found = found.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("pos", "width")).alias("runs"), F.flatten(F.collect_set("items")).alias("items"))
     places = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["width"] - 1))))
     return found.select("doc_id", "row_hash", places.alias("places"), F.array_sort(F.array_distinct("items")).alias("items"))
 
