@@ -31,7 +31,7 @@ s AS (SELECT doc_id, CASE WHEN o_orderkey % 23 = 0 THEN n * 2 ELSE n * 2 - 1 END
 
 def _segments(t: Tables):
     s = windows.numbering(t.orders, ["o_custkey"], ["o_orderkey"])
-    return s.select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderkey") % 23 == 0, F.col("n") * 2).otherwise(F.col("n") * 2 - 1).alias("start_page"), (F.col("n") * 2).alias("end_page"), F.col("o_orderpriority").alias("category"), ((F.col("o_orderkey") % 100).cast("double") / 100).alias("confidence"), "o_orderkey", (F.col("n") % 2 == 0).alias("at_boundary"))
+    return s.select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderkey") % 23 == 0, F.col("n") * 2).otherwise(F.col("n") * 2 - 1).cast("bigint").alias("start_page"), (F.col("n") * 2).cast("bigint").alias("end_page"), F.col("o_orderpriority").alias("category"), ((F.col("o_orderkey") % 100).cast("double") / 100).alias("confidence"), "o_orderkey", (F.col("n") % 2 == 0).alias("at_boundary"))
 
 
 @query(f"""WITH {SEGMENTS_SQL}, k AS (SELECT *, start_page = coalesce(lag(end_page) OVER (PARTITION BY doc_id ORDER BY start_page, end_page) + 1, 1) AND start_page <= end_page AS ok, 2 * count(*) OVER (PARTITION BY doc_id) AS n_pages FROM s)
@@ -197,7 +197,7 @@ SELECT s.o_custkey, o_orderkey, unnest([2 * n - 1, 2 * n]) AS page FROM s""")
 def pages_of_segments(t: Tables):
     s = windows.numbering(t.orders, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", (F.col("n") * 2 - 1).alias("start_page"), (F.col("n") * 2).alias("end_page"))
     pages = s.groupBy("o_custkey").agg(F.max("end_page").alias("m")).select("o_custkey", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("page"))
-    return joins.pages_of_segments(s, pages, ["o_custkey"]).select("o_custkey", "o_orderkey", "page")
+    return joins.pages_of_segments(s, pages, ["o_custkey"]).select("o_custkey", "o_orderkey", F.col("page").cast("bigint").alias("page"))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, CAST(event_id % 40 AS BIGINT) * 10 AS s, CAST(event_id % 9 AS BIGINT) AS nl FROM (SELECT DISTINCT ON (user_id, event_id % 40) * FROM events ORDER BY user_id, event_id % 40, event_id) q)

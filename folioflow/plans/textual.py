@@ -143,7 +143,7 @@ def json_leaves(t: Tables):
 
 
 @query("""WITH a AS (SELECT event_id AS doc_id, CAST(json_extract(props, '$.k') AS INTEGER) AS v FROM events), b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN v + 1 ELSE v END AS w FROM a)
-SELECT doc_id, CAST(CASE WHEN v = w THEN 1 ELSE 0 END AS BIGINT) AS exact_matches, CASE WHEN v = w THEN 1.0 ELSE 0.0 END AS "precision", CASE WHEN v = w THEN 1.0 ELSE 0.0 END AS recall, CASE WHEN v = w THEN 1.0 ELSE 0.0 END AS f1 FROM a JOIN b USING (doc_id)""")
+SELECT doc_id, CAST(CASE WHEN v = w THEN 1 ELSE 0 END AS BIGINT) AS exact_matches, CAST(v = w AS DOUBLE) AS "precision", CAST(v = w AS DOUBLE) AS recall, CAST(v = w AS DOUBLE) AS f1 FROM a JOIN b USING (doc_id)""")
 def leaf_match(t: Tables):
     from ..operators import metrics
 

@@ -12,4 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    from folioflow.session import ship
+
+    ship(s)
     return s
