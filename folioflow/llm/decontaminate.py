@@ -86,9 +86,10 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFr
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_share: float = MAX_SHARE) -> DataFrame:
     """docs without the hit words (with the separators after them); documents with more than max_share of their words hit go. n_chars is set anew."""
     both = _joined(docs.withColumn("_ff_key", F.xxhash64("doc_id", "text")), hits(docs, benchmark, width))
-    text, places = F.col("text"), F.col("_ff_places")
-    # each piece is a word with what follows it up to the next word; what stands before the first word stays
-    pieces = F.regexp_extract_all(text, F.lit(rf"{WORD_ANY_CASE}[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
+    text, places, pieces = F.col("text"), F.col("_ff_places"), F.col("_ff_pieces")
+    # each piece is a word with what follows it up to the next word; what stands before the first word stays. The pieces are a
+    # column of their own: inside the lambda below they would be cut anew for every word
+    both = both.withColumn("_ff_pieces", F.when(places.isNotNull(), F.regexp_extract_all(text, F.lit(rf"{WORD_ANY_CASE}[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))))
     head = F.regexp_extract(text, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
     spared = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), places)
     left = F.transform(spared, lambda i: F.element_at(pieces, i + 1))
