@@ -450,7 +450,8 @@ def removed(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, digest: b
     runs = settle(rows.mapInArrow(_route(anchors, bits, width, anchor), ROUTED).repartition("segment").sortWithinPartitions("segment").mapInArrow(_meet, RUN))
 
     refs = runs.groupBy("ref_doc", "ref_row", "ref_start").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("uses"))
-    refs = refs.groupBy("ref_doc", "ref_row").agg(F.collect_list(F.struct(F.col("ref_start").alias("start"), "n")).alias("places"), F.ceil(F.sum("uses") / RUNS).cast("int").alias("salts"))
+    # settled, so that both sides of the join below are exchanged for it and the runs of one reference can be split
+    refs = settle(refs.groupBy("ref_doc", "ref_row").agg(F.collect_list(F.struct(F.col("ref_start").alias("start"), "n")).alias("places"), F.ceil(F.sum("uses") / RUNS).cast("int").alias("salts")))
     salts = refs.select(F.col("ref_doc").alias("rd"), F.col("ref_row").alias("rr"), "salts")
     own = runs.join(salts, (F.col("ref_doc") == F.col("rd")) & (F.col("ref_row") == F.col("rr"))).withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_hash"), F.col("salts")).cast("int"))
     place = "array<struct<start:bigint,n:bigint,ref_doc:bigint,ref_row:bigint,salt:int>>"
@@ -466,6 +467,7 @@ def removed(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, digest: b
     routed = texts.mapInArrow(_passages(width), PASSAGES).repartition("ref_doc", "ref_row", "salt").sortWithinPartitions("ref_doc", "ref_row", "salt", "is_run")
     found = routed.mapInArrow(_match(width), SPANS).groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("r")).agg(F.collect_list(F.struct("start", "stop")).alias("places"))
 
-    untouched = rows.mapInArrow(_maybe(touched, False), columns).mapInArrow(_cut(digest), REMOVED)
+    alone, cut = _maybe(touched, False), _cut(digest)
+    untouched = rows.mapInArrow(lambda batches: cut(alone(batches)), REMOVED)  # one Python worker a task
     changed = rows.mapInArrow(_maybe(touched, True), columns).join(found, (F.col("doc_id") == F.col("d")) & (F.col("row_hash") == F.col("r")), "left")
     return untouched.unionByName(changed.select("doc_id", "row_hash", "text", "places").mapInArrow(_cut(digest), REMOVED))
