@@ -118,6 +118,29 @@ def test_bloom_counts(spark):
     assert lm.score(empty(spark), empty(spark)).count() == 0
 
 
+def exact_scores(train, texts):
+    """Scores of texts by exact counts, read as the middle of their power-of-two class."""
+    toks = lambda t: [*(t or "").encode().lower().split(), None]
+    uni, two = Counter(), Counter()
+    for t in train:
+        k = toks(t)
+        uni.update(k)
+        two.update(zip([None, *k], k))
+    floor = sum(uni.values()) + 0.5 * (len(uni) + 1)
+    middle = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0.0
+    one = lambda u, w: math.log10((middle(two[u, w]) + lm.ALPHA * (uni[w] + 0.5) / floor) / (max(middle(uni[u]), middle(two[u, w])) + lm.ALPHA))
+    return [sum(one(u, w) for u, w in zip([None, *toks(t)], toks(t))) for t in texts]
+
+
+def test_lm_unseen_pairs(spark):
+    """New orders of known words gain nothing from n-grams that were never stored, though texts of ever new words hold the most n-grams a byte."""
+    words = [f"{i:x}" for i in range(20_000)]
+    train = [" ".join(words[i : i + 40]) for i in range(0, len(words), 40)]
+    novel = [" ".join(words[i::500]) for i in range(500)]
+    out = lm.score(spark.createDataFrame(list(enumerate(novel)), DOC), spark.createDataFrame([(t,) for t in train], "text string")).collect()
+    assert sum(r.score for r in out) / sum(r.n_tokens for r in out) == pytest.approx(sum(exact_scores(train, novel)) / sum(r.n_tokens for r in out), abs=0.06)
+
+
 def test_language_id(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
