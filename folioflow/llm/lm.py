@@ -5,11 +5,12 @@ their counts, combined per task, to segments; no n-gram travels as text and none
 are the only inexactness of the counts.
 
 * Filter: a pair (u, w) with count c is stored at levels 1 .. 1 + floor(log2 c) of its context's segment, as is the context
-  u. A count is read back by probing level after level until one is missing. Segments are built where their n-grams meet
+  u. A head word (below) may have any number of followers: its pairs go to segments by both words, and its own count is
+  taken from the head in the same classes; other contexts have fewer than N / HEAD pairs. A count is read back by probing level after level until one is missing. Segments are built where their n-grams meet
   and hold ``BITS_PER_ENTRY`` bits for each (n-gram, level) they store, counted there: with ``HASHES`` probes a level that
   is not stored is found in about 1% of the cases ((1 - e^-0.5)^5 = 0.9%), whatever the corpus. The filter is broadcast in
-  shards of at most ``MAX_FILTER`` bytes; a context's pairs lie in one shard, so each shard adds its share of a text's
-  score in a pass of its own (the passes, not a worker's memory, grow with the corpus).
+  shards of at most ``MAX_FILTER`` bytes; a pair lies in one shard, with its context unless that is a head word, so each
+  shard adds its share of a text's score in a pass of its own (the passes, not a worker's memory, grow with the corpus).
 * Score: sum of log10 P(w|u) with P(w|u) = (c(u,w) + ALPHA * P1(w)) / (max(c(u), c(u,w)) + ALPHA); P1 is the unigram
   probability of a head word, and the tail's mean probability otherwise.
 * Head: words with count * HEAD >= N. There are at most HEAD of them whatever the corpus, so they are broadcast; the others
@@ -71,8 +72,19 @@ def context_keys(u: np.ndarray) -> np.ndarray:
     return (m & _TOP) | (mix(m + _U(0x243F6A8885A308D3)) & _LOW)
 
 
-def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (mix(u) & _TOP) | (mix(u * _U(0x9E3779B97F4A7C15) ^ mix(w)) & _LOW)
+def pair_keys(u: np.ndarray, w: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """spread: contexts whose pairs go to segments by both words."""
+    both = mix(u * _U(0x9E3779B97F4A7C15) ^ mix(w))
+    return np.where(spread, both, (mix(u) & _TOP) | (both & _LOW))
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level."""
+    return np.where(level == 0, 0.0, (3 * np.exp2(np.maximum(level - 1, 0)) - 1) / 2)
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, 0)
 
 
 def _unique_sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +165,7 @@ def build_filter(counts: DataFrame, span: int | None = None) -> DataFrame:
 
     def run(batches):
         for segment, keys, n in _segments(batches):
-            level = np.floor(np.log2(n)).astype(np.int64) + 1
+            level = levels(n)
             size = span or max(LEAST_SPAN, -(-int(level.sum()) * BITS_PER_ENTRY // 8) * 8)
             bits = np.zeros(size, bool)
             j = 1
@@ -176,11 +188,18 @@ class Filter:
         self.starts = np.cumsum(self.spans) - self.spans
         self.n = len(self.spans)
 
+    def mine(self, keys: np.ndarray) -> np.ndarray:
+        segment = self.segment(keys)
+        return (segment >= self.first) & (segment < self.first + self.n)
+
     def segment(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The middle of the counts of each key's highest stored level; 0 if it has none. All keys belong to these segments."""
+        return middle(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         data = np.frombuffer(self.data, np.uint8)
         own = self.segment(keys) - self.first
         base, span = self.starts[own], self.spans[own]
@@ -192,20 +211,23 @@ class Filter:
             if not len(alive):
                 break
             level[alive] = j
-        low = np.exp2(np.maximum(level - 1, 0))
-        return np.where(level == 0, 0.0, (3 * low - 1) / 2)
+        return level
 
 
 def held_out(doc_id: Column, modulus: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == 1, F.lit(False))
 
 
-def _filters(train: DataFrame, bits: int):
-    """The shards of the filter, one after the other."""
+def _filters(train: DataFrame, bits: int, look):
+    """The shards of the filter, one after the other. look: counts of head words, 0 for others."""
+
     def keys_of(w):
         h, of = sequence(w)
-        u = shifted(h, of, END)
-        return np.concatenate([pair_keys(u, h), context_keys(u)])
+        uniq, inv = np.unique(h, return_inverse=True)
+        in_head = look(uniq) > 0
+        before = shifted(inv, of, int(np.searchsorted(uniq, END)))
+        u, spread = uniq[before], in_head[before]
+        return np.concatenate([pair_keys(u, h, spread), context_keys(u[~spread])])
 
     built = settle(build_filter(count_keys(train, keys_of, bits)))
     sizes = np.full(1 << bits, LEAST_SPAN // 8, np.int64)  # a segment without keys is all zeros
@@ -278,12 +300,13 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                     end = int(np.searchsorted(uniq, END))
                     before = shifted(inv, of, end)
                     contexts = context_keys(uniq)
-                    mine = (f.segment(contexts) >= f.first) & (f.segment(contexts) < f.first + f.n)
-                    cu = np.zeros(len(uniq))
-                    cu[mine] = f.counts(contexts[mine])
-                    use = np.flatnonzero(mine[before]) if not mine.all() else slice(None)
+                    asked = f.mine(contexts) & (known == 0)
+                    cu = middle(levels(known))
+                    cu[asked] = f.counts(contexts[asked])
+                    pairs = pair_keys(uniq[before], h, known[before] > 0)
+                    use = np.flatnonzero(f.mine(pairs))
                     b, x = before[use], inv[use]
-                    cuw = f.counts(pair_keys(uniq[b], uniq[x]))
+                    cuw = f.counts(pairs[use])
                     logs = np.zeros(len(h))
                     logs[use] = np.log10((cuw + ALPHA * p1[x]) / (np.maximum(cu[b], cuw) + ALPHA))
                     total = np.add.reduceat(logs, of[:-1])
@@ -299,7 +322,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
 
         return run
 
-    passes = [rows.mapInArrow(scoring(sc.broadcast(f), k == 0), TOKENS) for k, f in enumerate(_filters(train, bits))]
+    passes = [rows.mapInArrow(scoring(sc.broadcast(f), k == 0), TOKENS) for k, f in enumerate(_filters(train, bits, look))]
     scored = passes[0]
     if len(passes) > 1:
         for p in passes[1:]:

@@ -104,6 +104,25 @@ def test_lm(spark, docs, monkeypatch, small):
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
 
 
+def test_lm_hot_word(spark, monkeypatch):
+    """A word that makes a third of all tokens, with ever new followers, fills no segment more than others."""
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 1 << 14)
+    real, sizes = lm.build_filter, []
+
+    def spy(counts, *rest):
+        built = real(counts, *rest)
+        sizes.extend(r.n for r in built.select(F.length("bits").alias("n")).collect())
+        return built
+
+    monkeypatch.setattr(lm, "build_filter", spy)
+    train = [" ".join(f"hot {j:x} y{j:x}" for j in range(i, i + 40)) for i in range(0, 12_000, 40)]
+    texts = train[:50] + [" ".join(f"hot y{j:x}" for j in range(i, i + 40)) for i in range(0, 4_000, 40)]
+    out = {r.doc_id: r for r in lm.score(spark.createDataFrame(list(enumerate(texts)), DOC), spark.createDataFrame([(t,) for t in train], "text string")).collect()}
+    assert len(sizes) >= 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    want = exact_scores(train, texts)
+    assert sum(abs(out[i].score - w) / out[i].n_tokens for i, w in enumerate(want)) / len(texts) < 0.06
+
+
 def test_bloom_counts(spark):
     import numpy as np
 
