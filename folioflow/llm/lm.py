@@ -11,10 +11,11 @@ are the only inexactness of the counts.
   is not stored is found in about 1% of the cases ((1 - e^-0.5)^5 = 0.9%), whatever the corpus. The filter is broadcast in
   shards of at most ``MAX_FILTER`` bytes; a pair lies in one shard, with its context unless that is a head word, so each
   shard adds its share of a text's score in a pass of its own (the passes, not a worker's memory, grow with the corpus).
-* Score: sum of log10 P(w|u) with P(w|u) = (c(u,w) + ALPHA * P1(w)) / (max(c(u), c(u,w)) + ALPHA); P1 is the unigram
-  probability of a head word, and the tail's mean probability otherwise.
-* Head: words with count * HEAD >= N. There are at most HEAD of them whatever the corpus, so they are broadcast; the others
-  are looked up by a join.
+* Score: sum of log10 P(w|u) with P(w|u) = (c(u,w) + ALPHA * P1(w)) / (max(c(u), c(u,w)) + ALPHA); P1 is the
+  unigram probability from the word's exact count.
+* Head: words with count * HEAD >= N. There are at most HEAD of them whatever the corpus, so they are broadcast. The others
+  leave their part of the sums open: they are asked for with the level of their pair, and a join brings their counts, for
+  the score as for the base score.
 
 Null or empty text: the end token alone. A null doc_id belongs to the training rows. Repeated rows get equal results;
 extra columns are ignored; an empty table gives no rows. Long texts are read piece by piece.
@@ -246,8 +247,8 @@ def _filters(train: DataFrame, bits: int, look):
         first = last
 
 
-TOKENS = "doc_id bigint, row_hash bigint, n_tokens bigint, n_tail bigint, n_head_known bigint, base_head double, score double"
-REQUESTS = "token bigint, doc_id bigint, row_hash bigint, tf bigint"
+# a text's own row has level -1, its tokens as tf (in the first pass) and its closed sums; a request has the level of its pairs
+PARTS = "token bigint, doc_id bigint, row_hash bigint, level int, tf bigint, head_known bigint, base double, score double"
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -278,7 +279,6 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in rows]])
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    rest = (n - int(counts.sum()) + 0.5 * (v - len(keys) + 1)) / floor / (v - len(keys) + 1)  # mean probability of the tail with the unseen word
     head = sc.broadcast((keys, counts))
 
     def look(uniq: np.ndarray) -> np.ndarray:
@@ -296,7 +296,6 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                     h, of = sequence(w)
                     uniq, inv = np.unique(h, return_inverse=True)
                     known = look(uniq)
-                    p1 = np.where(known > 0, (known + 0.5) / floor, rest)
                     end = int(np.searchsorted(uniq, END))
                     before = shifted(inv, of, end)
                     contexts = context_keys(uniq)
@@ -306,52 +305,45 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                     pairs = pair_keys(uniq[before], h, known[before] > 0)
                     use = np.flatnonzero(f.mine(pairs))
                     b, x = before[use], inv[use]
-                    cuw = f.counts(pairs[use])
+                    level = f.levels(pairs[use])
+                    cuw, tail = middle(level), known[x] == 0
                     logs = np.zeros(len(h))
-                    logs[use] = np.log10((cuw + ALPHA * p1[x]) / (np.maximum(cu[b], cuw) + ALPHA))
+                    logs[use] = np.log10(np.where(tail, 1.0, cuw + ALPHA * (known[x] + 0.5) / floor) / (np.maximum(cu[b], cuw) + ALPHA))
                     total = np.add.reduceat(logs, of[:-1])
+                    m = w.last - w.first
                     if first:
                         c = known[inv]
+                        tokens = np.diff(of)
                         base = np.add.reduceat(np.where(c > 0, np.log10(c + 0.5), 0.0), of[:-1])
                         in_head = np.add.reduceat((c > 0).astype(np.int64), of[:-1])
                     else:
-                        base, in_head = np.zeros(len(total)), np.zeros(len(total), np.int64)
-                    tokens = np.diff(of) if first else np.zeros(len(total), np.int64)
-                    m = w.last - w.first
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, m), batch.column(1).slice(w.first, m), pa.array(tokens), pa.array(tokens - in_head), pa.array(in_head), pa.array(base), pa.array(total)], names=[x.split()[0] for x in TOKENS.split(", ")])
+                        tokens, base, in_head = np.zeros(m, np.int64), np.zeros(m), np.zeros(m, np.int64)
+                    row = np.searchsorted(of, use[tail], "right") - 1
+                    both, tf = np.unique((row.astype(np.int64) * len(uniq) + x[tail]) * LEVELS + level[tail], return_counts=True)
+                    level, both = both % LEVELS, both // LEVELS
+                    owner = pa.array(np.concatenate([np.arange(m), both // len(uniq)]) + w.first)
+                    hashes = batch.column(1).take(owner)
+                    none = np.zeros(len(both), np.int64)
+                    token = np.concatenate([hashes.slice(0, m).to_numpy(), uniq[both % len(uniq)].view(np.int64)])
+                    columns = (token, batch.column(0).take(owner), hashes, np.concatenate([np.full(m, -1), level]).astype(np.int32), np.concatenate([tokens, tf]), np.concatenate([in_head, none]), np.concatenate([base, none]), np.concatenate([total, none]))
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=[v.split()[0] for v in PARTS.split(", ")])
 
         return run
 
-    passes = [rows.mapInArrow(scoring(sc.broadcast(f), k == 0), TOKENS) for k, f in enumerate(_filters(train, bits, look))]
-    scored = passes[0]
-    if len(passes) > 1:
-        for p in passes[1:]:
-            scored = scored.unionByName(p)
-        # equal rows share a key: the sums hold each of them once, and are dealt out again
-        sums = scored.groupBy("doc_id", "row_hash").agg(F.sum("score").alias("score"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_tail", "n_head_known", "base_head")], (F.count(F.lit(1)) / len(passes)).cast("int").alias("m"))
-        scored = sums.select("doc_id", "row_hash", *[(F.col(c) / F.col("m")).cast(t).alias(c) for c, t in (("n_tokens", "bigint"), ("n_tail", "bigint"), ("n_head_known", "bigint"), ("base_head", "double"), ("score", "double"))], F.explode(F.sequence(F.lit(1), F.col("m"))).alias("k")).drop("k")
-
-    def requests(batches):
-        for batch in batches:
-            for w in words_of(batch.column(2)):
-                h, of = sequence(w)
-                uniq, inv = np.unique(h, return_inverse=True)
-                tail = look(uniq) == 0
-                at = np.flatnonzero(tail[inv])
-                row = np.searchsorted(of, at, "right") - 1
-                both, tf = np.unique(row.astype(np.int64) * len(uniq) + inv[at], return_counts=True)
-                owner = pa.array(w.first + both // max(len(uniq), 1))
-                yield pa.RecordBatch.from_arrays([pa.array(uniq[both % max(len(uniq), 1)].view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(tf.astype(np.int64))], names=["token", "doc_id", "row_hash", "tf"])
-
-    asked = rows.mapInArrow(requests, REQUESTS)
-    found = asked.join(words.mapInArrow(split(False), "token bigint, c bigint"), "token", "left")
-    sums = found.groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("r")).agg(
-        F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("base_tail"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("tail_known"), F.sum("tf").alias("asked")
+    passes = [rows.mapInArrow(scoring(sc.broadcast(f), k == 0), PARTS) for k, f in enumerate(_filters(train, bits, look))]
+    parts = passes[0]
+    for p in passes[1:]:
+        parts = parts.unionByName(p)
+    found = parts.join(words.mapInArrow(split(False), "token bigint, c bigint"), "token", "left")
+    own, c = F.col("level") < 0, F.coalesce("c", F.lit(0)) + 0.5
+    cuw = F.when(F.col("level") == 0, 0.0).otherwise((3 * F.pow(F.lit(2.0), F.col("level") - 1) - 1) / 2)
+    sums = found.groupBy("doc_id", "row_hash").agg(
+        F.sum(own.cast("int")).alias("m"),
+        F.sum(F.when(own, F.col("tf"))).alias("n_tokens"),
+        F.sum(F.when(own, F.col("head_known")).when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(own, F.col("base")).otherwise(F.col("tf") * F.log10(c))).alias("base"),
+        F.sum(F.when(own, F.col("score")).otherwise(F.col("tf") * F.log10(cuw + F.lit(ALPHA / floor) * c))).alias("score"),
     )
-    both = scored.join(sums, scored["doc_id"].eqNullSafe(sums["d"]) & (scored["row_hash"] == sums["r"]), "left")
-    once = F.col("n_tail") / F.col("asked")  # equal rows ask together
-    tail = lambda c: F.coalesce(F.col(c) * once, F.lit(0.0))
-    return both.select(
-        "doc_id", "n_tokens", (F.col("n_head_known") + F.round(tail("tail_known"))).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base_head") + tail("base_tail") - F.col("n_tokens") * F.lit(float(np.log10(floor)))).alias("base_score"), "score",
-    )
+    m = (F.col("m") / len(passes)).cast("int")  # equal rows share a key: the sums hold each of them once, and are dealt out again
+    each = sums.select("doc_id", *[(F.col(k) / m).cast(t).alias(k) for k, t in (("n_tokens", "bigint"), ("n_known", "bigint"), ("base", "double"), ("score", "double"))], F.explode(F.sequence(F.lit(1), m)).alias("k"))
+    return each.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(floor)))).alias("base_score"), "score")

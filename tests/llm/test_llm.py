@@ -123,6 +123,21 @@ def test_lm_hot_word(spark, monkeypatch):
     assert sum(abs(out[i].score - w) / out[i].n_tokens for i, w in enumerate(want)) / len(texts) < 0.06
 
 
+@pytest.mark.parametrize("head", [lm.HEAD, 20, 1])
+def test_lm_head_does_not_change_the_score(spark, docs, monkeypatch, head):
+    """Which words are broadcast is a matter of size; every word keeps its own unigram probability."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    if head == 20:
+        monkeypatch.setattr(lm, "MAX_FILTER", 30_000)
+    rare = [f"r{i:x}" for i in range(2_000)]
+    train = [" ".join([*rare[i : i + 8], *(f"often{j % 9}" for j in range(i, i + 72))]) for i in range(0, len(rare), 8)]
+    texts = train[:20] + [" ".join(rare[i::50]) + " new words" for i in range(50)] * 2
+    out = lm.score(spark.createDataFrame([(0 if i > 19 else i, t) for i, t in enumerate(texts)], DOC), spark.createDataFrame([(t,) for t in train], "text string")).collect()
+    assert len(out) == len(texts)
+    tokens = sum(r.n_tokens for r in out)
+    assert sum(r.score for r in out) / tokens == pytest.approx(sum(exact_scores(train, texts)) / tokens, abs=0.05)
+
+
 def test_bloom_counts(spark):
     import numpy as np
 
