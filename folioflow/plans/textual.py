@@ -131,9 +131,19 @@ def recovery_suppression(t: Tables):
 @query(f"""WITH {BOX_SQL}, c AS (SELECT page, r.vec_id AS id, sum(b.conf * (b.label + 1)) / sum(b.label + 1) AS m FROM (SELECT page, vec_id, x0 AS a0, y0 AS b0, x1 AS a1, y1 AS b1 FROM boxes WHERE vec_id % 5 = 0) r JOIN boxes b USING (page) WHERE (b.x0 + b.x1) / 2 BETWEEN a0 AND a1 AND (b.y0 + b.y1) / 2 BETWEEN b0 AND b1 GROUP BY 1, 2)
 SELECT page, id, round(m, 8) AS confidence FROM c""")
 def centre_weighted_mean(t: Tables):
+    return _centre_means(t, "vec_id % 5 = 0")
+
+
+@query(f"""WITH {BOX_SQL}, c AS (SELECT page, r.vec_id AS id, sum(b.conf * (b.label + 1)) / sum(b.label + 1) AS m FROM (SELECT page, vec_id, x0 AS a0, y0 AS b0, x1 AS a1, y1 AS b1 FROM boxes) r JOIN boxes b USING (page) WHERE (b.x0 + b.x1) / 2 BETWEEN a0 AND a1 AND (b.y0 + b.y1) / 2 BETWEEN b0 AND b1 GROUP BY 1, 2)
+SELECT page, id, round(m, 8) AS confidence FROM c""")
+def centre_weighted_mean_all(t: Tables):
+    return _centre_means(t, "true")
+
+
+def _centre_means(t: Tables, which: str):
     b = _boxes(t)
     cells = b.select("page", "x0", "y0", "x1", "y1", F.col("conf").alias("confidence"), F.repeat(F.lit("x"), (F.col("label") + 1).cast("int")).alias("text"))
-    regions = b.where("vec_id % 5 = 0").select("page", F.col("vec_id").alias("id"), F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
+    regions = b.where(which).select("page", F.col("vec_id").alias("id"), F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
     return joins.centre_weighted_mean(cells, regions, ["page"])
 
 

@@ -52,3 +52,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name, table, key", [("overlap_join_all", "events", "event_id"), ("centre_weighted_mean_all", "embeddings", "vec_id")])
+def test_no_row_is_left_out(spark, name, table, key):
+    """Every interval overlaps itself; every box holds its own centre."""
+    got = {r.id for r in catalog.QUERIES[name](spark, SMALL).select("id").collect()}
+    assert got == {r[0] for r in spark.read.parquet(f"{SMALL}/{table}.parquet").select(key).collect()}
