@@ -31,6 +31,19 @@ def token_coverage_multiset(t: Tables):
     return side(0, "e").join(side(1, "f"), "conv_id").select("conv_id", text.multiset_coverage(F.col("e"), F.col("f")).alias("coverage"))
 
 
+def _successors(t: Tables, first: str, second: str):
+    """Every turn's text as ``first`` and its successor's as ``second``."""
+    a = t.conversations.select("conv_id", "turn", F.col("text").alias(first))
+    return a.join(t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias(second)), ["conv_id", "turn"])
+
+
+@query(f"""WITH x AS (SELECT a.conv_id, a.turn, {TOKEN_SQL.format('a.text')} AS e, {TOKEN_SQL.format('b.text')} AS f FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+m AS (SELECT conv_id, turn, sum(least(c, len(list_filter(f, lambda y: y = k)))) AS met FROM (SELECT conv_id, turn, f, k, count(*) AS c FROM (SELECT conv_id, turn, f, unnest(e) AS k FROM x) q GROUP BY 1, 2, 3, 4) r GROUP BY 1, 2)
+SELECT x.conv_id, x.turn, CASE WHEN len(e) = 0 THEN 1.0 ELSE round(met / len(e), 6) END AS coverage FROM x LEFT JOIN m USING (conv_id, turn)""")
+def token_coverage_multiset_all(t: Tables):
+    return _successors(t, "a", "b").select("conv_id", "turn", text.multiset_coverage(text.tokens(F.col("a")), text.tokens(F.col("b"))).alias("coverage"))
+
+
 @query(f"""WITH RECURSIVE x AS (SELECT a.conv_id, {TOKEN_SQL.format('a.text')}[1:3] AS needle, {TOKEN_SQL.format('b.text')} AS hay FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
 r AS (SELECT conv_id, needle, hay, 0 AS p, 0 AS i FROM x UNION ALL SELECT conv_id, needle, hay, p + 1, CASE WHEN i < len(needle) AND hay[p + 1] = needle[i + 1] THEN i + 1 ELSE i END FROM r WHERE p < len(hay))
 SELECT conv_id, len(needle) > 0 AND max(i) = len(needle) AS contained FROM r GROUP BY conv_id, needle""")
@@ -40,6 +53,13 @@ def ordered_subsequence_flag(t: Tables):
     return a.join(b, "conv_id").select("conv_id", text.ordered_subsequence(F.col("needle"), F.col("hay")).alias("contained"))
 
 
+@query(f"""WITH RECURSIVE x AS (SELECT a.conv_id, a.turn, {TOKEN_SQL.format('a.text')} AS needle, {TOKEN_SQL.format('b.text')} AS hay FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+r AS (SELECT conv_id, turn, needle, hay, 0 AS p, 0 AS i FROM x UNION ALL SELECT conv_id, turn, needle, hay, p + 1, CASE WHEN i < len(needle) AND hay[p + 1] = needle[i + 1] THEN i + 1 ELSE i END FROM r WHERE p < len(hay))
+SELECT conv_id, turn, len(needle) > 0 AND max(i) = len(needle) AS contained FROM r GROUP BY conv_id, turn, needle""")
+def ordered_subsequence_flag_all(t: Tables):
+    return _successors(t, "a", "b").select("conv_id", "turn", text.ordered_subsequence(text.tokens(F.col("a")), text.tokens(F.col("b"))).alias("contained"))
+
+
 @query()
 def critical_values(t: Tables):
     return t.documents.select("doc_id", text.critical_values(F.col("text")).alias("values"))
@@ -77,6 +97,11 @@ def ocr_similarity(t: Tables):
     return a.join(t.conversations.where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id").select("conv_id", text.ocr_similarity("a", "b").alias("similarity"), text.ratio("a", "b").alias("ratio"))
 
 
+@query()
+def ocr_similarity_all(t: Tables):
+    return _successors(t, "a", "b").select("conv_id", "turn", text.ocr_similarity("a", "b").alias("similarity"), text.ratio("a", "b").alias("ratio"))
+
+
 @query("""WITH f AS (SELECT item_id, lower(substr(text, 1, 40)) AS lit FROM benchmark) SELECT doc_id, CAST(count(item_id) AS BIGINT) AS forbidden FROM documents LEFT JOIN f ON contains(lower(documents.text), lit) GROUP BY doc_id""")
 def forbidden_literals(t: Tables):
     lits = F.array_sort(F.collect_list(F.lower(F.substring("text", 1, 40))))
@@ -85,6 +110,26 @@ def forbidden_literals(t: Tables):
     return found.select("doc_id", F.size(F.filter("lits", lambda x: F.contains(F.lower(F.col("text")), x))).cast("bigint").alias("forbidden"))
 
 
+@query("""WITH f AS (SELECT item_id, lower(text) AS lit FROM benchmark) SELECT doc_id, CAST(count(item_id) AS BIGINT) AS forbidden FROM documents LEFT JOIN f ON contains(lower(documents.text), lit) GROUP BY doc_id""")
+def forbidden_literals_whole(t: Tables):
+    return forbidden_counts(t.documents, t.benchmark)
+
+
+def forbidden_counts(docs, items):
+    """How many items' whole texts each document holds. A literal's words between its outer ones stand as whole words in a
+    text that holds it, so the longest of them is the join key; only literals without one (fewer than three words) meet every text."""
+    inner = F.filter(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda x: x != "")
+    lits = items.where("text IS NOT NULL").groupBy(F.lower("text").alias("lit")).agg(F.count("item_id").alias("n")).withColumn("w", F.split("lit", " ", -1))
+    lits = lits.select("lit", "n", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("length"), x.alias("word"))))["word"].alias("word"))
+    low = docs.select("doc_id", F.lower("text").alias("said"))
+    words = low.select(F.col("doc_id").alias("d"), F.explode(F.array_distinct(F.split("said", " ", -1))).alias("word"))
+    near = words.join(lits.where("word IS NOT NULL"), "word").select("d", "lit", "n").distinct()
+    keyed = low.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & F.contains("said", "lit"))
+    short = low.join(lits.where("word IS NULL"), F.contains("said", "lit"))
+    none = docs.select("doc_id", F.lit(0).cast("bigint").alias("n"))
+    return keyed.select("doc_id", "n").unionByName(short.select("doc_id", "n")).unionByName(none).groupBy("doc_id").agg(F.sum("n").alias("forbidden"))
+
+
 BOX_SQL = """boxes AS (SELECT vec_id, label, vec_id % 20 AS page, least(a, b) AS x0, least(c, d) AS y0, greatest(a, b) AS x1, greatest(c, d) AS y1, conf FROM (SELECT vec_id, label, (e[1] + 1) / 2 AS a, (e[2] + 1) / 2 AS b, (e[3] + 1) / 2 AS c, (e[4] + 1) / 2 AS d, (e[5] + 1) / 2 AS conf
   FROM (SELECT vec_id, label, list_transform(embedding[1:5], lambda v: least(greatest(round(CAST(v AS DOUBLE), 4), -1.0), 1.0)) AS e FROM embeddings) q) r)"""
 

@@ -59,3 +59,20 @@ def test_no_row_is_left_out(spark, name, table, key):
     """Every interval overlaps itself; every box holds its own centre."""
     got = {r.id for r in catalog.QUERIES[name](spark, SMALL).select("id").collect()}
     assert got == {r[0] for r in spark.read.parquet(f"{SMALL}/{table}.parquet").select(key).collect()}
+
+
+def test_whole_literals(spark):
+    from folioflow.plans.textual import forbidden_counts
+
+    long = "x" * 45
+    items = [(1, f"{long} One two"), (2, f"{long} One three"), (3, "two"), (4, "b  c d"), (5, None), (6, "e f")]
+    docs = [(1, f"a{long} ONE twofold"), (2, "ab  c de"), (3, "e f"), (4, None), (5, ""), (6, f"{long} one")]
+    got = forbidden_counts(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r.doc_id: r.forbidden for r in got.collect()} == {d: sum(i is not None and (t or "").lower().count(i.lower()) > 0 for _, i in items) for d, t in docs}
+
+
+@pytest.mark.parametrize("name", ["token_coverage_multiset_all", "ordered_subsequence_flag_all", "ocr_similarity_all"])
+def test_every_turn_meets_its_successor(spark, name):
+    turns = {(r.conv_id, r.turn) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect()}
+    got = {(r.conv_id, r.turn) for r in catalog.QUERIES[name](spark, SMALL).collect()}
+    assert got == {(c, t) for c, t in turns if (c, t + 1) in turns}
