@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby context words adjust the score.
 
 All of it is Spark SQL expressions. Each kind is a regular expression, read leftmost and non-overlapping; a match that its
-validator refuses is dropped and not retried. ``email``, ``ip``, ``card`` and ``phone`` always stay; ``iban`` (mod 97) and
+validator refuses is dropped and not retried. An IBAN candidate has its country's length, so what stands after it is not
+part of it; codes without a listed length take the longest run that no listed candidate begins in. ``email``, ``ip``, ``card`` and ``phone`` always stay; ``iban`` (mod 97) and
 ``ssn`` are added when their score reaches ``MIN_SCORE``: the score starts at the kind's own and gains ``CONTEXT_GAIN``
 when a context word stands within ``CONTEXT`` characters of the span.
 
@@ -22,6 +23,15 @@ CONTEXT_GAIN = 0.3
 MIN_SCORE = 0.5
 
 
+# characters of an account number by country (ISO 13616)
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+_UNLISTED = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:(?! {_LISTED}) ?[A-Z0-9]){{11,30}}(?![A-Za-z0-9])"
+
+
 @dataclass(frozen=True)
 class Kind:
     """pattern: starts are tried only where a run of its first characters begins or the last match ended, which finds the same matches. maybe: a cheap test that every text with a match passes."""
@@ -40,7 +50,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]++\.[0-9]", 0.6, "ip|host|address|server|login|addr", True),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9](?:[ -]?[0-9]){11}", 0.8, "card|visa|credit|debit|pay", True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.6, "phone|tel|call|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?[A-Z0-9]", 0.7, "iban|bank|account|konto|transfer", False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_LISTED}|{_UNLISTED})", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?[A-Z0-9]", 0.7, "iban|bank|account|konto|transfer", False),
     Kind("ssn", r"(?<![A-Za-z0-9+.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, "ssn|social|security|tax|insurance", False),
 )
 

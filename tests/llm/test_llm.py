@@ -251,6 +251,13 @@ def test_pii(spark, docs):
     assert pii.redact(empty(spark)).count() == 0
 
 
+def test_iban_before_other_words(spark):
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    texts = {f"{gb} BIC MIDLGB22": "[IBAN] BIC MIDLGB22", f"to {gb} 2024 EUR": "to [IBAN] 2024 EUR", f"{de} {gb} OK": "[IBAN] [IBAN] OK", f"NR ZZ12 {gb} X": "NR ZZ12 [IBAN] X", f"{gb}A B": f"{gb}A B", f"{gb[:-1]}3 BIC": f"{gb[:-1]}3 BIC"}
+    d = spark.createDataFrame(list(enumerate(texts)), DOC)
+    assert [r.text for r in pii.redact(d).orderBy("doc_id").collect()] == list(texts.values())
+
+
 def bench_hits(items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
     win = defaultdict(set)
