@@ -324,6 +324,18 @@ def test_quality_lines(spark):
     assert quality.verdicts(copies, min_docs=5).where("kept").count() == 30  # copies of one text count once
 
 
+def test_quality_limit_of_a_large_host(spark):
+    """Of 3,000 distinct texts 1% is 30: a line in 30 of them stays, one in 31 goes from all but the first; a small host's limit is 20."""
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(50))
+    rows = [(i, own(i) + ("\nstays in thirty" if i < 30 else "") + ("\ngoes with one more" if i < 31 else ""), "large") for i in range(3_000)]
+    rows += [(10_000 + i, own(-i) + ("\nstays in twenty" if i < 20 else "") + ("\ngoes with one more" if i < 21 else ""), "small") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    gone = {r.doc_id: r.n_removed_words for r in quality.verdicts(d).where("n_removed_words > 0").collect()}
+    assert gone == {**{i: 4 for i in range(1, 31)}, **{10_000 + i: 4 for i in range(1, 21)}}
+    kept = {r.doc_id: r.text for r in quality.clean(d).collect()}
+    assert len(kept) == 3_100 and kept[5] == own(5) + "\nstays in thirty" and kept[0].endswith("one more") and kept[10_005] == own(-5) + "\nstays in twenty"
+
+
 def test_mixing(spark, full):
     sizes = mixing.sizes_of(full)
     out = mixing.plan(sizes).collect()
