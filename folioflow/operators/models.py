@@ -1,4 +1,4 @@
-"""Model boundary and recognition output.
+"""Model boundary and recognition output.
 
 Models are functions the caller injects; everything around them is here. A call that raises gives an error row, never a failed job.
 """
@@ -109,3 +109,9 @@ def reviewed_segments(original: DataFrame, edits: DataFrame, by: list[str]) -> D
 def without_ai(runs: DataFrame) -> DataFrame:
     """V9: whether a run used no model at all."""
     return runs.groupBy("run_id").agg(F.bool_and((F.col("input_tokens") == 0) & (F.col("output_tokens") == 0)).alias("local_only"))
+
+
+def region_progress(events: DataFrame) -> DataFrame:
+    """Region events (stage, current, total, page_position, n_pages) as thousandths of a page: done of n_pages * 1000."""
+    share = F.when(F.col("stage") == "layout", 0.025).otherwise(0.05 + 0.95 * F.col("current") / F.greatest("total", F.lit(1)))
+    return events.where("page_position IS NOT NULL").withColumns({"done": F.rint((F.col("page_position") + share) * 1000).cast("bigint"), "of": (F.col("n_pages") * 1000).cast("bigint")})

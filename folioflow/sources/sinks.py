@@ -88,6 +88,25 @@ def restore(stored: DataFrame, version: int) -> DataFrame:
     return stored.withColumn("status", status).withColumn("result", F.when(F.col("version") == version, F.col("result")))
 
 
+def annotations(elements: DataFrame, pages: DataFrame, reading_order: bool = True) -> DataFrame:
+    """K7 without the drawing: group, label and box in the page's units. elements: doc_id, page, type, reading_order, x0..y1; pages: doc_id, page, width, height."""
+    kind = F.col("type")
+    group = (
+        F.when(kind.isin("heading", "title"), "heading").when(kind.isin("table", "form_field", "checkbox"), "table").when(kind.isin("figure", "image", "chart"), "figure")
+        .when(kind == "formula", "formula").when(kind.isin("seal", "signature"), "seal").otherwise("text")
+    )
+    g = F.col("group")
+    name = (
+        F.when(g == "heading", "Title").when(g == "table", F.when(kind.isin("form_field", "checkbox"), "Form").otherwise("Table")).when(g == "figure", "Figure")
+        .when(g == "formula", "Formula").when(g == "seal", F.when(kind == "seal", "Seal").otherwise("Signature")).otherwise("Text")
+    )
+    order = F.col("reading_order").cast("string")
+    label = F.when(g.isin("text", "heading"), order).otherwise(F.concat(name, F.lit(" "), order)) if reading_order else name
+    boxes = elements.where("x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL").join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"])
+    scaled = {c: F.col(c) * F.col("width" if c[0] == "x" else "height") for c in ("x0", "y0", "x1", "y1")}
+    return boxes.withColumn("group", group).withColumn("label", label).withColumns(scaled).drop("width", "height")
+
+
 def search_index(documents: DataFrame) -> DataFrame:
     """One JSON line a document with title, path, headings and text."""
     return documents.select("path", F.to_json(F.struct("title", "path", "headings", "summary")).alias("json"))

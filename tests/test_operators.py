@@ -227,6 +227,18 @@ def test_sinks(spark, tmp_path):
     assert {r.id: r.status for r in sinks.restore(st, 1).collect()} == {"a": "failed", "b": "pending"}
 
 
+def test_annotations_and_progress(spark):
+    kinds = ["title", "checkbox", "table", "chart", "formula", "seal", "signature", "paragraph"]
+    e = spark.createDataFrame([("d", 1, k, i, 0.1, 0.2, 0.5, 0.5) for i, k in enumerate(kinds)] + [("d", 1, "table", 8, None, 0.2, 0.5, 0.5), ("d", 2, "table", 9, 0.1, 0.2, 0.5, 0.5)], "doc_id string, page int, type string, reading_order int, x0 double, y0 double, x1 double, y1 double")
+    p = spark.createDataFrame([("d", 1, 200.0, 100.0)], "doc_id string, page int, width double, height double")
+    got = sinks.annotations(e, p).orderBy("reading_order").collect()
+    assert [r.label for r in got] == ["0", "Form 1", "Table 2", "Figure 3", "Formula 4", "Seal 5", "Signature 6", "7"]
+    assert {(r.x0, r.y0, r.x1, r.y1) for r in got} == {(20.0, 20.0, 100.0, 50.0)}
+    assert [r.label for r in sinks.annotations(e, p, False).orderBy("reading_order").collect()] == ["Title", "Form", "Table", "Figure", "Formula", "Seal", "Signature", "Text"]
+    v = spark.createDataFrame([("layout", 0, 0, 1, 4), ("ocr", 1, 2, 1, 4), ("ocr", 0, 0, 0, 4), ("ocr", 1, 1, None, 4)], "stage string, current int, total int, page_position int, n_pages int")
+    assert sorted((r.done, r.of) for r in models.region_progress(v).collect()) == [(50, 4000), (1025, 4000), (1525, 4000)]
+
+
 def test_model_boundary(spark):
     def load():
         def model(row):
