@@ -1,32 +1,78 @@
-"""JSON leaves, pointers, schemas and fingerprints (F50-F60, P30, V15). Leaves of any nesting come from a recursive query over VARIANT."""
+"""JSON leaves, pointers, schemas and fingerprints (F50-F60). Leaves come from generators over VARIANT, those of deep containers from a walk over text."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_DEPTH = 32
+NATIVE_LEVELS = 6
+
+
+def _is_container(v: Column) -> Column:
+    return F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)")
+
+
+def _walk(text: str) -> Iterator[tuple[str, str, str | None]]:
+    """pointer, kind, literal of each leaf of a compact JSON container, of any nesting: one pass over its marks, a stack of open containers."""
+    open_, path = [], []  # of each open container the next array place, or None for an object whose key comes next
+    for m in _MARK.finditer(text):
+        c = m[0]
+        if c in "[{":
+            open_.append(0 if c == "[" else None)
+            path.append("0" if c == "[" else "")
+        elif c in "]}":
+            open_.pop()
+            path.pop()
+        elif c == ",":
+            if open_[-1] is not None:
+                open_[-1] += 1
+                path[-1] = str(open_[-1])
+        elif m[1] is not None:  # a key with its colon
+            path[-1] = json.loads(m[1]).replace("~", "~0").replace("/", "~1")
+        else:
+            kind = "string" if c[0] == '"' else "boolean" if c in ("true", "false") else "null" if c == "null" else "number"
+            yield "/" + "/".join(path), kind, json.loads(c) if kind == "string" else None if kind == "null" else c
+
+
+_MARK = re.compile(r'("(?:[^"\\]|\\.)*")\s*:|"(?:[^"\\]|\\.)*"|[\[\]{},]|[^\s\[\]{},:"]+')
+
+
+def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(i, prefix + p, kind, value) for i, (prefix, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) for p, kind, value in _walk(text)]
+        for k in range(0, len(found), 1 << 16):
+            i, p, kind, value = zip(*found[k : k + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(p, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.string())], names=["k", "pointer", "kind", "value"])
 
 
 def leaves(df: DataFrame, key: str, document: str) -> DataFrame:
     """key, pointer, kind, value of each leaf of a JSON text. Kinds are null, boolean, number and string; numbers compare by value, so 1 and 1.0
-    are one number. Empty containers have no leaves; a document that is no JSON has none either. ``MAX_DEPTH`` levels."""
+    are one number. Empty containers have no leaves; a document that is no JSON has none either.
+
+    ``NATIVE_LEVELS`` levels are generators in one stage; a container that is still open below them is walked as text, so nesting has no limit
+    beyond the parser's. Texts with fewer opening brackets than that are not read a second time."""
     spark = df.sparkSession
-    view = f"_leaves_{abs(hash((key, document))) % 10**8}"
-    df.select(F.col(key).alias("k"), F.try_parse_json(F.col(document)).alias("v")).createOrReplaceTempView(view)
-    return spark.sql(f"""
-      WITH RECURSIVE walk(k, pointer, v, depth) MAX RECURSION LEVEL {MAX_DEPTH + 2} AS (
-        SELECT k, CAST('' AS STRING), v, 0 FROM {view} WHERE v IS NOT NULL
-        UNION ALL
-        SELECT w.k, concat(w.pointer, '/', CASE WHEN e.key IS NULL THEN CAST(e.pos AS STRING) ELSE replace(replace(e.key, '~', '~0'), '/', '~1') END), e.value, w.depth + 1
-        FROM walk w, LATERAL variant_explode(w.v) AS e(pos, key, value)
-        WHERE (schema_of_variant(w.v) LIKE 'OBJECT%' OR schema_of_variant(w.v) LIKE 'ARRAY%') AND w.depth < {MAX_DEPTH}
-      )
-      SELECT k AS `{key}`, CASE WHEN pointer = '' THEN '/' ELSE pointer END AS pointer, kind,
-        CASE WHEN kind = 'number' THEN CAST(CAST(v AS DOUBLE) AS STRING) WHEN kind = 'null' THEN NULL ELSE CAST(v AS STRING) END AS value
-      FROM (SELECT *, CASE WHEN t = 'VOID' THEN 'null' WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t = 'STRING' THEN 'string' ELSE 'number' END AS kind
-            FROM (SELECT *, schema_of_variant(v) AS t FROM walk) WHERE t NOT LIKE 'OBJECT%' AND t NOT LIKE 'ARRAY%')""")
+
+    def opened(rows: DataFrame) -> DataFrame:
+        walk = rows.select(F.col(key).alias("k"), F.lit("").alias("pointer"), F.try_parse_json(F.col(document)).alias("v")).where("v IS NOT NULL")
+        for _ in range(NATIVE_LEVELS):
+            step = F.when(F.col("key").isNull(), F.col("pos").cast("string")).otherwise(F.replace(F.replace(F.col("key"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+            walk = walk.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+            walk = walk.select("k", F.when(F.col("pos").isNull(), F.col("pointer")).otherwise(F.concat("pointer", F.lit("/"), step)).alias("pointer"), F.when(F.col("pos").isNull(), F.col("v")).otherwise(F.col("value")).alias("v"))
+        return walk
+
+    kind = F.schema_of_variant("v")
+    shallow = opened(df).where(~_is_container(F.col("v"))).select("k", "pointer", F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string").otherwise("number").alias("kind"), F.col("v").cast("string").alias("value"))
+    rest = opened(df.where(F.regexp_count(F.col(document), F.lit(r"[\[{]")) > NATIVE_LEVELS)).where(_is_container(F.col("v")) & ~F.to_json("v").isin("[]", "{}"))
+    deep = rest.select("k", "pointer", F.to_json("v").alias("value")).mapInArrow(_deep, f"k {dict(df.dtypes)[key]}, pointer string, kind string, value string")
+    value = F.when(F.col("kind") == "number", F.col("value").cast("double").cast("string")).when(F.col("kind") != "null", F.col("value"))
+    return shallow.unionByName(deep).select(F.col("k").alias(key), F.when(F.col("pointer") == "", "/").otherwise(F.col("pointer")).alias("pointer"), "kind", value.alias("value"))
 
 
 def non_null_leaves(df: DataFrame, key: str, document: str) -> DataFrame:

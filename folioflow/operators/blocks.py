@@ -6,8 +6,11 @@ Blocks are adjacency rows: doc_id, page, block_id, parent_id, reading_order, typ
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,19 +26,80 @@ LARGE_VISUAL, INTERIOR, UNCOVERED = 0.15, (0.1, 0.1, 0.9, 0.9), 0.30
 COVERAGE = 0.9
 
 
-def preorder(blocks: DataFrame, by: list[str], order: str = "reading_order", depth: int = 64) -> DataFrame:
-    """Depth, dotted section number and position of each block in a depth-first walk, siblings by order. Rows whose parent is missing are roots of nothing and do not appear."""
-    spark, view = blocks.sparkSession, f"_tree_{uuid.uuid4().hex}"
-    nth = F.row_number().over(Window.partitionBy(*by, "parent_id").orderBy(order, "block_id"))
-    blocks.select(*by, "block_id", "parent_id", nth.alias("nth")).createOrReplaceTempView(view)
-    keys, same = ", ".join(f"t.{b}" for b in by), " AND ".join(f"w.{b} <=> t.{b}" for b in by)
-    walked = spark.sql(f"""
-      WITH RECURSIVE walk MAX RECURSION LEVEL {depth} AS (
-        SELECT {keys}, t.block_id, 0 AS depth, lpad(CAST(t.nth AS STRING), 8, '0') AS path, CAST(t.nth AS STRING) AS number FROM {view} t WHERE t.parent_id IS NULL
-        UNION ALL
-        SELECT {keys}, t.block_id, w.depth + 1, concat(w.path, '.', lpad(CAST(t.nth AS STRING), 8, '0')), concat(w.number, '.', CAST(t.nth AS STRING)) FROM walk w JOIN {view} t ON {same} AND t.parent_id = w.block_id)
-      SELECT * FROM walk""")
-    return walked.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("path"))).drop("path")
+CHUNK_ROWS = 1 << 16
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.Table]:
+    """Tables of about CHUNK_ROWS rows that never cut a group of equal values in column ``group``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK_ROWS:
+            t = pa.Table.from_batches(held)
+            last = pc.index(pc.equal(t[group], t[group][t.num_rows - 1]), True).as_py()
+            if last:
+                yield t.slice(0, last)
+            held = t.slice(last).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _walked(groups: np.ndarray, ids: np.ndarray, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """rows, depth, position and number of the rows that a root reaches, level by level. groups: codes; ids, parents: codes of one
+    numbering, parents -1 without one; rows stand in sibling order."""
+    n, wide = len(ids), int(max(ids.max(initial=-1), parents.max(initial=-1))) + 1
+    keys = groups * wide + ids
+    order = np.argsort(keys, kind="stable")
+    asked = groups * wide + parents
+    at = order[np.minimum(np.searchsorted(keys[order], asked), n - 1)]
+    parent = np.where(parents < 0, -1, np.where(keys[at] == asked, at, -2))
+    # children of a row, and the roots of a group, stand together
+    owner = np.where(parent == -1, n + groups, np.where(parent == -2, -1, parent))
+    by_owner = np.argsort(owner, kind="stable")
+    first = np.searchsorted(owner[by_owner], np.arange(n + (int(groups[-1]) + 1 if n else 0) + 1))
+    nth = np.empty(n, np.int64)
+    nth[by_owner] = np.arange(n) - np.searchsorted(owner[by_owner], owner[by_owner]) + 1
+    depth, size, levels, front = np.full(n, -1), np.ones(n, np.int64), [], np.arange(n, len(first) - 1)
+    while len(front):
+        counts = first[front + 1] - first[front]
+        front = by_owner[np.repeat(first[front] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        if len(front):
+            depth[front] = len(levels)
+            levels.append(front)
+    for rows in levels[:0:-1]:
+        np.add.at(size, parent[rows], size[rows])
+    position, number = np.zeros(n, np.int64), [""] * n
+    for k, rows in enumerate(levels):
+        before = np.cumsum(size[rows]) - size[rows]
+        start = before[np.maximum.accumulate(np.where(nth[rows] == 1, np.arange(len(rows)), 0))]
+        position[rows] = before - start + 1 + (position[parent[rows]] if k else 0)
+        for r in rows.tolist():
+            number[r] = f"{number[parent[r]]}.{nth[r]}" if k else str(nth[r])
+    found = np.flatnonzero(depth >= 0)
+    return found, depth[found], position[found], [number[r] for r in found.tolist()]
+
+
+def preorder(blocks: DataFrame, by: list[str], order: str = "reading_order") -> DataFrame:
+    """Depth, dotted section number and position of each block in a depth-first walk, siblings by order (then block_id).
+
+    Rows whose parent is missing, and rows on a cycle, hang on no root and do not appear. A block_id stands for one block of its
+    group. One shuffle by group; many groups are walked together, level by level, so neither rows nor levels have a limit.
+    """
+    m = len(by)
+
+    def run(batches):
+        for t in _whole_groups(batches, m + 2):
+            both = pa.chunked_array([*t[m].chunks, *t[m + 1].chunks]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            groups = t[m + 2].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            found, depth, position, number = _walked(groups, both[: t.num_rows], both[t.num_rows :])
+            kept = t.take(pa.array(found)).combine_chunks()
+            yield from pa.table([*[kept[i] for i in range(m + 1)], pa.array(depth.astype(np.int32)), pa.array(number, pa.string()), pa.array(position.astype(np.int32))], names=[*by, "block_id", "depth", "number", "position"]).to_batches()
+
+    kinds = dict(blocks.dtypes)
+    group = F.to_json(F.struct(*by))
+    rows = blocks.select(*by, "block_id", F.col("parent_id").cast(kinds["block_id"]).alias("parent_id"), group.alias("_ff_group"), F.col(order).alias("_ff_order"))
+    rows = rows.repartition("_ff_group").sortWithinPartitions("_ff_group", "_ff_order", "block_id")
+    return rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in [*by, "block_id"]]) + ", depth int, number string, position int")
 
 
 def active(blocks: DataFrame) -> DataFrame:
