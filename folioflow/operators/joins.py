@@ -175,12 +175,17 @@ def capped_topk(candidates: DataFrame, page: list[str], rank: list, cap: Column
     return c.withColumn("in_all", F.row_number().over(Window.partitionBy(*by).orderBy(*rank))).where(F.col("in_all") <= k)
 
 
-def centre_weighted_mean(cells: DataFrame, regions: DataFrame, by: list[str]) -> DataFrame:
-    """Length-weighted mean confidence of the cells whose centre lies in each region. cells: x0..y1, confidence, text; regions: id, rx0..ry1."""
+def centre_weighted_mean(cells: DataFrame, regions: DataFrame, by: list[str], grid: int = 8) -> DataFrame:
+    """Length-weighted mean confidence of the cells whose centre lies in each region. cells: x0..y1, confidence, text; regions: id, rx0..ry1.
+
+    Regions go to the grid cells of the unit square that they touch and a centre to its own, so the join is by page and grid cell."""
+    place = lambda c: F.greatest(F.least(F.floor(c * grid), F.lit(grid - 1)), F.lit(0))
+    span = lambda a, b: F.explode(F.sequence(place(F.col(a)), F.greatest(place(F.col(a)), place(F.col(b)))))
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    j = regions.join(cells, by).where(cx.between(F.col("rx0"), F.col("rx1")) & cy.between(F.col("ry0"), F.col("ry1")))
-    weight = F.length("text")
-    return j.groupBy(*by, "id").agg(F.round(F.sum(F.col("confidence") * weight) / F.nullif(F.sum(weight), F.lit(0)), 8).alias("confidence"))
+    centres = cells.select(*by, cx.alias("_cx"), cy.alias("_cy"), "confidence", F.length("text").alias("_weight")).withColumn("_gx", place(F.col("_cx"))).withColumn("_gy", place(F.col("_cy")))
+    wide = regions.withColumn("_gx", span("rx0", "rx1")).withColumn("_gy", span("ry0", "ry1"))
+    j = wide.join(centres, [*by, "_gx", "_gy"]).where(F.col("_cx").between(F.col("rx0"), F.col("rx1")) & F.col("_cy").between(F.col("ry0"), F.col("ry1")))
+    return j.groupBy(*by, "id").agg(F.round(F.sum(F.col("confidence") * F.col("_weight")) / F.nullif(F.sum("_weight"), F.lit(0)), 8).alias("confidence"))
 
 
 def claimed_anchors(blocks: DataFrame, anchors: DataFrame, by: list[str]) -> DataFrame:

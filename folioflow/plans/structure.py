@@ -160,23 +160,13 @@ def claim_matching(t: Tables):
     return joins.occurrence_match(left, right, ["k"], ["o_orderkey"], ["o_orderdate", "other"]).drop("o_orderdate")
 
 
-@query("""WITH s AS (SELECT user_id AS doc_id, event_id AS id, CAST(floor(value * 100) AS BIGINT) AS a, CAST(floor(value * 100) AS BIGINT) + event_id % 50 + 1 AS b FROM events)
-SELECT x.doc_id, x.id, count(*) AS n, CAST(sum(y.id) AS BIGINT) AS ids FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.a < y.b AND y.a < x.b AND x.id % 4 = 0 GROUP BY 1, 2""")
-def overlap_join(t: Tables):
-    return _overlaps(t, "id % 4 = 0")
-
-
 @query("""WITH s AS (SELECT user_id AS doc_id, event_id AS id, CAST(floor(value * 100) AS BIGINT) AS a, CAST(floor(value * 100) AS BIGINT) + event_id % 50 + 1 AS b FROM events)
 SELECT x.doc_id, x.id, count(*) AS n, CAST(sum(y.id) AS BIGINT) AS ids FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.a < y.b AND y.a < x.b GROUP BY 1, 2""")
-def overlap_join_all(t: Tables):
-    return _overlaps(t, "true")
-
-
-def _overlaps(t: Tables, left: str):
+def overlap_join(t: Tables):
     a = F.floor(F.col("value") * 100).cast("bigint")
     s = t.events.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("id"), a.alias("start"), (a + F.col("event_id") % 50 + 1).alias("end"))
     right = s.select("doc_id", F.col("id").alias("other"), F.col("start").alias("start2"), F.col("end").alias("end2"))
-    return joins.overlap_join(s.where(left), right, ["doc_id"]).groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("other").alias("ids"))
+    return joins.overlap_join(s, right, ["doc_id"]).groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("other").alias("ids"))
 
 
 @query("""WITH s AS (SELECT user_id AS doc_id, CAST(floor(value * 100) AS BIGINT) AS a, CAST(floor(value * 100) AS BIGINT) + event_id % 50 + 1 AS b FROM events), w AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s),

@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, pointers, text
-from ..operators import folds, joins
+from ..operators import blocks, folds, joins
 from .registry import Tables, query
 
-WORD_SQL = r"regexp_extract_all(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss'), '[\p{L}\p{N}_]+(?:[-''’][\p{L}\p{N}_]+)*')"
+FOLD_SQL = "replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), 'ς', 'σ')"
+WHITE_SQL = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+WORD_SQL = rf"regexp_extract_all({FOLD_SQL}, '[\p{{{{L}}}}\p{{{{N}}}}_]+(?:[-''’][\p{{{{L}}}}\p{{{{N}}}}_]+)*')"
 TOKEN_SQL = "regexp_extract_all(lower({0}), '[A-Za-z0-9]+(?:[./:@_-][A-Za-z0-9]+)*')"
 
 
-@query(f"SELECT doc_id, len({WORD_SQL}) AS n_words, len(list_distinct({WORD_SQL})) AS n_distinct FROM documents")
+@query(f"SELECT doc_id, len({WORD_SQL.format('text')}) AS n_words, len(list_distinct({WORD_SQL.format('text')})) AS n_distinct FROM documents")
 def semantic_word_counts(t: Tables):
     w = t.documents.select("doc_id", text.semantic_words(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.size(F.array_distinct("w")).cast("bigint").alias("n_distinct"))
 
 
+# the same text with accents apart, another final sigma and no-break spaces
+APART_SQL = "replace(replace(replace(replace(replace(text, 'é', 'e' || chr(769)), 'ä', 'a' || chr(776)), 'ü', 'u' || chr(776)), 's ', 'ς' || chr(160)), chr(10), chr(8195))"
+
+
+def _apart(c):
+    for old, new in (("é", "e\u0301"), ("ä", "a\u0308"), ("ü", "u\u0308"), ("s ", "ς\u00a0"), ("\n", "\u2003")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+@query(f"SELECT doc_id, array_to_string({WORD_SQL.format(APART_SQL)}, ' ') AS words, trim(regexp_replace({FOLD_SQL.format(APART_SQL)}, '{WHITE_SQL}', ' ', 'g')) AS folded FROM documents")
+def semantic_words_decomposed(t: Tables):
+    c = _apart(F.col("text"))
+    return t.documents.select("doc_id", F.array_join(text.semantic_words(c), " ").alias("words"), text.folded(text.nfc(c)).alias("folded"))
+
+
 @query(f"SELECT conv_id, turn, {TOKEN_SQL.format('text')} AS tokens FROM conversations")
 def literal_tokens(t: Tables):
     return t.conversations.select("conv_id", "turn", text.tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"""WITH a AS (SELECT conv_id, {TOKEN_SQL.format('text')} AS e FROM conversations WHERE turn = 0), b AS (SELECT conv_id, {TOKEN_SQL.format('text')} AS f FROM conversations WHERE turn = 1),
-x AS (SELECT conv_id, e, f, len(e) AS n FROM a JOIN b USING (conv_id)), m AS (SELECT conv_id, sum(least(c, len(list_filter(f, lambda y: y = k)))) AS met FROM (SELECT conv_id, f, k, count(*) AS c FROM (SELECT conv_id, f, unnest(e) AS k FROM x) q GROUP BY 1, 2, 3) r GROUP BY 1)
-SELECT x.conv_id, CASE WHEN n = 0 THEN 1.0 ELSE round(met / n, 6) END AS coverage FROM x LEFT JOIN m USING (conv_id)""")
-def token_coverage_multiset(t: Tables):
-    side = lambda k, c: t.conversations.where(F.col("turn") == k).select("conv_id", text.tokens(F.col("text")).alias(c))
-    return side(0, "e").join(side(1, "f"), "conv_id").select("conv_id", text.multiset_coverage(F.col("e"), F.col("f")).alias("coverage"))
-
-
 def _successors(t: Tables, first: str, second: str):
     """Every turn's text as ``first`` and its successor's as ``second``."""
     a = t.conversations.select("conv_id", "turn", F.col("text").alias(first))
@@ -40,23 +50,14 @@ def _successors(t: Tables, first: str, second: str):
 @query(f"""WITH x AS (SELECT a.conv_id, a.turn, {TOKEN_SQL.format('a.text')} AS e, {TOKEN_SQL.format('b.text')} AS f FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 m AS (SELECT conv_id, turn, sum(least(c, len(list_filter(f, lambda y: y = k)))) AS met FROM (SELECT conv_id, turn, f, k, count(*) AS c FROM (SELECT conv_id, turn, f, unnest(e) AS k FROM x) q GROUP BY 1, 2, 3, 4) r GROUP BY 1, 2)
 SELECT x.conv_id, x.turn, CASE WHEN len(e) = 0 THEN 1.0 ELSE round(met / len(e), 6) END AS coverage FROM x LEFT JOIN m USING (conv_id, turn)""")
-def token_coverage_multiset_all(t: Tables):
+def token_coverage_multiset(t: Tables):
     return _successors(t, "a", "b").select("conv_id", "turn", text.multiset_coverage(text.tokens(F.col("a")), text.tokens(F.col("b"))).alias("coverage"))
 
 
-@query(f"""WITH RECURSIVE x AS (SELECT a.conv_id, {TOKEN_SQL.format('a.text')}[1:3] AS needle, {TOKEN_SQL.format('b.text')} AS hay FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
-r AS (SELECT conv_id, needle, hay, 0 AS p, 0 AS i FROM x UNION ALL SELECT conv_id, needle, hay, p + 1, CASE WHEN i < len(needle) AND hay[p + 1] = needle[i + 1] THEN i + 1 ELSE i END FROM r WHERE p < len(hay))
-SELECT conv_id, len(needle) > 0 AND max(i) = len(needle) AS contained FROM r GROUP BY conv_id, needle""")
-def ordered_subsequence_flag(t: Tables):
-    a = t.conversations.where("turn = 0").select("conv_id", F.slice(text.tokens(F.col("text")), 1, 3).alias("needle"))
-    b = t.conversations.where("turn = 1").select("conv_id", text.tokens(F.col("text")).alias("hay"))
-    return a.join(b, "conv_id").select("conv_id", text.ordered_subsequence(F.col("needle"), F.col("hay")).alias("contained"))
-
-
 @query(f"""WITH RECURSIVE x AS (SELECT a.conv_id, a.turn, {TOKEN_SQL.format('a.text')} AS needle, {TOKEN_SQL.format('b.text')} AS hay FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 r AS (SELECT conv_id, turn, needle, hay, 0 AS p, 0 AS i FROM x UNION ALL SELECT conv_id, turn, needle, hay, p + 1, CASE WHEN i < len(needle) AND hay[p + 1] = needle[i + 1] THEN i + 1 ELSE i END FROM r WHERE p < len(hay))
 SELECT conv_id, turn, len(needle) > 0 AND max(i) = len(needle) AS contained FROM r GROUP BY conv_id, turn, needle""")
-def ordered_subsequence_flag_all(t: Tables):
+def ordered_subsequence_flag(t: Tables):
     return _successors(t, "a", "b").select("conv_id", "turn", text.ordered_subsequence(text.tokens(F.col("a")), text.tokens(F.col("b"))).alias("contained"))
 
 
@@ -75,10 +76,14 @@ def visible_characters(t: Tables):
     return t.documents.select("doc_id", text.visible_characters(F.col("text")).cast("bigint").alias("visible"), text.has_critical_literal(F.col("text")).alias("critical"))
 
 
-@query("""WITH c AS (SELECT item_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[^ -~]', '', 'g') AS a FROM benchmark), r AS (SELECT item_id + 1 AS item_id, a AS b FROM c)
-SELECT item_id, levenshtein(a, b) AS distance, greatest(0.0, 1 - levenshtein(a, b) / length(b)) AS character_accuracy FROM c JOIN r USING (item_id) WHERE length(b) > 0""")
+# DuckDB's levenshtein counts bytes, so the letters beyond ASCII take control characters there
+LETTERS = "éèÉßêÑÈóüöÖñÊÄíçÇäÜáúàâîôûëï"
+
+
+@query(f"""WITH c AS (SELECT item_id, text AS a, translate(text, '{LETTERS}', {" || ".join(f"chr({i + 1 if i < 8 else i + 3})" for i in range(len(LETTERS)))}) AS t FROM benchmark), r AS (SELECT item_id + 1 AS item_id, a AS b, t AS u FROM c)
+SELECT item_id, levenshtein(t, u) AS distance, greatest(0.0, 1 - levenshtein(t, u) / length(b)) AS character_accuracy FROM c JOIN r USING (item_id) WHERE length(b) > 0""")
 def char_accuracy(t: Tables):
-    c = t.benchmark.select("item_id", F.regexp_replace(text.squash(F.col("text")), "[^ -~]", "").alias("a"))
+    c = t.benchmark.select("item_id", F.col("text").alias("a"))
     r = c.select((F.col("item_id") + 1).alias("item_id"), F.col("a").alias("b"))
     d = c.join(r, "item_id").where(F.length("b") > 0).withColumn("d", F.levenshtein("a", "b"))
     return d.select("item_id", F.col("d").cast("bigint").alias("distance"), text.accuracy(F.col("d"), F.length("a"), F.length("b")).alias("character_accuracy"))
@@ -93,50 +98,22 @@ def word_accuracy(t: Tables):
 
 @query()
 def ocr_similarity(t: Tables):
-    a = t.conversations.where("turn = 0").select("conv_id", F.col("text").alias("a"))
-    return a.join(t.conversations.where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id").select("conv_id", text.ocr_similarity("a", "b").alias("similarity"), text.ratio("a", "b").alias("ratio"))
-
-
-@query()
-def ocr_similarity_all(t: Tables):
     return _successors(t, "a", "b").select("conv_id", "turn", text.ocr_similarity("a", "b").alias("similarity"), text.ratio("a", "b").alias("ratio"))
 
 
-@query("""WITH f AS (SELECT item_id, lower(substr(text, 1, 40)) AS lit FROM benchmark) SELECT doc_id, CAST(count(item_id) AS BIGINT) AS forbidden FROM documents LEFT JOIN f ON contains(lower(documents.text), lit) GROUP BY doc_id""")
+@query(f"""WITH f AS (SELECT item_id, trim(regexp_replace({FOLD_SQL.format('text')}, '{WHITE_SQL}', ' ', 'g')) AS lit FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace({FOLD_SQL.format('text')}, '{WHITE_SQL}', ' ', 'g')) AS said FROM documents)
+SELECT doc_id, CAST(count(item_id) AS BIGINT) AS forbidden FROM d LEFT JOIN f ON contains(said, lit) GROUP BY doc_id""")
 def forbidden_literals(t: Tables):
-    lits = F.array_sort(F.collect_list(F.lower(F.substring("text", 1, 40))))
-    # the forbidden literals are a fixed list of the reference side: one row, given to every document
-    found = t.documents.join(t.benchmark.agg(lits.alias("lits")))
-    return found.select("doc_id", F.size(F.filter("lits", lambda x: F.contains(F.lower(F.col("text")), x))).cast("bigint").alias("forbidden"))
-
-
-@query("""WITH f AS (SELECT item_id, lower(text) AS lit FROM benchmark) SELECT doc_id, CAST(count(item_id) AS BIGINT) AS forbidden FROM documents LEFT JOIN f ON contains(lower(documents.text), lit) GROUP BY doc_id""")
-def forbidden_literals_whole(t: Tables):
-    return forbidden_counts(t.documents, t.benchmark)
-
-
-def forbidden_counts(docs, items):
-    """How many items' whole texts each document holds. A literal's words between its outer ones stand as whole words in a
-    text that holds it, so the longest of them is the join key; only literals without one (fewer than three words) meet every text."""
-    inner = F.filter(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda x: x != "")
-    lits = items.where("text IS NOT NULL").groupBy(F.lower("text").alias("lit")).agg(F.count("item_id").alias("n")).withColumn("w", F.split("lit", " ", -1))
-    lits = lits.select("lit", "n", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("length"), x.alias("word"))))["word"].alias("word"))
-    low = docs.select("doc_id", F.lower("text").alias("said"))
-    words = low.select(F.col("doc_id").alias("d"), F.explode(F.array_distinct(F.split("said", " ", -1))).alias("word"))
-    near = words.join(lits.where("word IS NOT NULL"), "word").select("d", "lit", "n").distinct()
-    keyed = low.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & F.contains("said", "lit"))
-    short = low.join(lits.where("word IS NULL"), F.contains("said", "lit"))
-    none = docs.select("doc_id", F.lit(0).cast("bigint").alias("n"))
-    return keyed.select("doc_id", "n").unionByName(short.select("doc_id", "n")).unionByName(none).groupBy("doc_id").agg(F.sum("n").alias("forbidden"))
+    return blocks.forbidden_hits(t.documents, t.benchmark, "doc_id")
 
 
-BOX_SQL = """boxes AS (SELECT vec_id, label, vec_id % 20 AS page, least(a, b) AS x0, least(c, d) AS y0, greatest(a, b) AS x1, greatest(c, d) AS y1, conf FROM (SELECT vec_id, label, (e[1] + 1) / 2 AS a, (e[2] + 1) / 2 AS b, (e[3] + 1) / 2 AS c, (e[4] + 1) / 2 AS d, (e[5] + 1) / 2 AS conf
+BOX_SQL = """boxes AS (SELECT vec_id, label, vec_id // 50 AS page, least(a, b) AS x0, least(c, d) AS y0, greatest(a, b) AS x1, greatest(c, d) AS y1, conf FROM (SELECT vec_id, label, (e[1] + 1) / 2 AS a, (e[2] + 1) / 2 AS b, (e[3] + 1) / 2 AS c, (e[4] + 1) / 2 AS d, (e[5] + 1) / 2 AS conf
   FROM (SELECT vec_id, label, list_transform(embedding[1:5], lambda v: least(greatest(round(CAST(v AS DOUBLE), 4), -1.0), 1.0)) AS e FROM embeddings) q) r)"""
 
 
 def _boxes(t: Tables):
     e = F.transform(F.slice("embedding", 1, 5), lambda v: (F.least(F.greatest(F.round(v.cast("double"), 4), F.lit(-1.0)), F.lit(1.0)) + 1) / 2)
-    b = t.embeddings.select("vec_id", "label", (F.col("vec_id") % 20).alias("page"), e.alias("e"))
+    b = t.embeddings.select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("page"), e.alias("e"))
     low, high = (lambda i, j: F.least(F.col("e")[i], F.col("e")[j])), (lambda i, j: F.greatest(F.col("e")[i], F.col("e")[j]))
     return b.select("vec_id", "label", "page", low(0, 1).alias("x0"), low(2, 3).alias("y0"), high(0, 1).alias("x1"), high(2, 3).alias("y1"), F.col("e")[4].alias("conf"))
 
@@ -144,11 +121,11 @@ def _boxes(t: Tables):
 IOU_SQL = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0.0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0.0)"
 
 
-@query(f"""WITH {BOX_SQL}, p AS (SELECT a.page, {IOU_SQL} AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM boxes a LEFT JOIN boxes b ON b.vec_id = a.vec_id + 20 AND b.page = a.page),
+@query(f"""WITH {BOX_SQL}, p AS (SELECT a.page, {IOU_SQL} AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM boxes a LEFT JOIN boxes b ON b.vec_id = a.vec_id + 1 AND b.page = a.page),
 q AS (SELECT page, CASE WHEN s IS NULL OR s - i = 0 THEN 0.0 ELSE i / (s - i) END AS iou FROM p) SELECT page, round(avg(iou), 9) AS mean_iou, avg(CASE WHEN iou >= 0.5 THEN 1.0 ELSE 0.0 END) AS recall_at_half FROM q GROUP BY page""")
 def box_iou_pairs(t: Tables):
     b = _boxes(t).select("page", F.col("vec_id").alias("id"), geometry.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("box"))
-    return joins.iou_recall(b.withColumn("id", F.col("id") - 20), b, ["page"]).withColumn("mean_iou", F.round("mean_iou", 9))
+    return joins.iou_recall(b.withColumn("id", F.col("id") - 1), b, ["page"]).withColumn("mean_iou", F.round("mean_iou", 9))
 
 
 @query(f"WITH {BOX_SQL} SELECT a.page, a.vec_id AS id, b.vec_id AS other, round({IOU_SQL}, 9) AS overlap FROM boxes a JOIN boxes b ON a.page = b.page AND a.vec_id <> b.vec_id AND {IOU_SQL} > 0")
@@ -173,22 +150,12 @@ def recovery_suppression(t: Tables):
     return folds.suppress(_boxes(t), ["page"], ["label", "vec_id"])
 
 
-@query(f"""WITH {BOX_SQL}, c AS (SELECT page, r.vec_id AS id, sum(b.conf * (b.label + 1)) / sum(b.label + 1) AS m FROM (SELECT page, vec_id, x0 AS a0, y0 AS b0, x1 AS a1, y1 AS b1 FROM boxes WHERE vec_id % 5 = 0) r JOIN boxes b USING (page) WHERE (b.x0 + b.x1) / 2 BETWEEN a0 AND a1 AND (b.y0 + b.y1) / 2 BETWEEN b0 AND b1 GROUP BY 1, 2)
-SELECT page, id, round(m, 8) AS confidence FROM c""")
-def centre_weighted_mean(t: Tables):
-    return _centre_means(t, "vec_id % 5 = 0")
-
-
 @query(f"""WITH {BOX_SQL}, c AS (SELECT page, r.vec_id AS id, sum(b.conf * (b.label + 1)) / sum(b.label + 1) AS m FROM (SELECT page, vec_id, x0 AS a0, y0 AS b0, x1 AS a1, y1 AS b1 FROM boxes) r JOIN boxes b USING (page) WHERE (b.x0 + b.x1) / 2 BETWEEN a0 AND a1 AND (b.y0 + b.y1) / 2 BETWEEN b0 AND b1 GROUP BY 1, 2)
 SELECT page, id, round(m, 8) AS confidence FROM c""")
-def centre_weighted_mean_all(t: Tables):
-    return _centre_means(t, "true")
-
-
-def _centre_means(t: Tables, which: str):
+def centre_weighted_mean(t: Tables):
     b = _boxes(t)
     cells = b.select("page", "x0", "y0", "x1", "y1", F.col("conf").alias("confidence"), F.repeat(F.lit("x"), (F.col("label") + 1).cast("int")).alias("text"))
-    regions = b.where(which).select("page", F.col("vec_id").alias("id"), F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
+    regions = b.select("page", F.col("vec_id").alias("id"), F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
     return joins.centre_weighted_mean(cells, regions, ["page"])
 
 

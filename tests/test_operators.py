@@ -2,6 +2,8 @@
 
 import io
 import random
+import re
+import unicodedata
 import zipfile
 
 import pytest
@@ -81,8 +83,9 @@ def test_order_tables_boxes_leaves(spark):
 
 
 def test_text(spark):
-    assert text.token_similarity("Invoice # 42", " invoice—42 ") == 1.0
-    assert text.token_similarity("total 100 usd", "total 900 usd") == pytest.approx(2 / 3)
+    like = lambda a, b: text.ocr_similarity(F.lit(a), F.lit(b))
+    r = one(spark, a=like("Invoice # 42", " invoice—42 "), b=like("total 100 usd", "total 900 usd"), c=like("", "--"), d=like("ﬁne ①", "FINE 1"))
+    assert (r.a, r.b, r.c, r.d) == (1.0, pytest.approx(2 / 3), 1.0, 1.0)
     assert text.insertions("alpha beta invented".split(), "alpha beta".split()) == 1
     rng = random.Random(3)
 
@@ -101,8 +104,39 @@ def test_text(spark):
     r = one(spark, w=text.semantic_words(F.lit("Café-au  l’été DON'T")), c=text.critical_values(F.lit("See www.x.org, a@b.co; +1 (555) 010-9999 on 2024-01-02 for AB-12 and 12345.")), g=text.garbage_ratio(F.lit("ok ###")), s=text.ordered_subsequence(F.array(F.lit("a"), F.lit("c")), F.array(F.lit("a"), F.lit("b"), F.lit("c"))), e=text.ordered_subsequence(F.array().cast("array<string>"), F.array(F.lit("a"))), m=text.multiset_coverage(F.array(*map(F.lit, "aab")), F.array(*map(F.lit, "ab"))))
     assert list(r.w) == ["café-au", "l’été", "don't"] and {"www.x.org", "a@b.co", "2024-01-02", "ab-12", "12345"} <= set(r.c)
     assert r.g == pytest.approx(3 / 5) and r.s and not r.e and r.m == pytest.approx(0.666667)
-    assert text.contains_number("total (1,234.50)", -1234.5) and text.contains_number("$ -3 left", -3) and not text.contains_number("12.5.6", 12.5) and not text.contains_number("(-5)", -5)
-    assert text.contains_boolean("| Paid | yes |", True) and text.contains_boolean("Paid: No", False) and text.contains_boolean("[x] a", True) and not text.contains_boolean("no.", False)
+
+
+@pytest.mark.parametrize(
+    "said, value, cited",
+    [("total (1,234.50)", "-1234.5", True), ("$ -3 left", "-3", True), ("12.5.6", "12.5", False), ("(-5)", "-5", False), ("(5", "5", True), ("- -5", "-5", False), ("a-5", "5", True), ("1,23", "1", False), ("1,2345", "1", False), ("12 000", "12", True), ("12,000.", "12000", True),
+     ("about 1e3 m", "1000", True), ("€+7", "7", True), ("+7€", "7", True), ("5%", "5", True), ("v5", "5", False), ("9007199254740993", "9007199254740992", False), ("a \\|3\\|", "3", True), ("", "0", False), ("x", "x", False)],
+)
+def test_cited_numbers(spark, said, value, cited):
+    assert one(spark, x=text.cites_number(F.lit(said), F.lit(value))).x is cited
+
+
+def test_cited_booleans(spark):
+    yes = ["| Paid | yes |", "Paid: Yes.", "**Paid**: __yes__", "YES", "*yes!*", "[x] a", "[✓]", "so True it is", "| a | b |\n|---|---|\n| ok | **yes** |"]
+    no = ["Paid: No", "| Paid | no. |", "[ ] a", "it is false", "no", "**no**"]
+    neither = ["no.", "yes sir", "| yes |", "| | yes |", ": yes", "| Paid | yes |\n| --- | :---: |", "**yes*", "untrue", "|", "", "yesterday: no way", "a:\nb"]
+    got = spark.createDataFrame([(t,) for t in yes + no + neither], "t string").select("t", *[text.cites_boolean(F.col("t"), v).alias(str(v)) for v in (True, False)]).collect()
+    assert [(r.t, r["True"], r["False"]) for r in got] == [(t, t in yes, t in no) for t in yes + no + neither]
+
+
+def test_unicode_normal_forms(spark):
+    odd = "  Cafe\u0301\u00a0ΣΑΣ\u2003Straße\u0130 \u212b\x1f"
+    r = one(spark, n=text.normal(F.lit(odd)), f=text.folded(F.lit(odd)), w=text.semantic_words(F.lit(odd)), z=text.normal(F.lit(None).cast("string")))
+    plain = " ".join(unicodedata.normalize("NFC", odd).split())
+    assert r.n == plain and r.f == " ".join(odd.split()).casefold() and r.z is None
+    assert list(r.w) == re.findall(r"\w+(?:[-'’]\w+)*", plain.casefold())
+
+
+def test_token_distance(spark):
+    rng = random.Random(5)
+    rows = [([rng.choice("abcdeé") * rng.randint(1, 2) for _ in range(rng.randrange(9))], [rng.choice("abcdeé") * rng.randint(1, 2) for _ in range(rng.randrange(9))]) for _ in range(80)]
+    rows.append(([str(i) for i in range(0, 3000, 3)], [str(i) for i in range(0, 500, 5)]))
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", text.token_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == text.edit_distance(list(r.a), list(r.b)) for r in got)
 
 
 def test_section_paths_and_parents(spark):
