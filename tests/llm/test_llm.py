@@ -287,7 +287,7 @@ def test_decontamination(spark, docs, monkeypatch):
     find = bench_hits(items)
     want = Counter(str((r.doc_id, *find(r.text))) for r in d.collect())
     assert Counter(str((r.doc_id, r.n_words, r.n_hit, list(r["items"]))) for r in decontaminate.report(d, b).collect()) == want
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", 0)
     assert Counter(str((r.doc_id, r.n_words, r.n_hit, list(r["items"]))) for r in decontaminate.report(d, b).collect()) == want
     c = decontaminate.clean(d.withColumn("key", F.lit("clash")), b, max_share=0.9).collect()
     assert max(find(r.text)[1] for r in c) == 0 and {r.text for r in c if r.doc_id == -30} == {"x zorp élan"}
