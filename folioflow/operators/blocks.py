@@ -205,8 +205,8 @@ def page_accuracy(pages: DataFrame, by: list[str]) -> DataFrame:
 def hallucination(documents: DataFrame, key: str) -> DataFrame:
     """Inserted words, forbidden literals that appear, false accepts. documents: candidate, reference, forbidden, rejected, accepted."""
     d = documents.withColumn("c", text.semantic_words(F.col("candidate"))).withColumn("i", text.token_insertions("c", text.semantic_words(F.col("reference"))))
-    said = text.folded(text.nfc(F.col("candidate")))
-    hit = F.size(F.filter("forbidden", lambda x: F.contains(said, text.folded(text.nfc(x)))))
+    said = text.normal_folded(F.col("candidate"))
+    hit = text.bound(said, lambda s: F.size(F.filter("forbidden", lambda x: F.contains(s, text.normal_folded(x)))))
     rejected = F.array_distinct("rejected")
     false = F.size(F.array_intersect(rejected, F.col("accepted")))
     return d.select(key, F.col("i").alias("word_insertions"), F.when(F.size("c") > 0, F.col("i") / F.size("c")).otherwise(0.0).alias("hallucination_rate"), hit.alias("forbidden_literal_count"), false.alias("false_accept_count"), F.when(F.size(rejected) > 0, false / F.size(rejected)).otherwise(0.0).alias("false_accept_rate"))
@@ -218,19 +218,21 @@ def forbidden_hits(documents: DataFrame, literals: DataFrame, key: str) -> DataF
     The words of a literal between its outer ones stand as whole words in a text that holds it, so the longest of them is the join key;
     a literal without one (fewer than three words) is keyed by its first three characters. What meets by key is compared as a whole.
     """
-    plain = lambda c: text.folded(text.nfc(c))
+    plain = text.normal_folded
     inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
     lits = literals.where("text IS NOT NULL").select(plain(F.col("text")).alias("lit")).groupBy("lit").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.split("lit", " ", -1))
     lits = lits.select("lit", "n", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("size"), x.alias("word"))))["word"].alias("word"))
     said = documents.select(key, plain(F.col("text")).alias("said"))
 
     def near(keys: Column, lits: DataFrame) -> DataFrame:
-        return said.select(F.col(key).alias("_k"), F.explode(F.array_distinct(keys)).alias("key")).join(lits, "key").select("_k", "lit", "n").distinct()
+        return said.select(F.col(key).alias("_k"), F.explode_outer(F.array_distinct(keys)).alias("key")).join(lits, "key").select("_k", "lit", "n").distinct()
 
     chars = F.regexp_extract_all("said", F.lit("(?s)."), F.lit(0))
-    runs = lambda m: F.when(F.size(chars) >= m, F.transform(F.sequence(F.lit(1), F.size(chars) - m + 1), lambda i: F.array_join(F.slice(chars, i, m), ""))).otherwise(F.array().cast("array<string>"))
+    runs = lambda c, m: F.when(F.size(c) >= m, F.transform(F.sequence(F.lit(1), F.size(c) - m + 1), lambda i: F.array_join(F.slice(c, i, m), ""))).otherwise(F.array().cast("array<string>"))
     pairs = near(F.split("said", " ", -1), lits.where("word IS NOT NULL").select(F.col("word").alias("key"), "lit", "n"))
-    pairs = pairs.unionByName(near(F.concat(F.array(F.lit("")), chars, runs(2), runs(3)), lits.where("word IS NULL").select(F.substring("lit", 1, 3).alias("key"), "lit", "n")))
+    short = lits.where("word IS NULL").select(F.substring("lit", 1, 3).alias("key"), "lit", "n")
+    if not short.isEmpty():  # asked of the literals alone; else every text would be cut into runs for nothing
+        pairs = pairs.unionByName(near(text.bound(chars, lambda c: F.concat(F.array(F.lit("")), c, runs(c, 2), runs(c, 3))), short))
     hits = said.join(pairs, F.col(key).eqNullSafe(F.col("_k")) & F.contains("said", "lit")).select(key, "n")
     return hits.unionByName(documents.select(key, F.lit(0).cast("bigint").alias("n"))).groupBy(key).agg(F.sum("n").alias("forbidden"))
 

@@ -33,7 +33,7 @@ def _apart(c):
 @query(f"SELECT doc_id, array_to_string({WORD_SQL.format(APART_SQL)}, ' ') AS words, trim(regexp_replace({FOLD_SQL.format(APART_SQL)}, '{WHITE_SQL}', ' ', 'g')) AS folded FROM documents")
 def semantic_words_decomposed(t: Tables):
     c = _apart(F.col("text"))
-    return t.documents.select("doc_id", F.array_join(text.semantic_words(c), " ").alias("words"), text.folded(text.nfc(c)).alias("folded"))
+    return t.documents.select("doc_id", F.array_join(text.semantic_words(c), " ").alias("words"), text.normal_folded(c).alias("folded"))
 
 
 @query(f"SELECT conv_id, turn, {TOKEN_SQL.format('text')} AS tokens FROM conversations")
@@ -98,7 +98,7 @@ def word_accuracy(t: Tables):
 
 @query()
 def ocr_similarity(t: Tables):
-    return _successors(t, "a", "b").select("conv_id", "turn", text.ocr_similarity("a", "b").alias("similarity"), text.ratio("a", "b").alias("ratio"))
+    return _successors(t, "a", "b").select("conv_id", "turn", text.ocr_similarity(F.col("a"), F.col("b")).alias("similarity"), text.ratio("a", "b").alias("ratio"))
 
 
 @query(f"""WITH f AS (SELECT item_id, trim(regexp_replace({FOLD_SQL.format('text')}, '{WHITE_SQL}', ' ', 'g')) AS lit FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace({FOLD_SQL.format('text')}, '{WHITE_SQL}', ' ', 'g')) AS said FROM documents)
