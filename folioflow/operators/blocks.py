@@ -1,4 +1,4 @@
-"""Block trees, predicates, quality, retrieval and assembly of native documents.
+"""Block trees, predicates, quality, retrieval and assembly of native documents (P1-P3, P6, P7, P11-P14, P19-P21, P23, P25, P27-P30, A4, A12, A15, A19-A21, F7, F27, J21, L5, L6, L13-L15, S18, S19).
 
 Blocks are adjacency rows: doc_id, page, block_id, parent_id, reading_order, type, text, status, confidence and what each operator names.
 """

@@ -1,4 +1,4 @@
-"""End-to-end flows from the other operators."""
+"""End-to-end flows from the other operators."""
 
 from __future__ import annotations
 

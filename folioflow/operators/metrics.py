@@ -1,4 +1,4 @@
-"""Telemetry, cost, review, classification, calibration and gate aggregates."""
+"""Telemetry, cost, review, classification, calibration and gate aggregates."""
 
 from __future__ import annotations
 

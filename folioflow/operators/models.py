@@ -1,4 +1,4 @@
-"""Model boundary and recognition output.
+"""Model boundary and recognition output.
 
 Models are functions the caller injects; everything around them is here. A call that raises gives an error row, never a failed job.
 """

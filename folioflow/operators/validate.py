@@ -1,4 +1,4 @@
-"""Validators as violation tables."""
+"""Validators as violation tables."""
 
 from __future__ import annotations
 
