@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE = 1 << 18
+SALTS = 64
 _U = np.uint64
 
 
@@ -24,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and the master is local."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -39,6 +42,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_join(rows: DataFrame, small: DataFrame, key: str, by: Column) -> DataFrame:
+    """rows with the columns of small, which has one row a key, where one key may hold most of rows.
+
+    Rows are dealt by the key and a hash of ``by``; of small each key goes once to each of the at most ``SALTS`` places where rows of it are.
+    """
+    dealt = rows.withColumn("_ff_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    places = dealt.select(key, "_ff_salt").distinct().join(small, key)
+    return dealt.join(places, [key, "_ff_salt"]).drop("_ff_salt")
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts; sizes segments and filters."""
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)

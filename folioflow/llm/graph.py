@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import settle
+from ._shared import settle, spread_join
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,19 +16,20 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: label is the smallest node that node is connected to. Nodes without an edge to another are not listed.
 
-    edges: u, v (bigint, not null). Stars make at most one edge of each edge, so the table never grows; the number of
+    edges: u, v (bigint, not null). An empty table gives no rows; repeated edges and edges of a node to itself change nothing. A star's
+    centre may have most of the edges: its joins are spread over tasks. Stars make at most one edge of each edge, so the table never grows; the number of
     rounds grows with the logarithm of the longest path.
     """
     now = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _mark(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = spread_join(both.where("v > u"), least, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        small = large.join(low, F.col("u") == F.col("c"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = spread_join(large, low, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(low.select("u", F.col("m").alias("v")))
         now = settle(small.where("u <> v").distinct())
         after = _mark(now)
         if after == before:

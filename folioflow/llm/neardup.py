@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _U, mix, settle, shingles, span_hash, words_of
+from ._shared import _U, mix, settle, shingles, span_hash, spread_join, words_of
 from .graph import components
 
 WIDTH = 5
@@ -188,8 +188,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     known = known.withColumn("label", F.coalesce("label", "node"))
     named = known.groupBy("label").agg(F.min("first_id").alias("class_id"))
     known = known.join(named, "label").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "row_hash", "node").join(known, "node", "left")
-    return out.select("doc_id", "row_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "node")
+    # rows without words go round the join; copies of one text share a node and are spread
+    out = spread_join(signed.where("node IS NOT NULL").select("doc_id", "row_hash", "node"), known, "node", F.struct("doc_id", "row_hash"))
+    none = signed.where("node IS NULL").select("doc_id", "row_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "node")
+    return out.select("doc_id", "row_hash", "class_id", F.col("n_links").cast("bigint").alias("n_links"), "node").unionByName(none)
 
 
 def representatives(docs: DataFrame, **rule) -> DataFrame:

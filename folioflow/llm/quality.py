@@ -22,6 +22,7 @@ from ._shared import _U, buffers, int_column, per_row, settle, span_hash, words_
 MIN_DOCS = 20
 SHARE = 0.01
 KEEP_SHARE = 0.2
+SALTS = 8  # a boilerplate line has more than MIN_DOCS rows, so its copies for spread rows stay fewer than those
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -126,7 +127,8 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, ke
     once = measured.dropDuplicates(["doc_id", "row_hash"])
     lines = once.select("doc_id", "row_hash", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("doc_id", "row_hash", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     gone = (
-        lines.join(common, ["host", "line"])
+        lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        .join(common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["host", "line", "salt"])
         .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"))
         .agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("removed"))

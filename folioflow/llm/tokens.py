@@ -5,7 +5,8 @@ rewriting would change byte-level counts) and the tokenizer's version digest (SH
 Contents that the cache lacks are encoded once each, however many documents hold them, and appended to the cache, a Parquet
 folder that all executors share. Counting reads them back by the same two digests.
 
-Null or empty text: 0 tokens of an empty string. Repeated rows and copies: one encoding, a row each. Empty table: no rows.
+Null or empty text: 0 tokens of an empty string. Repeated rows, copies and ties: one encoding, a row each; the rows of one
+content are spread over tasks when they meet its count. Empty table: no rows.
 Extra columns are ignored by ``count_tokens``. Texts are encoded whole, about ``BATCH`` bytes at a time.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import buffers, pieces
+from ._shared import buffers, pieces, settle, spread_join
 
 BATCH = 1 << 18
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens bigint"
@@ -103,5 +104,5 @@ def count_tokens(docs: DataFrame, cache_dir: str, tokenizer: str, normal: Callab
     """doc_id, n_bytes, n_tokens of each row of docs (doc_id, text)."""
     content = normal(F.col("text"))
     fill_cache(docs.select(content_digest(content).alias("content_digest"), content.alias("content")), cache_dir, tokenizer)
-    rows = docs.select("doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint").alias("n_bytes"), content_digest(content).alias("content_digest"))
-    return rows.join(stored(docs.sparkSession, cache_dir, version(tokenizer)), "content_digest").select("doc_id", "n_bytes", "n_tokens")
+    rows = settle(docs.select("doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint").alias("n_bytes"), content_digest(content).alias("content_digest")))
+    return spread_join(rows, stored(docs.sparkSession, cache_dir, version(tokenizer)), "content_digest", F.col("doc_id")).select("doc_id", "n_bytes", "n_tokens")
