@@ -18,27 +18,42 @@ ORACLE_SQL = None
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without their boilerplate lines."""
+    """Documents that pass the quality rules, without their boilerplate lines.
+
+    Null or empty texts fail the rules and go; repeated rows share one verdict; extra columns are kept; an empty table gives no rows.
+    """
     return quality.clean(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest doc_id."""
+    """One document of each class of near duplicates: the one with the smallest doc_id.
+
+    Rows without words all stay; of repeated rows, or rows that share the doc_id, one stays; extra columns are kept; an empty table gives no rows.
+    """
     return neardup.representatives(docs)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark words are cut out; documents that are mostly benchmark go."""
+    """Benchmark words are cut out; documents that are mostly benchmark go.
+
+    Null, empty and clean texts stay as they are; repeated rows are treated alike; extra columns are kept; an empty table gives no rows.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind; no row goes.
+
+    Null, empty and clean texts stay as they are; of overlapping spans the first holds; extra columns are kept; an empty table gives no rows.
+    """
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, and how many words of each."""
+    """The documents that the mix takes, and how many words of each.
+
+    Null or empty texts have no words and are not taken; a null source is a source; equal rows have equal takes; extra columns are kept; an empty table gives no rows.
+    """
     return mixing.mix(docs)
 
 
