@@ -23,25 +23,30 @@ extra columns are ignored; an empty table gives no rows. Long texts are read pie
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _U, mix, release, settle, text_bytes, words_of
+from ._shared import _U, buffers, mix, pieces, release, settle, text_bytes, words_of
 
 HEAD = 1 << 21
 BITS_PER_ENTRY = 10
 MAX_FILTER = 96 << 20
 SEGMENT_BYTES = 8 << 20
+MAX_BITS = 24
+BATCH = 4 << 20
 HASHES = 5
 LEAST_SPAN = 64
 LEVELS = 48
 ALPHA = 2.0
 FLUSH = 1_000_000
 END = _U(0x5EED0E4D5EED0E4D)
-_TOP = _U(0xFFFF000000000000)
-_LOW = _U(0x0000FFFFFFFFFFFF)
+_TOP = _U(0xFFFFFF0000000000)  # MAX_BITS bits name the segment
+_LOW = _U(0x000000FFFFFFFFFF)
 
 COUNTS = "segment int, keys binary, counts binary, n bigint, distinct_keys bigint"
 _COUNTS = pa.schema([("segment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("distinct_keys", pa.int64())])
@@ -111,15 +116,15 @@ def count_keys(docs: DataFrame, keys_of, bits: int) -> DataFrame:
     """Counts of keys_of(words) over the texts of docs, one row a segment and task."""
 
     def run(batches):
-        held, n = [], 0
+        held, n, total = [], 0, 0
         for batch in batches:
             for w in words_of(batch.column(0)):
                 keys, counts = np.unique(keys_of(w), return_counts=True)
                 held.append((keys, counts))
-                n += len(keys)
-                if n >= FLUSH:
+                n, total = n + len(keys), total + int(counts.sum())
+                if n >= FLUSH or total >> 31:  # a count fits in 32 bits
                     yield _blobs(*_unique_sum(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])), bits)
-                    held, n = [], 0
+                    held, n, total = [], 0, 0
         if n:
             yield _blobs(*_unique_sum(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])), bits)
 
@@ -187,11 +192,6 @@ class Filter:
         self.data, self.first, self.bits = data, first, bits
         self.spans = np.full(len(data) * 8 // spans, spans, _U) if np.isscalar(spans) else spans.astype(_U)
         self.starts = np.cumsum(self.spans) - self.spans
-        self.n = len(self.spans)
-
-    def mine(self, keys: np.ndarray) -> np.ndarray:
-        segment = self.segment(keys)
-        return (segment >= self.first) & (segment < self.first + self.n)
 
     def segment(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
@@ -219,35 +219,137 @@ def held_out(doc_id: Column, modulus: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == 1, F.lit(False))
 
 
-def _filters(train: DataFrame, bits: int, look):
-    """The shards of the filter, one after the other. look: counts of head words, 0 for others."""
+def _probes(w, look):
+    """Of the words w: token hashes, where rows begin, distinct tokens and each token's place in them, their head counts, the place of
+    each token's context, and the keys to ask for: the pairs, and the contexts that are not head words."""
+    h, of = sequence(w)
+    uniq, inv = np.unique(h, return_inverse=True)
+    known = look(uniq)
+    before = shifted(inv, of, int(np.searchsorted(uniq, END)))
+    return h, of, uniq, inv, known, before, pair_keys(uniq[before], h, known[before] > 0), context_keys(uniq[known == 0])
+
+
+def _built(train: DataFrame, bits: int, look) -> DataFrame:
+    """The segments of the filter. look: counts of head words, 0 for others."""
 
     def keys_of(w):
-        h, of = sequence(w)
-        uniq, inv = np.unique(h, return_inverse=True)
-        in_head = look(uniq) > 0
-        before = shifted(inv, of, int(np.searchsorted(uniq, END)))
-        u, spread = uniq[before], in_head[before]
-        return np.concatenate([pair_keys(u, h, spread), context_keys(u[~spread])])
-
-    built = settle(build_filter(count_keys(train, keys_of, bits)))
-    sizes = np.full(1 << bits, LEAST_SPAN // 8, np.int64)  # a segment without keys is all zeros
-    for row in built.select("segment", F.length("bits").alias("n")).collect():
-        sizes[row["segment"]] = row["n"]
-    ends = np.cumsum(sizes)
-    first = 0
-    while first < len(sizes):
-        before = int(ends[first] - sizes[first])
-        last = max(first + 1, int(np.searchsorted(ends, before + MAX_FILTER, "right")))
-        data = bytearray(int(ends[last - 1]) - before)
-        for row in built.where(F.col("segment").between(first, last - 1)).toLocalIterator():
-            at = int(ends[row["segment"]] - sizes[row["segment"]]) - before
-            data[at : at + len(row["bits"])] = row["bits"]
-        yield Filter(data, first, sizes[first:last] * 8, bits)
-        first = last
-
-
-# a text's own row has level -1, its tokens as tf (in the first pass) and its closed sums; a request has the level of its pairs
+        _, _, uniq, _, known, before, pairs, _ = _probes(w, look)
+        return np.concatenate([pairs, context_keys(uniq[before[known[before] == 0]])])
+
+    return settle(build_filter(count_keys(train, keys_of, bits)))
+
+
+def _whole(built: DataFrame, bits: int) -> Filter:
+    """All segments in one filter; asked for where they are at most MAX_FILTER bytes."""
+    data, sizes = [b"\0" * (LEAST_SPAN // 8)] * (1 << bits), np.full(1 << bits, LEAST_SPAN // 8, np.int64)  # a segment without keys is all zeros
+    for row in built.toLocalIterator():
+        data[row["segment"]], sizes[row["segment"]] = row["bits"], len(row["bits"])
+    return Filter(bytearray().join(data), 0, sizes * 8, bits)
+
+
+ROUTED = "dealt bigint, part bigint, batch bigint, data binary, doc_id bigint, row_hash bigint, text string"
+
+
+def _batched(rows: DataFrame) -> DataFrame:
+    """rows with the number of a batch: neighbours with about BATCH bytes of text, or one longer text."""
+
+    def run(batches):
+        number, held = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, offsets = buffers(batch.column(2))
+            for i, j in pieces(offsets, BATCH):
+                size = int(offsets[j] - offsets[i])
+                if number is None or held + size > BATCH:
+                    number, held = int.from_bytes(os.urandom(8), "little") >> 1, 0
+                held += size
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, number)), *(c.slice(i, j - i) for c in batch.columns)], names=["batch", "doc_id", "row_hash", "text"])
+
+    return settle(rows.mapInArrow(run, "batch bigint, doc_id bigint, row_hash bigint, text string"))
+
+
+def _runs(batches, column: int):
+    """(value, record batches) of each run of equal values in a column without nulls."""
+    at, held = None, []
+    for batch in batches:
+        values = batch.column(column).to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else [0]
+        for i, j in zip(cut[:-1], cut[1:]):
+            if held and values[i] != at:
+                yield at, held
+                held = []
+            at = values[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield at, held
+
+
+def _texts(held: list, column: int) -> pa.Array:
+    return pa.concat_arrays([b.column(column) for b in held])
+
+
+def _asked(texts: pa.Array, look) -> np.ndarray:
+    """The distinct keys of a batch, sorted; so they stand by segment."""
+    return np.unique(np.concatenate([k for w in words_of(texts) for k in _probes(w, look)[6:]]))
+
+
+def _routed(rows: DataFrame, built: DataFrame, bits: int, size: int, look, scored) -> DataFrame:
+    """The scored rows by a filter of size bytes that lies in shards of about half of MAX_FILTER."""
+    shard_bits = min(bits, max(1, (2 * size // MAX_FILTER).bit_length()))
+    batched = _batched(rows)
+
+    def asking(batches):
+        for number, held in _runs(batches, 0):
+            keys = _asked(_texts(held, 3), look)
+            shard = (keys >> _U(64 - shard_bits)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[cut[:-1]]), pa.array(np.zeros(len(cut) - 1, np.int64)), pa.array(np.full(len(cut) - 1, number)), pa.array([keys[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())],
+                names=["dealt", "part", "batch", "data"],
+            )
+
+    def answering(batches):
+        at, f, data = None, None, {}
+        for batch in batches:
+            for shard, part, number, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != at:
+                    at, f, data = shard, None, {}
+                    release()
+                if part < 0:  # a segment; they come first
+                    data[-part - 1] = blob
+                    continue
+                if f is None:
+                    first = shard << (bits - shard_bits)
+                    held = [data.get(k, b"\0" * (LEAST_SPAN // 8)) for k in range(first, first + (1 << (bits - shard_bits)))]
+                    f, data = Filter(bytearray().join(held), first, np.array([len(b) * 8 for b in held]), bits), {}
+                levels = f.levels(np.frombuffer(blob, _U)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([shard], pa.int64()), pa.array([number], pa.int64()), pa.array([levels.tobytes()], pa.binary())], names=["dealt", "part", "batch", "data"])
+
+    def closing(batches):
+        for _, held in _runs(batches, 0):
+            answers = [np.frombuffer(d, np.uint8) for b in held for d in b.column(3).to_pylist() if d is not None]
+            whole = pa.Table.from_batches(held)
+            whole = whole.filter(pc.is_null(whole["data"]))
+            texts = pa.concat_arrays(whole["text"].chunks)
+            keys, levels = _asked(texts, look), np.concatenate(answers).astype(np.int64)
+            if len(keys) != len(levels):
+                raise ValueError("the answers are not those of the batch's keys")
+            find = lambda k: levels[np.searchsorted(keys, k)]  # noqa: E731, B023
+            ids, hashes = pa.concat_arrays(whole["doc_id"].chunks), pa.concat_arrays(whole["row_hash"].chunks)
+            for w in words_of(texts):
+                yield scored(w, ids, hashes, find)
+
+    blob = "dealt bigint, part bigint, batch bigint, data binary"
+    segments = built.select(F.shiftright("segment", bits - shard_bits).cast("bigint").alias("dealt"), (-F.col("segment").cast("bigint") - 1).alias("part"), F.lit(0).cast("bigint").alias("batch"), F.col("bits").alias("data"))
+    asked = batched.mapInArrow(asking, blob)
+    answers = segments.unionByName(asked).repartition("dealt").sortWithinPartitions("dealt", "part").mapInArrow(answering, blob)
+    texts = batched.select(F.col("batch").alias("dealt"), F.lit(1 << 62).cast("bigint").alias("part"), "*")
+    met = answers.unionByName(texts, allowMissingColumns=True).select(*[c.split()[0] for c in ROUTED.split(", ")])
+    return met.repartition("dealt").sortWithinPartitions("dealt", "part").mapInArrow(closing, PARTS)
+
+
+# a text's own row has level -1, its tokens as tf and its closed sums; a request has the level of its pairs
 PARTS = "token bigint, doc_id bigint, row_hash bigint, level int, tf bigint, head_known bigint, base double, score double"
 
 
@@ -255,7 +357,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     """Of each row of docs (doc_id, text): n_tokens, n_known, train_tokens, base_score, score; train (text) is learned from."""
     sc = docs.sparkSession.sparkContext
     size = text_bytes(train)
-    bits = min(16, max(2, int(size // SEGMENT_BYTES).bit_length()))
+    bits = min(MAX_BITS, max(2, int(size // SEGMENT_BYTES).bit_length()))
     words = settle(gathered(count_keys(train, lambda w: sequence(w)[0], bits)))
     stats = words.agg(F.sum("n").alias("n"), F.sum("distinct_keys").alias("v")).first()
     n, v = int(stats["n"] or 0), int(stats["v"] or 0)
@@ -288,52 +390,38 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_hash"), F.col("text").cast("string").alias("text"))
 
-    def scoring(shared, first: bool):
-        def run(batches):
-            f = shared.value
+    def scored(w, ids, hashes, find):
+        h, of, uniq, inv, known, before, pairs, contexts = _probes(w, look)
+        levels_of_contexts = levels(known)
+        levels_of_contexts[known == 0] = find(contexts)
+        cu, level, tail = middle(levels_of_contexts), find(pairs), known[inv] == 0
+        cuw = middle(level)
+        logs = np.log10(np.where(tail, 1.0, cuw + ALPHA * (known[inv] + 0.5) / floor) / (np.maximum(cu[before], cuw) + ALPHA))
+        m, c = w.last - w.first, known[inv]
+        row = np.searchsorted(of, np.flatnonzero(tail), "right") - 1
+        both, tf = np.unique((row.astype(np.int64) * len(uniq) + inv[tail]) * LEVELS + level[tail], return_counts=True)
+        level, both = both % LEVELS, both // LEVELS
+        owner = pa.array(np.concatenate([np.arange(m), both // len(uniq)]) + w.first)
+        of_row = hashes.take(owner)
+        none = np.zeros(len(both), np.int64)
+        per_text = lambda x: np.concatenate([np.add.reduceat(x, of[:-1]), none])
+        token = np.concatenate([of_row.slice(0, m).to_numpy(), uniq[both % len(uniq)].view(np.int64)])
+        columns = (token, ids.take(owner), of_row, np.concatenate([np.full(m, -1), level]).astype(np.int32), np.concatenate([np.diff(of), tf]), per_text((c > 0).astype(np.int64)), per_text(np.where(c > 0, np.log10(c + 0.5), 0.0)), per_text(logs))
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=[v.split()[0] for v in PARTS.split(", ")])
+
+    built = _built(train, bits, look)
+    filter_bytes = int(built.agg(F.sum(F.length("bits")).alias("n")).first()["n"] or 0)
+    if filter_bytes <= MAX_FILTER:
+        shared = sc.broadcast(_whole(built, bits))
+
+        def scoring(batches):
             for batch in batches:
                 for w in words_of(batch.column(2)):
-                    h, of = sequence(w)
-                    uniq, inv = np.unique(h, return_inverse=True)
-                    known = look(uniq)
-                    end = int(np.searchsorted(uniq, END))
-                    before = shifted(inv, of, end)
-                    contexts = context_keys(uniq)
-                    asked = f.mine(contexts) & (known == 0)
-                    cu = middle(levels(known))
-                    cu[asked] = f.counts(contexts[asked])
-                    pairs = pair_keys(uniq[before], h, known[before] > 0)
-                    use = np.flatnonzero(f.mine(pairs))
-                    b, x = before[use], inv[use]
-                    level = f.levels(pairs[use])
-                    cuw, tail = middle(level), known[x] == 0
-                    logs = np.zeros(len(h))
-                    logs[use] = np.log10(np.where(tail, 1.0, cuw + ALPHA * (known[x] + 0.5) / floor) / (np.maximum(cu[b], cuw) + ALPHA))
-                    total = np.add.reduceat(logs, of[:-1])
-                    m = w.last - w.first
-                    if first:
-                        c = known[inv]
-                        tokens = np.diff(of)
-                        base = np.add.reduceat(np.where(c > 0, np.log10(c + 0.5), 0.0), of[:-1])
-                        in_head = np.add.reduceat((c > 0).astype(np.int64), of[:-1])
-                    else:
-                        tokens, base, in_head = np.zeros(m, np.int64), np.zeros(m), np.zeros(m, np.int64)
-                    row = np.searchsorted(of, use[tail], "right") - 1
-                    both, tf = np.unique((row.astype(np.int64) * len(uniq) + x[tail]) * LEVELS + level[tail], return_counts=True)
-                    level, both = both % LEVELS, both // LEVELS
-                    owner = pa.array(np.concatenate([np.arange(m), both // len(uniq)]) + w.first)
-                    hashes = batch.column(1).take(owner)
-                    none = np.zeros(len(both), np.int64)
-                    token = np.concatenate([hashes.slice(0, m).to_numpy(), uniq[both % len(uniq)].view(np.int64)])
-                    columns = (token, batch.column(0).take(owner), hashes, np.concatenate([np.full(m, -1), level]).astype(np.int32), np.concatenate([tokens, tf]), np.concatenate([in_head, none]), np.concatenate([base, none]), np.concatenate([total, none]))
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=[v.split()[0] for v in PARTS.split(", ")])
-
-        return run
+                    yield scored(w, batch.column(0), batch.column(1), shared.value.levels)
 
-    passes = [rows.mapInArrow(scoring(sc.broadcast(f), k == 0), PARTS) for k, f in enumerate(_filters(train, bits, look))]
-    parts = passes[0]
-    for p in passes[1:]:
-        parts = parts.unionByName(p)
+        parts = rows.mapInArrow(scoring, PARTS)
+    else:
+        parts = _routed(rows, built, bits, filter_bytes, look, scored)
     found = parts.join(words.mapInArrow(split(False), "token bigint, c bigint"), "token", "left")
     own, c = F.col("level") < 0, F.coalesce("c", F.lit(0)) + 0.5
     cuw = F.when(F.col("level") == 0, 0.0).otherwise((3 * F.pow(F.lit(2.0), F.col("level") - 1) - 1) / 2)
@@ -344,6 +432,6 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
         F.sum(F.when(own, F.col("base")).otherwise(F.col("tf") * F.log10(c))).alias("base"),
         F.sum(F.when(own, F.col("score")).otherwise(F.col("tf") * F.log10(cuw + F.lit(ALPHA / floor) * c))).alias("score"),
     )
-    m = (F.col("m") / len(passes)).cast("int")  # equal rows share a key: the sums hold each of them once, and are dealt out again
+    m = F.col("m").cast("int")  # equal rows share a key: the sums hold each of them once, and are dealt out again
     each = sums.select("doc_id", *[(F.col(k) / m).cast(t).alias(k) for k, t in (("n_tokens", "bigint"), ("n_known", "bigint"), ("base", "double"), ("score", "double"))], F.explode(F.sequence(F.lit(1), m)).alias("k"))
     return each.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(floor)))).alias("base_score"), "score")

@@ -138,6 +138,19 @@ def test_lm_head_does_not_change_the_score(spark, docs, monkeypatch, head):
     assert sum(r.score for r in out) / tokens == pytest.approx(sum(exact_scores(train, texts)) / tokens, abs=0.05)
 
 
+def test_lm_routed_probes_equal_the_broadcast(spark, docs, monkeypatch):
+    """Beyond MAX_FILTER the probes are sent to the shards, batch by batch; the scores are those of the broadcast filter."""
+    monkeypatch.setattr(lm, "HEAD", 200)
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 1 << 14)
+    train = docs.where(~lm.held_out(F.col("doc_id"))).select("text")
+    scores = lambda: Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, train).collect())
+    want = scores()
+    monkeypatch.setattr(lm, "MAX_FILTER", 30_000)
+    for batch in (1, 50_000, lm.BATCH):
+        monkeypatch.setattr(lm, "BATCH", batch)
+        assert scores() == want
+
+
 def test_bloom_counts(spark):
     import numpy as np
 
