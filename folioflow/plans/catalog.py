@@ -1,4 +1,4 @@
 """All named queries over the driver's tables."""
 
-from . import documents, regions, reports, structure, textual  # noqa: F401
+from . import documents, evidence, regions, reports, structure, textual  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
