@@ -1,12 +1,13 @@
 """Order-dependent reductions inside one group: packing, greedy suppression, duplicate blocks, union areas.
 
-Each runs per group (a document or a page) through applyInPandas; groups are small by nature, and a document is the unit of order.
+Each runs per group (a document or a page) through applyInPandas, cells of tables as a stream; groups are small by nature, and a document is the unit of order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,18 +167,28 @@ def covered_fraction(boxes: DataFrame, regions: DataFrame, by: list[str]) -> Dat
 
 
 def place_cells(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Table cells (row, seq, row_span, col_span, text) put on the grid; a cell takes the first free column of its row."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        taken: set[tuple[int, int]] = set()
-        out = []
-        for row in group.sort_values(["row", "seq"]).to_dict("records"):
-            col = 0
-            while (row["row"], col) in taken:
-                col += 1
-            taken.update((row["row"] + r, col + c) for r in range(row["row_span"]) for c in range(row["col_span"]))
-            out.append({**{b: row[b] for b in by}, "row": row["row"], "column": col, "row_span": row["row_span"], "col_span": row["col_span"], "text": row["text"]})
-        return pd.DataFrame(out)
+    """Table cells (row, seq, row_span, col_span, text) put on the grid; a cell takes the first free column of its row.
+
+    Tables stand whole and in order in their partition and are read as a stream, so only the spans that reach the present row are held.
+    """
+
+    def run(batches):
+        key, row, column, taken = None, None, 0, {}
+        for batch in batches:
+            held, columns = {n: batch.column(n) for n in batch.schema.names}, []
+            for k, r, down, across in zip(zip(*[held[b].to_pylist() for b in by]), *[held[n].to_pylist() for n in ("row", "row_span", "col_span")]):
+                if k != key:
+                    key, row, taken = k, None, {}
+                if r != row:
+                    row, column, taken = r, 0, {x: c for x, c in taken.items() if x >= r}
+                while column in taken.get(r, ()):
+                    column += 1
+                columns.append(column)
+                for x in range(r, r + down):
+                    taken.setdefault(x, set()).update(range(column, column + across))
+            yield pa.RecordBatch.from_arrays([*[held[b] for b in by], held["row"], pa.array(columns, pa.int32()), held["row_span"], held["col_span"], held["text"]], names=[*by, "row", "column", "row_span", "col_span", "text"])
 
     t = dict(cells.dtypes)
-    return cells.groupBy(*by).applyInPandas(fold, ", ".join(f"`{b}` {t[b]}" for b in by) + ", row int, column int, row_span int, col_span int, text string")
+    whole = cells.select(*by, "seq", *[F.col(c).cast("int").alias(c) for c in ("row", "row_span", "col_span")], F.col("text").cast("string").alias("text"))
+    ordered = whole.repartition(*by).sortWithinPartitions(*by, "row", "seq")
+    return ordered.mapInArrow(run, ", ".join(f"`{b}` {t[b]}" for b in by) + ", row int, column int, row_span int, col_span int, text string")

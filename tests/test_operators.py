@@ -168,6 +168,20 @@ def test_dedup_folds(spark):
     assert {r.text: r.column for r in folds.place_cells(c, ["t"]).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
 
 
+def test_cells_against_a_grid(spark):
+    rng = random.Random(3)
+    cells = [(t, r, i, rng.randrange(1, 4), rng.randrange(0, 3), f"{t}-{r}-{i}") for t in (None, *range(40)) for r in range(5) for i in range(rng.randrange(4))]
+    taken, want = set(), {}
+    for t, r, i, down, across, said in sorted(cells, key=lambda x: (str(x[0]), x[1], x[2])):
+        column = next(c for c in range(99) if (t, r, c) not in taken)
+        taken |= {(t, r + x, column + y) for x in range(down) for y in range(across)}
+        want[said] = column
+    rng.shuffle(cells)
+    c = spark.createDataFrame(cells, "t int, row int, seq int, row_span int, col_span int, text string")
+    assert {x.text: x.column for x in folds.place_cells(c, ["t"]).collect()} == want
+    assert folds.place_cells(c.limit(0), ["t"]).count() == 0
+
+
 def test_dense_form_order(spark):
     r = [("r1", 0.3, 0.02, 0.4, 0.05), ("l1", 0.02, 0.02, 0.2, 0.05), ("l2", 0.02, 0.06, 0.2, 0.08), ("r2", 0.3, 0.06, 0.4, 0.08), ("m", 0.01, 0.3, 0.05, 0.6), ("b", 0.1, 0.2, 0.9, 0.25), ("f", 0.1, 0.95, 0.9, 0.98)]
     d = spark.createDataFrame([(1, *x) for x in r], "page int, id string, x0 double, y0 double, x1 double, y1 double")
