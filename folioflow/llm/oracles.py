@@ -71,3 +71,12 @@ k AS (SELECT l.*, stop - size AS start, least(coalesce(blocks, 0), 2 * cells) AS
 g AS (SELECT *, CASE WHEN blocks >= cells THEN blocks - cells ELSE blocks END AS arc FROM k)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE CASE WHEN blocks >= cells THEN size ELSE 0 END + greatest(least(stop, least(first + arc, cells) * block) - greatest(start, first * block), 0) + greatest(least(stop, greatest(first + arc - cells, 0) * block) - greatest(start, 0), 0) END AS BIGINT) AS taken FROM g
 """
+
+_FINITE = "len(list_filter(embedding, v -> v IS NULL OR NOT isfinite(v))) = 0"
+
+OP11 = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, c -> CAST(floor(1024 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, and their SQL."""
+"""The queries op1 to op13 over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -89,6 +89,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 OP2_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -104,5 +110,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_language_id, op5_substring_dedup, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing, op10_ngram_jaccard)}
-ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_substring_dedup": oracles.OP5, "op7_decontamination": oracles.OP7, "op8_quality_rules": oracles.OP8, "op9_mixing": oracles.OP9}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_language_id, op5_substring_dedup, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing, op10_ngram_jaccard, op11_exact_topk)}
+ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_substring_dedup": oracles.OP5, "op7_decontamination": oracles.OP7, "op8_quality_rules": oracles.OP8, "op9_mixing": oracles.OP9, "op11_exact_topk": oracles.OP11}
