@@ -72,11 +72,48 @@ g AS (SELECT *, CASE WHEN blocks >= cells THEN blocks - cells ELSE blocks END AS
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE CASE WHEN blocks >= cells THEN size ELSE 0 END + greatest(least(stop, least(first + arc, cells) * block) - greatest(start, first * block), 0) + greatest(least(stop, greatest(first + arc - cells, 0) * block) - greatest(start, 0), 0) END AS BIGINT) AS taken FROM g
 """
 
-_FINITE = "len(list_filter(embedding, v -> v IS NULL OR NOT isfinite(v))) = 0"
+_FINITE = "len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0"
 
 OP11 = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, c -> CAST(floor(1024 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 10
 """
+
+OP12 = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) <= 10
+"""
+
+
+def _leaf(text: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END" for v in values) + ")"
+
+
+_BITS = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+_CRC = f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)), lambda c, b: {_BITS}), 4294967295)"
+_FOLD = "sha256(array_to_string(hs[1:(f.i - f.i // 8 * 8)] || [f.h] || hs[(f.i - f.i // 8 * 8) + 2:], ''))"
+
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS seen FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+up AS (SELECT lang, 0 AS level, i, leaf AS h, n FROM l UNION ALL SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY lang, level, i // 8, n),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, t AS i, subroot AS h, n FROM subs UNION ALL SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY level, i // 8, n),
+runs AS (SELECT t, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM up JOIN subs ON subs.lang IS NOT DISTINCT FROM up.lang WHERE up.n > 1 GROUP BY ALL),
+tops AS (SELECT level, i // 8 AS run, list(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY ALL),
+a AS (SELECT l.*, t, subroot, row_number() OVER () AS k FROM l JOIN subs ON subs.lang IS NOT DISTINCT FROM l.lang),
+f AS (SELECT k, t, 0 AS level, i, coalesce(seen, leaf) AS h, '' AS p FROM a
+  UNION ALL SELECT f.k, f.t, f.level + 1, f.i // 8, {_FOLD}, f.p || array_to_string(hs[1:(f.i - f.i // 8 * 8)] || hs[(f.i - f.i // 8 * 8) + 2:], '') FROM f JOIN runs r ON r.t = f.t AND r.level = f.level AND r.run = f.i // 8),
+g AS (SELECT k, 0 AS level, t AS i, h, p FROM (SELECT *, max(level) OVER (PARTITION BY k) AS last FROM f) q WHERE level = last
+  UNION ALL SELECT f.k, f.level + 1, f.i // 8, {_FOLD}, f.p || array_to_string(hs[1:(f.i - f.i // 8 * 8)] || hs[(f.i - f.i // 8 * 8) + 2:], '') FROM g f JOIN tops r ON r.level = f.level AND r.run = f.i // 8),
+e AS (SELECT k, h, p FROM (SELECT *, max(level) OVER (PARTITION BY k) AS last FROM g) q WHERE level = last)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(p) AS proof_sha256, h AS folded_root, h = (SELECT h FROM top WHERE n = 1) AS verified FROM a JOIN e USING (k)
+"""

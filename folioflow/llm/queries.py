@@ -95,6 +95,22 @@ def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import manifest
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", oracles.UPPER, oracles.LOWER)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, manifest.leaf_of(*[lowered if c == "text" else F.col(c) for c in fields]))
+    return manifest.manifest(table(spark, sf_dir, "documents"), fields, "lang", "doc_id", seen=tampered, as_digest=True).withColumnRenamed("proof", "proof_sha256")
+
+
 OP2_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -110,5 +126,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_language_id, op5_substring_dedup, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing, op10_ngram_jaccard, op11_exact_topk)}
-ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_substring_dedup": oracles.OP5, "op7_decontamination": oracles.OP7, "op8_quality_rules": oracles.OP8, "op9_mixing": oracles.OP9, "op11_exact_topk": oracles.OP11}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_language_id, op5_substring_dedup, op6_pii, op7_decontamination, op8_quality_rules, op9_mixing, op10_ngram_jaccard, op11_exact_topk, op12_hard_negatives, op13_merkle_manifest)}
+ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_substring_dedup": oracles.OP5, "op7_decontamination": oracles.OP7, "op8_quality_rules": oracles.OP8, "op9_mixing": oracles.OP9, "op11_exact_topk": oracles.OP11, "op12_hard_negatives": oracles.OP12, "op13_merkle_manifest": oracles.OP13}
