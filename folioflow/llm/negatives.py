@@ -192,6 +192,24 @@ def allowed(score: int, least: int, most: int) -> tuple[int, int]:
     return -(-least * score // 100), most * score // 100
 
 
+def _ranged(scores: np.ndarray, ids: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
+    """(pair, id, score) of the first k rows of each pair, a range of the scores of one anchor: each anchor's scores are sorted once."""
+    m = len(ids)
+    known = scores > LOW
+    if np.abs(scores, where=known, out=np.zeros_like(scores)).max(initial=0) >= (1 << 62) // m:
+        picked = [[j for j in np.lexsort((ids, -scores[a])) if low[p] <= scores[a, j] <= high[p] and known[a, j]][:k] for p, a in enumerate(of)]
+        pair, place = (np.array(v, np.int64) for v in ([p for p, own in enumerate(picked) for _ in own], [j for own in picked for j in own]))
+        return pair, ids[place], scores[of[pair], place]
+    keys = np.sort(np.where(known, scores * m - np.arange(m), LOW), axis=1)
+    most = (1 << 62) // m - 1
+    stop = np.array([np.searchsorted(keys[a], min(h, most) * m, "right") for a, h in zip(of, high)], np.int64)
+    at = stop[:, None] - 1 - np.arange(k)
+    got = np.where(at >= 0, keys[of[:, None], np.maximum(at, 0)], LOW)
+    s = -((-got) // m)
+    pair, place = np.nonzero((got > LOW) & (s >= low[:, None]))
+    return pair, ids[s[pair, place] * m - got[pair, place]], s[pair, place]
+
+
 def _negatives(k: int, least: int, most: int):
     """For each anchor and positive the first k rows of a cell with another label and an allowed score."""
     schema = _arrow(PAIRED)
@@ -208,11 +226,8 @@ def _negatives(k: int, least: int, most: int):
                 asks, back = np.unique(of[mine], return_inverse=True)
                 scores = a.times(x, asks)
                 scores[label[asks][:, None] == labels] = LOW
-                scores = scores[back]
-                scores[(scores < low[mine][:, None]) | (scores > high[mine][:, None])] = LOW
-                s, found = best(scores, ids, k)
-                at, place = np.nonzero(s > LOW)
-                parts.append(pa.table([own[of[mine]][at], positive[mine][at], score[mine][at], found[at, place], s[at, place]], schema))
+                at, found, s = _ranged(scores, ids, back, low[mine], high[mine], k)
+                parts.append(pa.table([own[of[mine]][at], positive[mine][at], score[mine][at], found, s], schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return run
