@@ -6,8 +6,8 @@ length of every run is, and a run that is whole becomes its parent at once; a fi
 roots. Forests merge in any grouping to the same forest, so ``treeReduce`` joins those of all tasks. A task keeps at most 14
 waiting nodes a level, and there are at most ``RANGES`` tasks, which bounds what reaches the driver.
 
-Runs that end inside a task are written by it, those that end in a merge by the driver; both from level ``CHUNK`` up, and
-those give each chunk of 8**CHUNK leaves its path to the root. A task then takes a chunk and its path and makes the proofs.
+Runs that end inside a task are written by it, those that end in a merge by the driver; both from level ``chunk`` up, and
+those give each chunk of 8**chunk leaves its path to the root. A task then takes a chunk and its path and makes the proofs.
 
 Null values have a digest of their own ("-"); empty and long texts are values like any other. Rows that share the order
 column are placed by their leaves, so equal rows have neighbouring places and their own proofs; a null stands first. An
@@ -45,7 +45,8 @@ def leaf_of(*columns: Column) -> Column:
 class Forest:
     """Waiting nodes of trees whose numbers of leaves are known. root: the digest of everything, once it is whole."""
 
-    def __init__(self):
+    def __init__(self, chunk: int = CHUNK):
+        self.chunk = chunk
         self.sizes: dict[int, int] = {}
         self.waiting: dict[tuple[int, int, int], dict[int, str]] = {}
         self.used: list[tuple[int, int, int, str]] = []
@@ -67,7 +68,7 @@ class Forest:
             if len(run) < min(8, width - (place >> 3 << 3)):
                 return
             del self.waiting[key]
-            if level >= CHUNK or tree == ROOT:
+            if level >= self.chunk or tree == ROOT:
                 self.used += [(tree, level, i, h) for i, h in run.items()]
             level, place, value = level + 1, place >> 3, digest(*(run[i] for i in sorted(run)))
 
@@ -82,35 +83,43 @@ class Forest:
         return self
 
 
-def _grown(batches):
-    """The nodes of one task: those that wait, and those of level CHUNK or more that its own runs have used."""
-    forest = Forest()
+def _grown(chunk: int):
+    """The nodes of one task: those that wait, and those of level chunk or more that its own runs have used."""
     schema = pa.schema([*_NODE, ("waits", pa.bool_()), ("size", pa.int64()), ("trees", pa.int64())])
 
-    def out(nodes, waits):
-        nodes = list(nodes)
-        columns = dict(zip(_NODE.names, zip(*nodes))) if nodes else {c: [] for c in _NODE.names}
-        return out_batch(schema, **columns, waits=[waits] * len(nodes), size=[forest.sizes[n[0]] for n in nodes], trees=[forest.sizes[ROOT]] * len(nodes))
-
-    for batch in batches:
-        for tree, size, trees, place, leaf in zip(*(c.to_pylist() for c in batch.columns)):
-            forest.sizes[tree], forest.sizes[ROOT] = size, trees
-            forest.add(tree, 0, place, leaf)
-        if len(forest.used) >= 10_000:
+    def run(batches):
+        forest = Forest(chunk)
+
+        def out(nodes, waits):
+            nodes = list(nodes)
+            columns = dict(zip(_NODE.names, zip(*nodes))) if nodes else {c: [] for c in _NODE.names}
+            return out_batch(schema, **columns, waits=[waits] * len(nodes), size=[forest.sizes[n[0]] for n in nodes], trees=[forest.sizes[ROOT]] * len(nodes))
+
+        for batch in batches:
+            for tree, size, trees, place, leaf in zip(*(c.to_pylist() for c in batch.columns)):
+                forest.sizes[tree], forest.sizes[ROOT] = size, trees
+                forest.add(tree, 0, place, leaf)
+            if len(forest.used) >= 10_000:
+                yield out(forest.used, False)
+                forest.used = []
+        if forest.sizes:
             yield out(forest.used, False)
-            forest.used = []
-    if forest.sizes:
-        yield out(forest.used, False)
-        yield out(((t, level, i, h) for (t, level, _), run in forest.waiting.items() for i, h in run.items()), True)
+            yield out(((t, level, i, h) for (t, level, _), run in forest.waiting.items() for i, h in run.items()), True)
+
+    return run
 
 
-def _forest(rows) -> list[Forest]:
+def _forest(chunk: int):
     """The forest of waiting nodes that one task has kept."""
-    forest = Forest()
-    for r in rows:
-        forest.sizes[r.tree], forest.sizes[ROOT] = r.size, r.trees
-        forest.waiting.setdefault((r.tree, r.level, r.place >> 3), {})[r.place] = r.digest
-    return [forest]
+
+    def run(rows):
+        forest = Forest(chunk)
+        for r in rows:
+            forest.sizes[r.tree], forest.sizes[ROOT] = r.size, r.trees
+            forest.waiting.setdefault((r.tree, r.level, r.place >> 3), {})[r.place] = r.digest
+        return [forest]
+
+    return run
 
 
 def placed(df: DataFrame, group: str, *order: str, known=lambda groups: groups) -> DataFrame:
@@ -136,13 +145,13 @@ def numbered(groups: DataFrame) -> DataFrame:
     return settle(found.select("name", F.col("place").alias("tree"), F.col("size").alias("trees"), F.col("leaves").alias("size")))
 
 
-def _paths(trees: DataFrame, nodes: DataFrame) -> DataFrame:
+def _paths(trees: DataFrame, nodes: DataFrame, chunk: int) -> DataFrame:
     """tree, chunk, path of each chunk: of each level from the chunk's to the root the siblings before and after."""
     depth = lambda size: F.size(F.filter(F.array(*[F.lit(8**k) for k in range(DEEPEST)]), lambda v: v < size))
     up = lambda start, depth: F.filter(F.sequence(F.lit(start), F.lit(DEEPEST)), lambda k: k < depth)
     shift = lambda c, n: F.call_function("shiftright", c, n.cast("int"))
-    chunks = trees.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / F.lit(8**CHUNK)))))
-    own = F.transform(up(CHUNK, depth(F.col("size"))), lambda k: F.struct(F.col("tree").alias("tree"), k.alias("level"), shift(F.col("chunk"), 3 * (k - CHUNK)).alias("place")))
+    chunks = trees.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / F.lit(8**chunk)))))
+    own = F.transform(up(chunk, depth(F.col("size"))), lambda k: F.struct(F.col("tree").alias("tree"), k.alias("level"), shift(F.col("chunk"), 3 * (k - chunk)).alias("place")))
     root = F.transform(up(0, depth(F.col("trees"))), lambda k: F.struct(F.lit(ROOT).cast("bigint").alias("tree"), k.alias("level"), shift(F.col("tree"), 3 * k).alias("place")))
     steps = chunks.select("tree", "chunk", F.posexplode(F.concat(own, root)).alias("step", "at"))
     name = lambda tree, level, place: F.concat_ws(":", tree, level, F.shiftright(place, 3))
@@ -158,7 +167,7 @@ PROVED = "order_key bigint, leaf string, tree bigint, proof string, folded_root
 _PROVED = pa.schema([("order_key", pa.int64()), ("leaf", pa.string()), ("tree", pa.int64()), ("proof", pa.string()), ("folded_root", pa.string())])
 
 
-def _prove(as_digest: bool):
+def _prove(as_digest: bool, chunk: int):
     """The proof of each leaf of a chunk, and the root that its leaf as it is seen now folds to."""
 
     def run(leaves: pa.Table, paths: pa.Table) -> pa.Table:
@@ -167,7 +176,7 @@ def _prove(as_digest: bool):
             return _PROVED.empty_table()
         path = [(s["before"], s["after"]) for s in paths.column("path").to_pylist()[0] or ()]
         levels, width = [[r["leaf"] for r in rows]], rows[0]["size"]
-        while width > 1 and len(levels) <= CHUNK:
+        while width > 1 and len(levels) <= chunk:
             last, width = levels[-1], -(-width // 8)
             levels.append([digest(*last[i : i + 8]) for i in range(0, len(last), 8)])
         steps: list[tuple] = [((b, a), None) for b, a in path]
@@ -196,7 +205,7 @@ def _prove(as_digest: bool):
     return run
 
 
-def manifest(docs: DataFrame, columns: list[str], group: str, order: str, seen: Column | None = None, as_digest: bool = False) -> DataFrame:
+def manifest(docs: DataFrame, columns: list[str], group: str, order: str, seen: Column | None = None, as_digest: bool = False, chunk: int = CHUNK) -> DataFrame:
     """order column, leaf, subroot, root, proof (its siblings from the leaf to the root, joined; their SHA-256 if as_digest), folded_root, verified.
 
     columns: what a leaf covers. seen: the leaf of the row as it is found now, null where it is untouched; folded_root is made of it and the proof.
@@ -207,8 +216,8 @@ def manifest(docs: DataFrame, columns: list[str], group: str, order: str, seen:
     rows = settle(placed(leaves, "name", "order_key", "leaf", known=numbered).drop("name").sortWithinPartitions("tree", "place"))
     trees = rows.where(F.col("place") == 0).select("tree", "trees", "size")
 
-    grown = settle(rows.select("tree", "size", "trees", "place", "leaf").mapInArrow(_grown, f"{NODE}, waits boolean, size bigint, trees bigint"))
-    fragments = grown.where("waits").rdd.mapPartitions(_forest)
+    grown = settle(rows.select("tree", "size", "trees", "place", "leaf").mapInArrow(_grown(chunk), f"{NODE}, waits boolean, size bigint, trees bigint"))
+    fragments = grown.where("waits").rdd.mapPartitions(_forest(chunk))
     if not fragments.getNumPartitions():
         return spark.createDataFrame([], f"{order} bigint, leaf string, subroot string, root string, proof string, folded_root string, verified boolean")
     whole = fragments.treeReduce(Forest.merge, depth=3)
@@ -220,8 +229,8 @@ def manifest(docs: DataFrame, columns: list[str], group: str, order: str, seen:
     nodes = settle(nodes)
     subroots = nodes.where((F.col("tree") == ROOT) & (F.col("level") == 0)).select(F.col("place").alias("tree"), F.col("digest").alias("subroot"))
 
-    in_chunks = rows.select("tree", F.shiftright("place", 3 * CHUNK).alias("chunk"), "place", "size", "order_key", "leaf", "seen")
-    paths = _paths(trees, nodes).select(F.col("tree").alias("of"), F.col("chunk").alias("part"), "path")
-    proved = in_chunks.groupBy("tree", "chunk").cogroup(paths.groupBy("of", "part")).applyInArrow(_prove(as_digest), PROVED)
+    in_chunks = rows.select("tree", F.shiftright("place", 3 * chunk).alias("chunk"), "place", "size", "order_key", "leaf", "seen")
+    paths = _paths(trees, nodes, chunk).select(F.col("tree").alias("of"), F.col("chunk").alias("part"), "path")
+    proved = in_chunks.groupBy("tree", "chunk").cogroup(paths.groupBy("of", "part")).applyInArrow(_prove(as_digest, chunk), PROVED)
     out = spread_join(proved, subroots, "tree", F.col("leaf")).withColumn("root", F.lit(root))
     return out.select(F.col("order_key").alias(order), "leaf", "subroot", "root", "proof", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
