@@ -178,12 +178,25 @@ def _positives(k: int):
                 scores[own[asks][:, None] == ids[has]] = LOW
                 s, i = best(scores, ids[has], k)
                 at, place = np.nonzero(s > LOW)
-                parts.append(pa.table([own[asks][at], g[asks][at].astype(np.int32), i[at, place], s[at, place]], schema))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
+                parts = _firsts([*parts, (asks[at], i[at, place], s[at, place])], k)
+        if not parts:
+            return schema.empty_table()
+        at, found, s = parts[0]
+        return pa.table([own[at], g[at].astype(np.int32), found, s], schema)
 
     return run
 
 
+def _firsts(parts: list[tuple], k: int) -> list[tuple]:
+    """One (asker, id, score) of several: the first k rows of each asker, by score down and id up."""
+    who, ids, scores = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((ids, -scores, who))
+    who = who[order]
+    first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]][: len(who)])
+    kept = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)])) < k
+    return [(who[kept], ids[order][kept], scores[order][kept])]
+
+
 PAIRED = "anchor_id bigint, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint"
 
 
@@ -227,8 +240,12 @@ def _negatives(k: int, least: int, most: int):
                 scores = a.times(x, asks)
                 scores[label[asks][:, None] == labels] = LOW
                 at, found, s = _ranged(scores, ids, back, low[mine], high[mine], k)
-                parts.append(pa.table([own[of[mine]][at], positive[mine][at], score[mine][at], found, s], schema))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
+                parts.append((at + i, found, s))
+            parts = _firsts(parts, k) if parts else parts
+        if not parts:
+            return schema.empty_table()
+        at, found, s = parts[0]
+        return pa.table([own[of[at]], positive[at], score[at], found, s], schema)
 
     return run
 
