@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._shared import out_batch, settle, spread_join
 
-CHUNK, RANGES, ROOT = 5, 1024, -1
+CHUNK, RANGES, ROOT = 4, 1024, -1
 DEEPEST = 21  # 8**21 is more than any count of rows
 
 NODE = "tree bigint, level int, place bigint, digest string"
@@ -213,7 +213,7 @@ def manifest(docs: DataFrame, columns: list[str], group: str, order: str, seen:
     spark = docs.sparkSession
     key = F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit(":"), F.col(group).cast("string")))  # null first, then by bytes
     leaves = docs.select(F.col(order).cast("bigint").alias("order_key"), leaf_of(*[F.col(c) for c in columns]).alias("leaf"), (F.lit(None).cast("string") if seen is None else seen).alias("seen"), key.alias("name"))
-    rows = settle(placed(leaves, "name", "order_key", "leaf", known=numbered).drop("name").sortWithinPartitions("tree", "place"))
+    rows = settle(placed(settle(leaves), "name", "order_key", "leaf", known=numbered).drop("name").sortWithinPartitions("tree", "place"))
     trees = rows.where(F.col("place") == 0).select("tree", "trees", "size")
 
     grown = settle(rows.select("tree", "size", "trees", "place", "leaf").mapInArrow(_grown(chunk), f"{NODE}, waits boolean, size bigint, trees bigint"))
