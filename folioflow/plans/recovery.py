@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import forms
+from ..operators import forms, rounds
 from .registry import Tables, query
 
 LABELS = ("Office", "Participating", "Home health", "Nonparticipating", "Hospice", "Office")
@@ -106,3 +106,50 @@ def merged_forms(t: Tables):
     parts = cells.where("cell % 3 <> 1").groupBy("l_orderkey", F.floor(F.col("cell") / 3).alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", state.alias("s")))), lambda x: x["s"]), " ").alias("p"))
     told = parts.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "p"))), lambda x: x["p"]), ",").alias("states"))
     return done.select("l_orderkey", "merge_status", F.col("n_merged").cast("bigint").alias("n_merged")).join(told, "l_orderkey")
+
+
+def _actions(k):
+    return F.element_at(F.array(*map(F.lit, ("accept", "correct", "reject", "inspect", "correct", "unclear"))), (k % 6 + 1).cast("int"))
+
+
+def _rounds(t: Tables):
+    """Conversations as pages, turns as blocks; answers to every version that a block might have, some missing, some twice, some pages without a turn."""
+    turn = F.col("turn")
+    kind = F.element_at(F.array(*map(F.lit, ("paragraph", "figure", "list_item", "paragraph"))), (turn % 4 + 1).cast("int"))
+    words = F.concat("text", F.when((F.col("conv_id") + turn) % 3 == 0, " Id2 AB1").when(turn % 5 == 2, " ##").otherwise(""))
+    blocks = rounds.start(t.conversations.select("conv_id", F.concat(F.lit("t"), turn).alias("id"), kind.alias("type"), words.alias("text"), F.lit("pending").alias("status"), F.when((turn + F.col("conv_id")) % 4 != 0, (turn + F.col("conv_id")) % 10 / 10.0).cast("double").alias("confidence"), (turn % 5 != 1).alias("has_box"), turn.cast("bigint").alias("reading_order")))
+    pages = t.conversations.select("conv_id").distinct().crossJoin(t.spark.range(1, 4).select(F.col("id").cast("int").alias("round")))  # a page has three rounds
+    turns = pages.where((F.col("conv_id") + F.col("round")) % 9 != 0)
+    each = t.conversations.select("conv_id", "turn", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("round"))
+    k = F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("round")
+    each = each.where(k % 8 != 0).withColumn("times", F.when(k % 11 == 0, 2).otherwise(1)).withColumn("version", F.explode(F.sequence(F.lit(0), F.col("round") - F.lit(1)))).withColumn("x", F.explode(F.sequence(F.lit(1), "times")))
+    answers = each.select("conv_id", "round", F.concat(F.lit("t"), "turn").alias("id"), "version", _actions(k).alias("action"), (F.lit(0.8) + k % 3 / 10.0).cast("double").alias("confidence"), F.when(k % 5 != 0, F.concat(F.lit("fixed "), "round")).alias("text"))
+    return blocks, turns, answers
+
+
+def _round_sql(r: int) -> str:
+    """One round from s{r-1} to s{r}: what is asked, the answers, and the new state."""
+    alive, wants = "status <> 'rejected'", "(status = 'inspect' OR regexp_matches(text, '##|(?i:\\b(id|no|number)2\\s+[A-Z0-9][A-Z0-9_-]{2,}\\b)'))"
+    ask = {1: f"{alive} AND coalesce(confidence < 0.85, false) OR status = 'needs_review'", 2: f"{alive} AND has_box AND (type = 'figure' OR {wants} AND rk <= 1)", 3: "status = 'needs_review' AND has_box"}[r]
+    over = "status = 'inspect' AND NOT (has_box AND (type = 'figure' OR rk <= 1))" if r == 2 else "false"
+    rank = f"row_number() OVER (PARTITION BY conv_id, {alive} AND has_box AND type <> 'figure' AND {wants} ORDER BY CASE WHEN status = 'inspect' THEN 0 ELSE 1 END, confidence NULLS LAST, turn) AS rk"
+    says = "action = 'accept' OR sure"
+    more = "" if r == 3 else " WHEN action = 'reject' THEN 'rejected'" + (" WHEN action = 'inspect' AND has_box THEN 'inspect'" if r == 1 else "")
+    return f"""q{r} AS (SELECT *, {rank} FROM s{r - 1}),
+j{r} AS (SELECT q.*, ({ask}) AS ask, ({over}) AS past, (conv_id + {r}) % 9 <> 0 AND q.round = {r - 1} AS now, CASE WHEN (conv_id * 7 + turn * 3 + {r}) % 8 = 0 THEN 0 WHEN (conv_id * 7 + turn * 3 + {r}) % 11 = 0 THEN 2 ELSE 1 END AS n,
+  (['accept', 'correct', 'reject', 'inspect', 'correct', 'unclear'])[(conv_id * 7 + turn * 3 + {r}) % 6 + 1] AS action, (0.8::DOUBLE + ((conv_id * 7 + turn * 3 + {r}) % 3) / 10) AS ac, CASE WHEN (conv_id * 7 + turn * 3 + {r}) % 5 <> 0 THEN 'fixed {r}' END AS new_text FROM q{r} q),
+k{r} AS (SELECT *, now AND (ask OR past) AS change, n = 1 AND NOT past AND action = 'correct' AND ac >= 0.85 AND new_text IS NOT NULL AS sure FROM j{r}),
+s{r} AS (SELECT conv_id, turn, type, CASE WHEN change AND sure THEN new_text ELSE text END AS text, CASE WHEN NOT change THEN status WHEN past OR n <> 1 THEN 'needs_review' WHEN {says} THEN 'verified'{more} ELSE 'needs_review' END AS status, CASE WHEN change AND sure THEN ac ELSE confidence END AS confidence, has_box,
+  CASE WHEN now THEN {r} ELSE round END AS round, version + CASE WHEN change THEN 1 ELSE 0 END AS version, CASE WHEN NOT change THEN reason WHEN past THEN 'crop limit' WHEN n = 0 THEN 'no answer' WHEN n > 1 THEN 'several answers' WHEN {says} THEN NULL WHEN action = 'correct' THEN 'unsure correction' {"" if r == 3 else "WHEN action = 'reject' THEN NULL"} {"WHEN action = 'inspect' THEN CASE WHEN has_box THEN NULL ELSE 'no box' END" if r == 1 else ""} ELSE 'inconclusive' END AS reason,
+  recovered OR change AND sure AS recovered FROM k{r})"""
+
+
+ROUNDS_SQL = f"""s0 AS (SELECT conv_id, turn, (['paragraph', 'figure', 'list_item', 'paragraph'])[turn % 4 + 1] AS type, text || CASE WHEN (conv_id + turn) % 3 = 0 THEN ' Id2 AB1' WHEN turn % 5 = 2 THEN ' ##' ELSE '' END AS text, 'pending' AS status,
+  CASE WHEN (turn + conv_id) % 4 <> 0 THEN ((turn + conv_id) % 10) / 10 END AS confidence, turn % 5 <> 1 AS has_box, 0 AS round, 0 AS version, CAST(NULL AS VARCHAR) AS reason, false AS recovered FROM conversations), {", ".join(map(_round_sql, (1, 2, 3)))}"""
+
+
+@query(f"""WITH {ROUNDS_SQL} SELECT conv_id, 't' || turn AS id, text, status, confidence, CAST(round AS INTEGER) AS round, CAST(version AS INTEGER) AS version, reason, recovered FROM s3""")
+def page_rounds(t: Tables):
+    blocks, turns, answers = _rounds(t)
+    done = rounds.run(blocks, turns, answers, ["conv_id"], most=1)
+    return done.select("conv_id", "id", "text", "status", "confidence", "round", "version", "reason", "recovered")
