@@ -96,14 +96,16 @@ def _features(batches):
 
 
 def sample(labelled: DataFrame, most: int = SAMPLE) -> list[tuple]:
-    """At most ``most`` labelled rows (text, lang) as lang and bucket counts, the same ones on each run."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "lang"), F.lit(1 << 40))
-    rows = rows.select("lang", draw.alias("draw"), "text")
+    """At most ``most`` distinct labelled rows (doc_id, text, lang) as lang and bucket counts, the same ones on each run.
+
+    Rows are drawn by a hash of all three, so neither a repeated id nor repeated rows change the bound; equal rows are one.
+    """
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "lang", "text"), F.lit(1 << 40))
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", draw.alias("draw"), "text")
+    n = rows.agg(F.approx_count_distinct("draw").alias("n")).first()["n"]
     if n > most:
-        rows = rows.where(F.col("draw") < int((1 << 40) * most / n))
-    got = sorted(rows.mapInArrow(_features, FEATURES).collect(), key=lambda r: (r["draw"], r["lang"], bytes(r["buckets"])))[:most]
+        rows = rows.where(F.col("draw") < int((1 << 40) * min(1.0, 2 * most / n)))  # about twice as many as are taken
+    got = rows.dropDuplicates(["draw"]).mapInArrow(_features, FEATURES).orderBy("draw", "lang").limit(most).collect()
     return [(r["lang"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in got]
 
 
