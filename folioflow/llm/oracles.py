@@ -39,8 +39,7 @@ rep AS (SELECT doc_id, count(DISTINCT i + o) AS c FROM (SELECT doc_id, i, unnest
 ln AS (SELECT doc_id, source, md5(text) AS t, line, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{SPACED}') AS lw FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d) q),
 lines AS (SELECT *, array_to_string(lw, ' ') AS norm FROM ln WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS c FROM lines GROUP BY doc_id),
-hosts AS (SELECT source, greatest({float(quality.MIN_DOCS)}, count(DISTINCT text) * {quality.SHARE}) AS most FROM d GROUP BY source),
-freq AS (SELECT l.source, norm, min(doc_id) AS first_doc FROM lines l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source GROUP BY l.source, norm, most HAVING count(DISTINCT t) > most),
+freq AS (SELECT source, norm, min(doc_id) AS first_doc FROM lines GROUP BY source, norm HAVING count(DISTINCT t) > {quality.MIN_DOCS}),
 gone AS (SELECT doc_id, CAST(sum(len(lw)) AS BIGINT) AS c FROM lines l JOIN freq f ON f.source IS NOT DISTINCT FROM l.source AND f.norm = l.norm WHERE doc_id <> first_doc GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.c, 0) AS n_dup_lines, coalesce(rep.c, 0) AS n_repeat_words, coalesce(gone.c, 0) AS n_removed_words
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))

@@ -2,8 +2,8 @@
 
 Lines are normalised (A-Z lowered, white space runs to one space) and hashed with their host (``source``; null is a host
 of its own). A line's frequency is the number of distinct texts of the host that hold it, so copies of one document count
-once. Lines above ``max(min_docs, share * distinct texts of the host)`` are boilerplate and are removed everywhere but in
-the document with the smallest doc_id that holds them. A document is rejected when it fails the base rules or when less
+once. Lines in more than ``min_docs`` of them, on a host of any size, are boilerplate and are removed everywhere but in the
+document with the smallest doc_id that holds them. A document is rejected when it fails the base rules or when less
 than ``keep_share`` of its words is left.
 
 Null or empty texts: no words, base_failed. Repeated rows: each gets its own (equal) row. Empty table: no rows.
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from ._shared import _U, buffers, int_column, per_row, settle, span_hash, words_of, _TABLE, _TABLE_FOLDED
 
-MIN_DOCS = 20
-SHARE = 0.01
+MIN_DOCS = 50
 KEEP_SHARE = 0.2
 SALTS = 8  # a boilerplate line has more than MIN_DOCS rows, so its copies for spread rows stay fewer than those
 
@@ -112,18 +111,17 @@ def measure(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_measure, MEASURES)
 
 
-def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """Lines that more than the host's limit of distinct texts hold: host, line, first_doc."""
-    limits = measured.groupBy("host").agg(F.count_distinct("text_hash").alias("texts")).select("host", F.greatest(F.lit(float(min_docs)), F.col("texts") * F.lit(share)).alias("most"))
+def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Lines that more than min_docs distinct texts of a host hold: host, line, first_doc."""
     lines = measured.select("host", "text_hash", "doc_id", F.explode("lines").alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("texts"), F.min("doc_id").alias("first_doc")).where(F.col("texts") > min_docs)
-    return counts.join(limits, "host").where(F.col("texts") > F.col("most")).select("host", "line", "first_doc")
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("texts"), F.min("doc_id").alias("first_doc"))
+    return counts.where(F.col("texts") > min_docs).select("host", "line", "first_doc")
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
     """One row per document: doc_id, row_hash, the measures, base_failed, n_removed_words, removed (hashes of its removed lines), kept."""
     measured = settle(measure(docs))
-    common = frequent_lines(measured, min_docs, share)
+    common = frequent_lines(measured, min_docs)
     once = measured.dropDuplicates(["doc_id", "row_hash"])
     lines = once.select("doc_id", "row_hash", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("doc_id", "row_hash", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     gone = (

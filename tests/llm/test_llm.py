@@ -329,24 +329,45 @@ def test_quality_lines(spark):
     rows = [(i, f"{own(i)}\n Boiler  PLATE line", "h") for i in range(40)] + [(100 + i, "boiler plate line\n" + "filler common words " * 3 + own(0), "h") for i in range(3)]
     rows += [(200, own(200) + "\nBoiler plate line", "other"), (300, "\n".join(["boiler plate line"] * 30) + "\n" + own(3)[:40], "h")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    v = {r.doc_id: r for r in quality.verdicts(d, min_docs=5, share=0.1).collect()}
+    v = {r.doc_id: r for r in quality.verdicts(d, min_docs=5).collect()}
     assert v[0].n_removed_words == 0 and v[1].n_removed_words == 3 and v[1].kept and v[200].n_removed_words == 0 and not v[300].kept
-    c = {r.doc_id: r.text for r in quality.clean(d, min_docs=5, share=0.1).collect()}
+    c = {r.doc_id: r.text for r in quality.clean(d, min_docs=5).collect()}
     assert c[1] == own(1) and c[0].endswith("line") and 300 not in c and c[200].endswith("line")
     copies = spark.createDataFrame([(i, own(1) + "\ncopied line", "h") for i in range(30)], "doc_id bigint, text string, source string")
     assert quality.verdicts(copies, min_docs=5).where("kept").count() == 30  # copies of one text count once
 
 
-def test_quality_limit_of_a_large_host(spark):
-    """Of 3,000 distinct texts 1% is 30: a line in 30 of them stays, one in 31 goes from all but the first; a small host's limit is 20."""
+def test_quality_limit_of_hosts_of_any_size(spark):
+    """A line in 50 distinct texts of its host stays, one in 51 goes from all but the first, on a large host and a small one."""
     own = lambda i: " ".join(f"own{i}x{k}" for k in range(50))
-    rows = [(i, own(i) + ("\nstays in thirty" if i < 30 else "") + ("\ngoes with one more" if i < 31 else ""), "large") for i in range(3_000)]
-    rows += [(10_000 + i, own(-i) + ("\nstays in twenty" if i < 20 else "") + ("\ngoes with one more" if i < 21 else ""), "small") for i in range(100)]
+    said = lambda i: ("\nstays in fifty" if i < 50 else "") + ("\ngoes with one more" if i < 51 else "")
+    rows = [(i, own(i) + said(i), "large") for i in range(3_000)] + [(10_000 + i, own(-i) + said(i), "small") for i in range(100)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     gone = {r.doc_id: r.n_removed_words for r in quality.verdicts(d).where("n_removed_words > 0").collect()}
-    assert gone == {**{i: 4 for i in range(1, 31)}, **{10_000 + i: 4 for i in range(1, 21)}}
+    assert gone == {**{i: 4 for i in range(1, 51)}, **{10_000 + i: 4 for i in range(1, 51)}}
     kept = {r.doc_id: r.text for r in quality.clean(d).collect()}
-    assert len(kept) == 3_100 and kept[5] == own(5) + "\nstays in thirty" and kept[0].endswith("one more") and kept[10_005] == own(-5) + "\nstays in twenty"
+    assert len(kept) == 3_100 and kept[5] == own(5) + "\nstays in fifty" and kept[0].endswith("one more") and kept[10_005] == own(-5) + "\nstays in fifty"
+
+
+def test_quality_odd_rows(spark):
+    """clean: nulls, empty table, repeated rows, a clashing column, a hot line that holds most rows."""
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(60))
+    rows = [(None, own(1), None, 1), (2, None, "h", 2), (3, "", "h", 3), (4, own(4), None, 4), (4, own(4), None, 4), (5, " ".join(own(5000 + k) for k in range(50)), "h", 5)] + [(100 + i, own(100 + i) + "\nhot", "h", 6) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, line int")
+    got = Counter((r.doc_id, r.line) for r in quality.clean(d).collect())
+    assert got[None, 1] == 1 and got[4, 4] == 2 and got[5, 5] == 1 and not got[2, 2] and not got[3, 3] and sum(got.values()) == 304
+    assert sum(r.text.endswith("hot") for r in quality.clean(d).where("line = 6").collect()) == 1
+    assert quality.clean(d.limit(0)).count() == 0 and quality.clean(d).columns == d.columns
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows that share an id or have none are drawn by their texts; equal rows are one."""
+    many = spark.range(3_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("draw"))
+    assert 150 < len(langid.sample(many, 200)) <= 200
+    assert len(langid.sample(many.limit(50), 200)) == 50 and len(langid.sample(many.limit(5).crossJoin(spark.range(400)).drop("id"), 3)) == 3
+    assert langid.sample(many.limit(0)) == [] and [r[1].tolist() for r in langid.sample(many, 20)] == [r[1].tolist() for r in langid.sample(many.repartition(7), 20)]
+    odd = spark.createDataFrame([(1, None, "en"), (2, "x", None), (3, "", "en"), (3, "", "en")], "doc_id bigint, text string, lang string")
+    assert len(langid.sample(odd)) == 1
 
 
 def test_mixing(spark, full):
