@@ -40,6 +40,40 @@ def _walk(text: str) -> Iterator[tuple[str, str, str | None]]:
             yield "/" + "/".join(path), kind, json.loads(c) if kind == "string" else None if kind == "null" else c
 
 
+def literal(value) -> str:
+    """A scalar as its JSON literal."""
+    return json.dumps(value, ensure_ascii=False)
+
+
+def walk_nodes(text: str) -> Iterator[tuple]:
+    """pointer, pattern, parent's pattern, parent's kind, kind, literal, names of each value of a JSON text, containers after what they hold."""
+    open_: list[dict] = []
+
+    def place() -> tuple:
+        if not open_:
+            return "", "", None, None
+        top = open_[-1]
+        step = str(top["n"]) if top["kind"] == "array" else top["name"]
+        return f"{top['pointer']}/{step}", top["pattern"] + ("/*" if top["kind"] == "array" else "/" + step.replace("*", "~2")), top["pattern"], top["kind"]
+
+    for m in _MARK.finditer(text):
+        c = m[0]
+        if c in ("[", "{"):
+            pointer, pattern, parent, parent_kind = place()
+            open_.append({"pointer": pointer, "pattern": pattern, "parent": parent, "parent_kind": parent_kind, "kind": "array" if c == "[" else "object", "n": 0, "name": "", "names": []})
+        elif c in ("]", "}"):
+            own = open_.pop()
+            yield own["pointer"], own["pattern"], own["parent"], own["parent_kind"], own["kind"], None, own["names"] if own["kind"] == "object" else None
+        elif c == ",":
+            open_[-1]["n"] += 1
+        elif m[1] is not None:
+            open_[-1]["name"] = json.loads(m[1]).replace("~", "~0").replace("/", "~1")
+            open_[-1]["names"].append(open_[-1]["name"])
+        else:
+            kind = "string" if c[0] == '"' else "boolean" if c in ("true", "false") else "null" if c == "null" else "integer" if re.fullmatch(r"-?\d+", c) else "number"
+            yield *place(), kind, literal(json.loads(c)) if kind == "string" else c, None
+
+
 _MARK = re.compile(r'("(?:[^"\\]|\\.)*")\s*:|"(?:[^"\\]|\\.)*"|[\[\]{},]|[^\s\[\]{},:"]+')
 
 
@@ -178,9 +212,9 @@ def contract(spark: SparkSession, schema: dict) -> DataFrame:
 def coerce(text: Column, kind: str) -> Column:
     """a strict literal as its kind's type, null if it is none."""
     if kind == "integer":
-        return F.when(text.rlike(r"^[+-]?\d+$"), F.try_to_number(F.regexp_replace(text, r"^\+", ""), F.lit("S" + "9" * 18))).cast("bigint")
+        return F.when(text.rlike(r"\A[+-]?\d+\z"), F.regexp_replace(text, r"^\+", "").try_cast("bigint"))  # null beyond the type
     if kind == "number":
-        return F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), text.cast("double"))
+        return F.when(text.rlike(r"\A[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\z"), text.try_cast("double"))
     if kind == "boolean":
         return F.when(F.lower(text) == "true", True).when(F.lower(text) == "false", False)
     return text
@@ -199,6 +233,12 @@ def identity(name: Column, content: Column) -> Column:
     return F.sha2(F.concat(name.cast("binary"), F.lit(b"\x00"), content), 256)
 
 
+def canonical_json(text: Column) -> Column:
+    """a JSON text with sorted keys at every level, nulls kept, no white space, and whole numbers without a fraction; null if it is none."""
+    compact = F.to_json(F.try_parse_json(text))
+    return F.regexp_replace(compact, r'("(?:[^"\\\\]|\\\\.)*+")|(?<=[\[:,]|^)(-?\d+)\.0(?=[,\]}]|$)', "$1$2")
+
+
 def fingerprint(document: Column) -> Column:
-    """hash of a struct's JSON."""
-    return F.sha2(F.to_json(document), 256)
+    """hash of a struct's canonical JSON; a null field is not an absent one, and the order of fields does not count."""
+    return F.sha2(canonical_json(F.to_json(document, {"ignoreNullFields": "false"})), 256)

@@ -5,6 +5,7 @@ Each runs per group (a document or a page) through applyInPandas, cells of table
 
 from __future__ import annotations
 
+import bisect
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -167,28 +168,32 @@ def covered_fraction(boxes: DataFrame, regions: DataFrame, by: list[str]) -> Dat
 
 
 def place_cells(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Table cells (row, seq, row_span, col_span, text) put on the grid; a cell takes the first free column of its row.
+    """Table cells (row, seq, row_span, col_span and more) put on the grid; a cell takes the first free column of its row, and may run over a span beside it.
 
-    Tables stand whole and in order in their partition and are read as a stream, so only the spans that reach the present row are held.
+    Tables stand whole and in order in their partition and are read as a stream. A cell that reaches below its row is one interval of columns
+    with the row behind it, so a span of any number of rows or columns takes one entry while it lasts.
     """
 
     def run(batches):
-        key, row, column, taken = None, None, 0, {}
+        key, row, column, held = None, None, 0, []  # held: spans (first column, column behind, row behind) by first column
         for batch in batches:
-            held, columns = {n: batch.column(n) for n in batch.schema.names}, []
-            for k, r, down, across in zip(zip(*[held[b].to_pylist() for b in by]), *[held[n].to_pylist() for n in ("row", "row_span", "col_span")]):
+            named, columns = {n: batch.column(n) for n in batch.schema.names}, []
+            for k, r, down, across in zip(zip(*[named[b].to_pylist() for b in by]), *[named[n].to_pylist() for n in ("row", "row_span", "col_span")]):
                 if k != key:
-                    key, row, taken = k, None, {}
+                    key, row, held = k, None, []
                 if r != row:
-                    row, column, taken = r, 0, {x: c for x, c in taken.items() if x >= r}
-                while column in taken.get(r, ()):
-                    column += 1
+                    row, column, held, i = r, 0, [x for x in held if x[2] > r], 0
+                while i < len(held) and held[i][0] <= column:
+                    column, i = max(column, held[i][1]), i + 1
                 columns.append(column)
-                for x in range(r, r + down):
-                    taken.setdefault(x, set()).update(range(column, column + across))
-            yield pa.RecordBatch.from_arrays([*[held[b] for b in by], held["row"], pa.array(columns, pa.int32()), held["row_span"], held["col_span"], held["text"]], names=[*by, "row", "column", "row_span", "col_span", "text"])
+                if down > 1:
+                    bisect.insort(held, (column, column + across, r + down))
+                    i += 1
+                column += across
+            yield pa.RecordBatch.from_arrays([*[named[b] for b in by], named["row"], pa.array(columns, pa.int64()), named["row_span"], named["col_span"], *[named[n] for n in rest]], names=[*by, "row", "column", "row_span", "col_span", *rest])
 
     t = dict(cells.dtypes)
-    whole = cells.select(*by, "seq", *[F.col(c).cast("int").alias(c) for c in ("row", "row_span", "col_span")], F.col("text").cast("string").alias("text"))
+    rest = [c for c in cells.columns if c not in (*by, "seq", "row", "row_span", "col_span")]
+    whole = cells.select(*by, "seq", F.col("row").cast("bigint").alias("row"), *[F.col(c).cast("bigint").alias(c) for c in ("row_span", "col_span")], *rest)
     ordered = whole.repartition(*by).sortWithinPartitions(*by, "row", "seq")
-    return ordered.mapInArrow(run, ", ".join(f"`{b}` {t[b]}" for b in by) + ", row int, column int, row_span int, col_span int, text string")
+    return ordered.mapInArrow(run, ", ".join(f"`{b}` {t[b]}" for b in by) + ", row bigint, column bigint, row_span bigint, col_span bigint" + "".join(f", `{c}` {t[c]}" for c in rest))

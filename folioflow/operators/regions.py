@@ -1,16 +1,14 @@
 """Regions and blocks: normalising, both directions between them, fragments, scorecards and stored results
 (P4, P9, P16, P17, F9, F22, F24, F28, F30, V7, V8, V15, V17, V20, A16, C11).
 
-Regions are structs of columns, so all of it is column expressions or joins; only the reading of HTML tables parses text row by row.
+Regions are structs of columns, so all of it is column expressions or joins; tables of HTML are cut by expressions into rows and cells.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
 from functools import reduce
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,21 +78,32 @@ def model_context(blocks: DataFrame, by: str) -> DataFrame:
     return blocks.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("layout"))
 
 
+# fixed value: a label that stands twice before a dash
+REPEATED_LABEL = r"(?i)^([^\n–—]{1,80}?)(\s+[–—-]\s+)\1\2"
+
+
+def _bare(c: Column) -> Column:
+    """A text without white space at its start."""
+    return F.regexp_replace(c, rf"(?U)\A{text.WHITE}+", "")
+
+
+def _quoted(c: Column) -> Column:
+    """A literal as a pattern."""
+    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def without_marker(body: Column, kind: Column, marker: Column) -> Column:
-    """a label said twice before a dash is said once; a list item does not begin with its own marker."""
-    once = F.regexp_replace(body, r"(?i)^([^\n–—]{1,80}?)(\s+[–—-]\s+)\1\2", "$1$2")
-    m = F.lower(F.trim(marker))
-    # the markers at the front are the words that equal it; what follows the first other word is kept as it stands
-    words = F.regexp_extract_all(once, F.lit(r"\S+\s*"), F.lit(0))
-    left = F.aggregate(words, F.lit(""), lambda acc, w: F.when((acc == "") & (F.lower(F.regexp_replace(w, r"\s+$", "")) == m), acc).otherwise(F.concat(acc, w)))
-    starts = F.startswith(F.lower(once), m) & (F.length(m) > 0)
-    return F.when((kind == "list_item") & F.coalesce(starts, F.lit(False)), left).otherwise(once)
+    """a label said twice before a dash is said once; a list item does not begin with its own marker, which may be several words."""
+    once = F.regexp_replace(body, REPEATED_LABEL, "$1$2")
+    m = F.regexp_replace(_bare(marker), rf"(?U){text.WHITE}+\z", "")
+    one = F.concat(F.lit("(?iuU)\\A"), _quoted(m), F.lit(rf"(?={text.WHITE}|\z){text.WHITE}*"))
+    left = F.regexp_replace(once, F.concat(one, F.lit("(?:"), F.substr(one, F.lit(9)), F.lit(")*")), F.lit(""))
+    return F.when((kind == "list_item") & F.coalesce(m != "", F.lit(False)), left).otherwise(once)
 
 
 def has_marker(body: Column, marker: Column) -> Column:
-    """whether the text begins with the marker as a word, case aside."""
-    plain, m = F.lower(F.ltrim(body)), F.lower(marker)
-    return F.startswith(plain, m) & (F.substring(plain, F.length(m) + 1, F.lit(1)).rlike(r"^\s?$"))
+    """whether the text begins with the marker as a word, case and white space before it aside."""
+    return F.regexp_like(_bare(body), F.concat(F.lit("(?iuU)\\A"), _quoted(marker), F.lit(rf"(?={text.WHITE}|\z)")))
 
 
 def checkbox_mark(state: Column) -> Column:
@@ -108,12 +117,72 @@ def checkbox_text(option: Column, body: Column) -> Column:
     return F.when((o != "") & (b != "") & (o != b), F.concat(o, F.lit(": "), b)).when(o != "", o).otherwise(b)
 
 
+# what Python's str.splitlines() splits at
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
+def lines(c: Column) -> Column:
+    """The lines of a text; one end of line at its end opens no other line."""
+    said = F.split(F.regexp_replace(c, rf"(?:{LINE_END})\z", ""), LINE_END)
+    return F.when(F.length(c) > 0, said).otherwise(F.array().cast("array<string>"))
+
+
+def line_key(c: Column) -> Column:
+    """a line without bars and blanks around it, white space squashed between its bars."""
+    return F.array_join(F.transform(F.split(F.regexp_replace(c, r"^[ |]+|[ |]+$", ""), r"\|"), lambda p: text.squash(p)), "|")
+
+
+def one_line(c: Column) -> Column:
+    """A cell's text in one line; a carriage return counts as a blank of its own."""
+    return F.array_join(lines(F.replace(c, F.lit("\r"), F.lit(" "))), " ")
+
+
+def residual(body: Column, represented: Column) -> Column:
+    """the stripped lines of a text that a bag of line keys does not say, counting repeats, in order. represented: map of key to count."""
+    def kept(own: Column, keys: Column, held: Column) -> Column:
+        again = lambda k, i: F.size(F.filter(F.slice(keys, 1, i + 1), lambda x: x == k))
+        new = F.filter(F.transform(own, lambda l, i: F.when(again(F.get(keys, i), i) > F.coalesce(F.try_element_at(held, F.get(keys, i)), F.lit(0)), l)), lambda l: l.isNotNull())
+        return F.filter(F.transform(new, lambda l: F.regexp_replace(_bare(l), rf"(?U){text.WHITE}+\z", "")), lambda l: l != "")
+
+    return text.bound(represented, lambda held: text.bound(lines(body), lambda own: text.bound(F.transform(own, line_key), lambda keys: kept(own, keys, held))))
+
+
+def _bag(keys: Column) -> Column:
+    """A map of each key to its number."""
+    return text.bound(keys, lambda ks: F.map_from_entries(F.transform(F.array_distinct(ks), lambda k: F.struct(k, F.size(F.filter(ks, lambda x: x == k))))))
+
+
+def _most(*bags: Column) -> Column:
+    """The union of bags: of each key its largest number."""
+    return text.bound(F.array(*bags), lambda bs: F.map_from_entries(F.transform(F.array_distinct(F.flatten(F.transform(bs, lambda b: F.map_keys(b)))), lambda k: F.struct(k, F.array_max(F.transform(bs, lambda b: F.coalesce(F.try_element_at(b, k), F.lit(0))))))))
+
+
+def table_lines(cells: Column) -> Column:
+    """line keys that a table says, with their numbers: lines of its cells, cells of several lines in one, and rows. cells: row, col, text."""
+    full = lambda c: F.filter(lines(c), lambda l: text.squash(l) != "")
+    by_cell = F.flatten(F.transform(cells, lambda c: F.transform(full(c["text"]), line_key)))
+    flat = F.transform(F.filter(cells, lambda c: F.size(full(c["text"])) > 1), lambda c: line_key(F.array_join(full(c["text"]), " ")))
+    ordered = F.array_sort(F.transform(cells, lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), one_line(c["text"]).alias("said"))))
+    rows = text.bound(ordered, lambda o: F.transform(F.array_distinct(F.transform(o, lambda c: c["row"])), lambda r: line_key(F.array_join(F.transform(F.filter(o, lambda c: c["row"] == r), lambda c: c["said"]), " | "))))
+    return _most(_bag(by_cell), _bag(flat), _bag(rows))
+
+
+def form_lines(form: Column) -> Column:
+    """line keys that a form field says: its parts, and its label with its value or hint."""
+    label = F.regexp_replace(F.regexp_replace(form["label"], rf"(?U){text.WHITE}+\z", ""), r":\z", "")
+    parts = F.flatten(F.transform(F.array_compact(F.array(form["label"], form["value"], form["hint"])), lambda c: F.transform(F.filter(lines(c), lambda l: text.squash(l) != ""), line_key)))
+    with_ = lambda c: F.when(F.length(c) > 0, F.array(line_key(F.concat(form["label"], F.lit(" "), c)), line_key(F.concat(label, F.lit(": "), c)))).otherwise(F.array().cast("array<string>"))
+    both = F.concat(F.array(line_key(F.concat(label, F.lit(":")))), with_(form["value"]), with_(form["hint"]))
+    return _most(_bag(parts), _bag(both))
+
+
 def fragments(kind: Column, body: Column, cells: Column, form: Column, checkbox: Column, visual: Column, marker: Column) -> Column:
-    """the distinct non-empty pieces a block says, in order. cells: texts; form: struct label, value, hint; checkbox: struct state, group, option; visual: array of texts."""
-    line = lambda c: F.regexp_replace(c, r"\R", " ")
+    """the distinct non-empty pieces a block says, in order; of tables and forms also the lines of the text that they leave out.
+    cells: array of row, col, text; form: struct label, value, hint; checkbox: struct state, group, option; visual: array of texts."""
+    label = F.regexp_replace(F.regexp_replace(form["label"], rf"(?U){text.WHITE}+\z", ""), r":\z", "")
     said = (
-        F.when((kind == "table") & (F.size(cells) > 0), F.transform(cells, line))
-        .when((kind == "form_field") & form.isNotNull(), F.array(F.regexp_replace(F.rtrim(form["label"]), ":$", ""), form["value"], form["hint"]))
+        F.when((kind == "table") & (F.size(cells) > 0), F.concat(F.transform(cells, lambda c: one_line(c["text"])), residual(body, table_lines(cells))))
+        .when((kind == "form_field") & form.isNotNull(), F.concat(F.array(label, form["value"], form["hint"]), residual(body, form_lines(form))))
         .when(kind == "checkbox", F.array(checkbox_mark(checkbox["state"]), checkbox["group"], checkbox["option"], body))
         .when(kind.isin("figure", "image", "chart"), F.concat(F.array(body), F.coalesce(visual, F.array().cast("array<string>"))))
         .when(kind == "list_item", F.array(body, F.coalesce(F.nullif(marker, F.lit("")), F.lit("-")))).otherwise(F.array(body))
@@ -127,45 +196,29 @@ def unresolved_severity(states: Column) -> Column:
     return F.when(n >= 4, 0).when(n >= 2, 1).when(n == 1, 2)
 
 
-class _Cells(HTMLParser):
-    """Rows and cells of the tables of an HTML text; a cell outside any row opens one."""
+HTML_ROW = r"(?is)<tr\b[^>]*>((?:(?!<tr\b).)*?)</tr\s*>"
+HTML_CELL = r"(?is)<(?:td|th)\b([^>]*)>((?:(?!<t[dh]\b).)*?)</t[dh]\s*>"
 
-    def __init__(self, source: str):
-        super().__init__(convert_charrefs=True)
-        self.found, self.row, self.seq, self.cell = [], -1, 0, None
-        self.feed(source)
-        self.close()
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr" or (tag in ("td", "th") and self.row < 0):
-            self.row, self.seq = self.row + 1, 0
-        if tag in ("td", "th"):
-            span = {k: int(v) if (v or "").strip().isdigit() and int(v) > 0 else 1 for k, v in attrs if k in ("rowspan", "colspan")}
-            self.cell = {"row": self.row, "seq": self.seq, "row_span": span.get("rowspan", 1), "col_span": span.get("colspan", 1), "text": ""}
-            self.seq += 1
-        elif tag == "br" and self.cell:
-            self.cell["text"] += "\n"
+def _span(attributes: Column, name: str) -> Column:
+    """A span of a cell: a whole number of ASCII digits above 0, else 1."""
+    given = F.regexp_extract(attributes, rf"(?i)(?:^|\s){name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    number = F.trim(F.regexp_replace(given, r"^[\"']|[\"']$", ""))
+    return F.greatest(F.coalesce(F.when(number.rlike(r"\A\+?[0-9]{1,18}\z"), F.regexp_replace(number, r"^\+", "").try_cast("bigint")), F.lit(1)), F.lit(1))
 
-    def handle_data(self, data):
-        if self.cell:
-            self.cell["text"] += data
 
-    def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell:
-            self.found.append({**self.cell, "text": " ".join(self.cell["text"].split())})
-            self.cell = None
+def html_cells(tables: DataFrame, key: str, column: str) -> DataFrame:
+    """key, row, seq, row_span, col_span, header, text of the cells of closed rows; a row or cell that is never closed has none."""
+    rows = tables.select(key, F.posexplode(F.regexp_extract_all(F.col(column), F.lit(HTML_ROW), F.lit(1))).alias("row", "_row"))
+    cells = rows.select(key, F.col("row").cast("bigint").alias("row"), F.posexplode(F.regexp_extract_all("_row", F.lit(HTML_CELL), F.lit(0))).alias("seq", "_cell"))
+    tag, body = F.regexp_extract("_cell", HTML_CELL, 1), F.regexp_extract("_cell", HTML_CELL, 2)
+    plain = text.unescape(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", ""), r"(?i)<br\b[^>]*>", "\n"), r"(?s)</?[a-zA-Z][^>]*>", ""))
+    return cells.select(key, "row", "seq", _span(tag, "rowspan").alias("row_span"), _span(tag, "colspan").alias("col_span"), F.lower(F.substring("_cell", 2, 2)).eqNullSafe("th").alias("header"), text.squash(plain).alias("text"))
 
 
 def html_grid(tables: DataFrame, key: str, column: str) -> DataFrame:
-    """Cells of HTML tables on their grid: key, row, column, row_span, col_span, text."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [{key: k, **c} for k, h in batch.itertuples(index=False) for c in _Cells(h or "").found]
-            yield pd.DataFrame(rows, columns=[key, "row", "seq", "row_span", "col_span", "text"])
-
-    cells = tables.select(key, column).mapInPandas(run, f"`{key}` {dict(tables.dtypes)[key]}, row int, seq int, row_span int, col_span int, text string")
-    return folds.place_cells(cells, [key])
+    """Cells of HTML tables on their grid: key, row, column, row_span, col_span, header, text."""
+    return folds.place_cells(html_cells(tables, key, column), [key])
 
 
 def missing_boxes(drafts: DataFrame, by: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ A page's blocks go through three rounds: verify, crop, quality. Each round asks
 the version that it has seen, and every change raises the version. An answer to another version is stale, two to one version
 cancel each other, and a round that a page has behind it changes nothing, so answers may be delivered again.
 
-blocks: by, id, type, text, status, confidence, has_box, reading_order; turns: by, round (the rounds whose answers are in);
+blocks: by, id, type, text, status, confidence, has_box, reading_order, reason; turns: by, round (the rounds whose answers are in);
 answers: by, round, id, version, action, confidence, text. Actions: accept, correct, reject, inspect; any other one is not conclusive.
 """
 
@@ -27,12 +27,14 @@ SURE = 0.85
 MOST_CROPS = 8
 # fixed value: literals that a page's recogniser often confuses
 AMBIGUOUS = r"(?:#{2,}|(?i:\b(?:id|no|number)2(?=\s+[A-Z0-9][A-Z0-9_-]{2,}\b)))"
-UNANSWERED, SEVERAL, UNSURE, INCONCLUSIVE, NO_BOX, LIMIT = "no answer", "several answers", "unsure correction", "inconclusive", "no box", "crop limit"
+UNANSWERED, SEVERAL, UNSURE, INCONCLUSIVE, NO_BOX, LIMIT, REFUSED, UNCHANGED = "no answer", "several answers", "unsure correction", "inconclusive", "no box", "crop limit", "rejected by inspection", "nothing to correct"
+BAD_EVIDENCE = "invalid confidence evidence"  # such a block is not verified by an accept alone
 
 
 def start(blocks: DataFrame) -> DataFrame:
     """Blocks before the first round."""
-    return blocks.withColumns({"round": F.lit(0), "version": F.lit(0), "reason": F.lit(None).cast("string"), "recovered": F.lit(False)})
+    reason = F.col("reason") if "reason" in blocks.columns else F.lit(None).cast("string")
+    return blocks.withColumns({"round": F.lit(0), "version": F.lit(0), "reason": reason, "recovered": F.lit(False)})
 
 
 def asked(blocks: DataFrame, by: list[str], number: int, most: int = MOST_CROPS) -> DataFrame:
@@ -50,14 +52,20 @@ def asked(blocks: DataFrame, by: list[str], number: int, most: int = MOST_CROPS)
     return out.withColumn("over", inspect & ~F.col("asked")).drop("_wants", "_rank")
 
 
+def _corrects() -> Column:
+    """Whether a correction says something, and something else."""
+    return (F.trim("_t") != "") & ~F.col("_t").eqNullSafe(F.col("text"))
+
+
 def _outcome(number: int) -> Column:
     """status and reason that a round gives a block it asks about. Columns n, action, _c, _t: its answers of the right version."""
-    pair = lambda status, reason=None: F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
-    action = F.col("_action")
-    sure = (action == "correct") & (F.col("_c") >= SURE) & F.col("_t").isNotNull()
-    said = F.when(action == "accept", pair("verified")).when(sure, pair("verified")).when(action == "correct", pair("needs_review", UNSURE))
+    pair = lambda status, reason=None: F.struct((F.lit(status) if isinstance(status, str) else status).alias("status"), F.lit(reason).cast("string").alias("reason"))
+    action, sure = F.col("_action"), (F.col("_action") == "correct") & (F.col("_c") >= SURE)
+    stays = F.when((F.col("status") == "inspect") | F.lit(number == 3), "needs_review").otherwise(F.col("status"))
+    said = F.when((action == "accept") & F.col("reason").eqNullSafe(BAD_EVIDENCE), pair("needs_review", BAD_EVIDENCE)).when(action == "accept", pair("verified"))
+    said = said.when(sure & _corrects(), pair("verified")).when(sure, pair(stays, UNCHANGED)).when(action == "correct", pair("needs_review", UNSURE))
     if number < 3:
-        said = said.when(action == "reject", pair("rejected"))
+        said = said.when(action == "reject", pair("needs_review", REFUSED))
     if number == 1:
         said = said.when(action == "inspect", F.when(F.col("has_box"), pair("inspect")).otherwise(pair("needs_review", NO_BOX)))
     return F.when(F.col("over"), pair("needs_review", LIMIT)).when(F.coalesce("_n", F.lit(0)) == 0, pair("needs_review", UNANSWERED)).when(F.col("_n") > 1, pair("needs_review", SEVERAL)).otherwise(F.coalesce(said, pair("needs_review", INCONCLUSIVE)))
@@ -69,7 +77,7 @@ def step(blocks: DataFrame, turns: DataFrame, answers: DataFrame, by: list[str],
     turn = turns.where(F.col("round") == number).select(*by).distinct().withColumn("_turn", F.lit(True))
     j = asked(blocks, by, number, most).join(turn, by, "left").withColumn("_now", F.coalesce("_turn", F.lit(False)) & (F.col("round") == number - 1))
     j = j.join(own.withColumnRenamed("_v", "version"), [*by, "id", "version"], "left").withColumn("_change", F.col("_now") & (F.col("asked") | F.col("over"))).withColumn("_o", _outcome(number))
-    fixed = F.col("_change") & ~F.col("over") & (F.col("_n") == 1) & (F.col("_action") == "correct") & (F.col("_o.status") == "verified")
+    fixed = F.col("_change") & ~F.col("over") & (F.col("_n") == 1) & (F.col("_action") == "correct") & (F.col("_o.status") == "verified") & F.col("_o.reason").isNull() & _corrects() & (F.col("_c") >= SURE)
     return j.select(
         *by, "id", "type", F.when(fixed, F.col("_t")).otherwise(F.col("text")).alias("text"), F.when(F.col("_change"), F.col("_o.status")).otherwise(F.col("status")).alias("status"), F.when(fixed, F.col("_c")).otherwise(F.col("confidence")).alias("confidence"),
         "has_box", "reading_order", F.when(F.col("_now"), number).otherwise(F.col("round")).alias("round"), (F.col("version") + F.col("_change").cast("int")).alias("version"), F.when(F.col("_change"), F.col("_o.reason")).otherwise(F.col("reason")).alias("reason"), F.coalesce(F.col("recovered") | fixed, F.col("recovered")).alias("recovered"),
@@ -121,14 +129,16 @@ def advance(blocks: list[dict], answers: list[dict], number: int, most: int = MO
             elif n != 1:
                 status, reason = "needs_review", SEVERAL if n else UNANSWERED
             elif action == "accept":
-                status = "verified"
-            elif action == "correct" and a["text"] is not None and (a["confidence"] or 0) >= SURE:
+                status, reason = ("needs_review", BAD_EVIDENCE) if b["reason"] == BAD_EVIDENCE else ("verified", None)
+            elif action == "correct" and (a["confidence"] or 0) >= SURE and (a["text"] or "").strip(" ") and a["text"] != b["text"]:
                 status = "verified"
                 new |= {"text": a["text"], "confidence": a["confidence"], "recovered": True}
+            elif action == "correct" and (a["confidence"] or 0) >= SURE:
+                status, reason = "needs_review" if number == 3 or b["status"] == "inspect" else b["status"], UNCHANGED
             elif action == "correct":
                 status, reason = "needs_review", UNSURE
             elif action == "reject" and number < 3:
-                status = "rejected"
+                status, reason = "needs_review", REFUSED
             elif action == "inspect" and number == 1:
                 status, reason = ("inspect", None) if b["has_box"] else ("needs_review", NO_BOX)
             else:
@@ -159,7 +169,7 @@ class PageRounds(StatefulProcessor):
             for number, payload in zip(batch["round"], batch["payload"]):
                 number = int(number)
                 if number == 0 and held is None:
-                    held = [{**b, "round": 0, "version": 0, "reason": None, "recovered": False} for b in json.loads(payload)]
+                    held = [{**b, "round": 0, "version": 0, "reason": b.get("reason"), "recovered": False} for b in json.loads(payload)]
                 elif number > done and not self.waiting.containsKey((number,)):
                     self.waiting.updateValue((number,), (payload,))
         out = []

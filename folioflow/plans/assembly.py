@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pointers, text
-from ..operators import blocks, flows, folds, joins, validate, windows
+from ..operators import blocks, flows, folds, joins, regions, validate, windows
 from ..sources import formats, sinks
 from .registry import Tables, query
 
@@ -129,12 +130,38 @@ def covered_shares(t: Tables):
     return folds.covered_fraction(strips, region, ["o_custkey"]).select("o_custkey", F.round("covered", 6).alias("covered"))
 
 
-@query("""SELECT l_orderkey, l_linenumber // 3 AS "row", CAST(coalesce(sum(1 + l_linenumber % 2) OVER (PARTITION BY l_orderkey, l_linenumber // 3 ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS "column", 1 AS row_span, CAST(1 + l_linenumber % 2 AS INTEGER) AS col_span, CAST(l_linenumber AS VARCHAR) AS text
-  FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) q""")
+PLACED_SQL = """WITH RECURSIVE l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS r, l_partkey, l_suppkey FROM lineitem),
+c AS (SELECT k, r, ([1, 2, 3, 10000000])[l_partkey % 4 + 1] AS down, 1 + l_suppkey % 2 AS across FROM l),
+g AS (SELECT k, -1::BIGINT AS r, []::STRUCT(c BIGINT, e BIGINT)[] AS held, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS down, 0::BIGINT AS across FROM c WHERE r = 0
+  UNION ALL SELECT k, r, list_concat(held, CASE WHEN down > 1 THEN list_transform(range(a, a + across), lambda x: {'c': x, 'e': r + down}) ELSE [] END), a, b, down, across FROM (
+    SELECT *, list_min(list_filter(range(a + across, a + across + len(held) + 1), lambda x: NOT list_contains(list_transform(held, lambda h: h.c), x))) AS b FROM (
+      SELECT k, r, down, across, held, list_min(list_filter(range(0, len(held) + 1), lambda x: NOT list_contains(list_transform(held, lambda h: h.c), x))) AS a FROM (
+        SELECT c.k, c.r, c.down, c.across, list_filter(g.held, lambda h: h.e > c.r) AS held FROM g JOIN c ON c.k = g.k AND c.r = g.r + 1) q1) q2) q3)
+SELECT k AS l_orderkey, r AS "row", "column", row_span, col_span, text FROM (SELECT k, r, a AS "column", down AS row_span, across AS col_span, 'a' AS text FROM g WHERE r >= 0 UNION ALL SELECT k, r, b, 1, 1, 'b' FROM g WHERE r >= 0) q"""
+
+
+def _rows(t: Tables):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return t.lineitem.withColumn("row", F.row_number().over(order) - 1)
+
+
+@query(PLACED_SQL)
 def placed_cells(t: Tables):
-    n = F.col("l_linenumber")
-    c = t.lineitem.select("l_orderkey", "l_linenumber").distinct()
-    return folds.place_cells(c.select("l_orderkey", F.floor(n / 3).cast("int").alias("row"), n.alias("seq"), F.lit(1).alias("row_span"), (n % 2 + 1).cast("int").alias("col_span"), n.cast("string").alias("text")), ["l_orderkey"])
+    """Two cells a row; the first reaches one to ten million rows down, so later rows find their columns taken."""
+    down = F.element_at(F.array(*map(F.lit, (1, 2, 3, 10_000_000))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    cell = lambda seq, down, across, text: F.struct(F.lit(seq).alias("seq"), down.alias("row_span"), across.alias("col_span"), F.lit(text).alias("text"))
+    both = _rows(t).select("l_orderkey", "row", F.inline(F.array(cell(0, down.cast("bigint"), (F.col("l_suppkey") % 2 + 1).cast("bigint"), "a"), cell(1, F.lit(1).cast("bigint"), F.lit(1).cast("bigint"), "b"))))
+    return folds.place_cells(both, ["l_orderkey"])
+
+
+@query(PLACED_SQL.replace("AS text FROM g", "AS text, true AS header FROM g").replace("'b' FROM g", "'b & <' || r || '>', false FROM g").replace("col_span, text FROM (", "col_span, header, text FROM (").replace("'a' AS text", "'a' || r AS text"))
+def html_grids(t: Tables):
+    """The same tables as HTML, with attributes in several forms, entities and a row that is never closed."""
+    down = F.element_at(F.array(*map(F.lit, ("rowspan='1.5'", 'rowspan="2"', "ROWSPAN = 3", "rowspan='10000000'"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    across = F.when(F.col("l_suppkey") % 2 == 0, 'colspan="²"').otherwise("class=x colspan=+2")
+    row = F.concat(F.lit("<TR class='r'><th "), down, F.lit(" "), across, F.lit(">a<b>"), "row", F.lit("</b></th><td>lost<td rowspan=0 data-colspan=9>b<br/>&amp; &lt;"), "row", F.lit("&gt;</td>\n</tr>"))
+    tables = _rows(t).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", row.alias("h")))), lambda x: x["h"]), "").alias("h"))
+    return regions.html_grid(tables.select("l_orderkey", F.concat(F.lit("<table><tr><td>open</td>"), "h", F.lit("<tr><td>never closed</td></table>")).alias("h")), "l_orderkey", "h").select("l_orderkey", "row", "column", "row_span", "col_span", "header", "text")
 
 
 @query("""SELECT page_id, regexp_replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&lt;(/?(?:table|thead|tbody|tr|th|td|caption|figure|figcaption))&gt;', '<\\1>', 'gi') AS preview FROM pages""")

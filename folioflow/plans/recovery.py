@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import forms, rounds
+from ..operators import drafts, forms, rounds
 from .registry import Tables, query
 
 LABELS = ("Office", "Participating", "Home health", "Nonparticipating", "Hospice", "Office")
@@ -134,13 +134,14 @@ def _round_sql(r: int) -> str:
     over = "status = 'inspect' AND NOT (has_box AND (type = 'figure' OR rk <= 1))" if r == 2 else "false"
     rank = f"row_number() OVER (PARTITION BY conv_id, {alive} AND has_box AND type <> 'figure' AND {wants} ORDER BY CASE WHEN status = 'inspect' THEN 0 ELSE 1 END, confidence NULLS LAST, turn) AS rk"
     says = "action = 'accept' OR sure"
-    more = "" if r == 3 else " WHEN action = 'reject' THEN 'rejected'" + (" WHEN action = 'inspect' AND has_box THEN 'inspect'" if r == 1 else "")
+    stays = "CASE WHEN status = 'inspect' OR 3 = %d THEN 'needs_review' ELSE status END" % r
+    more = f" WHEN action = 'correct' AND ac >= 0.85 THEN {stays}" + (" WHEN action = 'inspect' AND has_box THEN 'inspect'" if r == 1 else "")
     return f"""q{r} AS (SELECT *, {rank} FROM s{r - 1}),
 j{r} AS (SELECT q.*, ({ask}) AS ask, ({over}) AS past, (conv_id + {r}) % 9 <> 0 AND q.round = {r - 1} AS now, CASE WHEN (conv_id * 7 + turn * 3 + {r}) % 8 = 0 THEN 0 WHEN (conv_id * 7 + turn * 3 + {r}) % 11 = 0 THEN 2 ELSE 1 END AS n,
   (['accept', 'correct', 'reject', 'inspect', 'correct', 'unclear'])[(conv_id * 7 + turn * 3 + {r}) % 6 + 1] AS action, (0.8::DOUBLE + ((conv_id * 7 + turn * 3 + {r}) % 3) / 10) AS ac, CASE WHEN (conv_id * 7 + turn * 3 + {r}) % 5 <> 0 THEN 'fixed {r}' END AS new_text FROM q{r} q),
-k{r} AS (SELECT *, now AND (ask OR past) AS change, n = 1 AND NOT past AND action = 'correct' AND ac >= 0.85 AND new_text IS NOT NULL AS sure FROM j{r}),
+k{r} AS (SELECT *, now AND (ask OR past) AS change, n = 1 AND NOT past AND action = 'correct' AND ac >= 0.85 AND coalesce(new_text <> text AND trim(new_text) <> '', false) AS sure FROM j{r}),
 s{r} AS (SELECT conv_id, turn, type, CASE WHEN change AND sure THEN new_text ELSE text END AS text, CASE WHEN NOT change THEN status WHEN past OR n <> 1 THEN 'needs_review' WHEN {says} THEN 'verified'{more} ELSE 'needs_review' END AS status, CASE WHEN change AND sure THEN ac ELSE confidence END AS confidence, has_box,
-  CASE WHEN now THEN {r} ELSE round END AS round, version + CASE WHEN change THEN 1 ELSE 0 END AS version, CASE WHEN NOT change THEN reason WHEN past THEN 'crop limit' WHEN n = 0 THEN 'no answer' WHEN n > 1 THEN 'several answers' WHEN {says} THEN NULL WHEN action = 'correct' THEN 'unsure correction' {"" if r == 3 else "WHEN action = 'reject' THEN NULL"} {"WHEN action = 'inspect' THEN CASE WHEN has_box THEN NULL ELSE 'no box' END" if r == 1 else ""} ELSE 'inconclusive' END AS reason,
+  CASE WHEN now THEN {r} ELSE round END AS round, version + CASE WHEN change THEN 1 ELSE 0 END AS version, CASE WHEN NOT change THEN reason WHEN past THEN 'crop limit' WHEN n = 0 THEN 'no answer' WHEN n > 1 THEN 'several answers' WHEN {says} THEN NULL WHEN action = 'correct' AND ac >= 0.85 THEN 'nothing to correct' WHEN action = 'correct' THEN 'unsure correction' {"" if r == 3 else "WHEN action = 'reject' THEN 'rejected by inspection'"} {"WHEN action = 'inspect' THEN CASE WHEN has_box THEN NULL ELSE 'no box' END" if r == 1 else ""} ELSE 'inconclusive' END AS reason,
   recovered OR change AND sure AS recovered FROM k{r})"""
 
 
@@ -153,3 +154,40 @@ def page_rounds(t: Tables):
     blocks, turns, answers = _rounds(t)
     done = rounds.run(blocks, turns, answers, ["conv_id"], most=1)
     return done.select("conv_id", "id", "text", "status", "confidence", "round", "version", "reason", "recovered")
+
+
+def _drafts(t: Tables):
+    """Turns as drafts of tables and paragraphs; a cell's spans are given out of order, one of them overlaps, one may be empty, out of range or of another text."""
+    turn, said = F.col("turn"), F.concat(F.lit("a\u00adb: "), "text", F.lit("\u200b"))
+    span = lambda a, b, text=None, c=None: F.struct(F.lit(a).alias("start") if isinstance(a, int) else a.alias("start"), (F.lit(b) if isinstance(b, int) else b).alias("end"), (F.lit(None).cast("string") if text is None else text).alias("text"), F.lit(c).cast("double").alias("confidence"), F.lit(None).cast("string").alias("source"), F.lit(None).cast(drafts.BOX).alias("box"))
+    spans = F.array(span(4, F.when(turn % 5 == 4, 400).otherwise(6).cast("int")), span(3, (3 + turn % 4).cast("int"), F.when(F.col("role") == "user", "zzz"), 0.25), span(0, 3), span(0, 1, F.lit("a")))
+    box = lambda right: F.struct(F.lit(0.1).alias("x0"), F.lit(0.1).alias("y0"), right.cast("double").alias("x1"), F.lit(0.2).alias("y1"))
+    cell = F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), said.alias("text"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.lit(False).alias("header"), box(F.lit(0.3)).alias("box"), F.when(turn % 3 != 0, turn / 10).cast("double").alias("confidence"), spans.alias("spans"))
+    atom = F.struct(F.lit("word").alias("kind"), F.lit("x\ufeffy").alias("text"), box(F.lit(2)).alias("box"), F.lit(0.75).alias("confidence"), F.array(span(0, 1)).alias("spans"))
+    table = F.col("role") != "system"
+    none = lambda kind: F.lit(None).cast(kind)
+    return t.conversations.select(
+        F.col("conv_id").cast("int").alias("page"), turn.cast("int").alias("idx"), F.when(table, "table").otherwise("form_field").alias("type"), said.alias("text"), box(F.when(turn % 6 == 1, 1.5).otherwise(0.5)).alias("box"), turn.cast("int").alias("reading_order"), F.lit(0.8).alias("confidence"),
+        none("int").alias("heading_level"), none("string").alias("list_marker"), F.array(cell).cast(f"array<{drafts.CELL}>").alias("cells"), none("struct<label:string,value:string,hint:string>").alias("form"), none("struct<state:string,group:string,option:string>").alias("checkbox"),
+        F.concat(F.lit("\u00adcap "), "role").alias("caption"), none("string").alias("description"), none("string").alias("chart_type"), none("array<struct<label:string,value:string,series:string>>").alias("chart"), F.array(atom).cast(f"array<{drafts.ATOM}>").alias("atoms"),
+    )
+
+
+DRAFTS_SQL = """d AS (SELECT conv_id, turn, role, 'a' || chr(173) || 'b: ' || text || chr(8203) AS said, role <> 'system' AS tab FROM conversations),
+e AS (SELECT *, length(said) AS n, replace(replace(said, chr(173), ''), chr(8203), '') AS plain, turn % 4 > 0 AND 3 + turn % 4 <= length(said) AND role <> 'user' AS third FROM d),
+f AS (SELECT *, CASE WHEN turn % 5 = 4 THEN 400 ELSE 6 END AS stop4, CASE WHEN third THEN 3 + turn % 4 ELSE 1 END AS last FROM e),
+g AS (SELECT *, stop4 <= n AND 4 >= last AND length(substr(said, 5, stop4 - 4)) = length(replace(replace(substr(said, 5, stop4 - 4), chr(173), ''), chr(8203), '')) AS fourth FROM f)"""
+
+
+@query(f"""WITH {DRAFTS_SQL} SELECT 'p' || conv_id || '-b' || (turn + 1) AS block_id, plain AS text, CASE WHEN tab THEN '0-1 a ' || coalesce(CASE WHEN turn % 3 <> 0 THEN turn / 10 END, 0.8) || CASE WHEN third THEN ';2-' || (2 + turn % 4) || ' ' || substr(plain, 3, turn % 4) || ' 0.25' ELSE '' END
+  || CASE WHEN fourth THEN ';3-' || (stop4 - 1) || ' ' || substr(plain, 4, stop4 - 4) || ' ' || coalesce(CASE WHEN turn % 3 <> 0 THEN turn / 10 END, 0.8) ELSE '' END END AS spans,
+  CASE WHEN tab THEN NULL ELSE 'ab=' || trim(substr(plain, 4)) END AS form, least(0.75::DOUBLE, CASE WHEN turn % 3 <> 0 THEN turn / 10 END) AS confidence, CASE WHEN turn % 6 = 1 THEN 'invalid box' WHEN tab THEN 'invalid confidence evidence' END AS reason, 'cap ' || role AS caption, true AS again FROM g""")
+def span_blocks(t: Tables):
+    """There, back and there again: cells, atoms, texts and forms stay what they are."""
+    first = drafts.to_blocks(_drafts(t))
+    second = drafts.to_blocks(drafts.to_drafts(first))
+    whole = lambda b: F.to_json(F.struct("type", "text", "cells", "atoms", "form", "box", "caption", "reading_order", "confidence"))
+    again = second.select("block_id", whole(second).alias("_again"))
+    spans = F.array_join(F.flatten(F.transform("cells", lambda c: F.transform(c["spans"], lambda s: F.concat(s["start"], F.lit("-"), s["end"], F.lit(" "), s["text"], F.lit(" "), s["confidence"])))), ";")
+    b = first.withColumn("_own", whole(first)).join(again, "block_id")
+    return b.select("block_id", "text", F.when(F.col("type") == "table", spans).alias("spans"), F.when(F.col("form").isNotNull(), F.concat("form.label", F.lit("="), F.coalesce("form.value", F.lit("")))).alias("form"), "confidence", "reason", "caption", (F.col("_own") == F.col("_again")).alias("again"))

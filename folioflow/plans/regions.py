@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
@@ -68,24 +69,49 @@ def text_marks(t: Tables):
     return t.conversations.select("conv_id", "turn", text.checkbox_state(s).alias("state"), text.checkbox_label(s).alias("label"), text.table_row_cells(row).alias("cells"), text.safe_name(F.concat(F.lit("Inv "), "conv_id", F.lit("/a.b.pdf"))).alias("stem"), text.clean_model_output(F.concat(F.lit("<|s|>```html\n<p>"), "role", F.lit("</p>\n```"))).alias("cleaned"), text.recovery_tokens(F.concat(F.lit("well-\nknown "), "role")).alias("joined"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Total - 5' WHEN role = 'assistant' THEN 'rest ' || turn ELSE '1) 1)x' END AS bare, role <> 'system' AND turn % 2 = 0 AS marked, CASE turn % 3 WHEN 0 THEN '[x]' WHEN 1 THEN '[ ]' ELSE '[?]' END AS mark, CASE WHEN turn % 2 = 0 THEN 'opt: ' || role ELSE role END AS option_text,
+@query(r"""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Total - 5' WHEN role = 'assistant' THEN CASE WHEN turn % 3 = 0 THEN 'rest ' || turn ELSE 'step a)x rest' END ELSE 'Step a) x' END AS bare, role <> 'system' AND turn % 2 = 0 AS marked, CASE turn % 3 WHEN 0 THEN '[x]' WHEN 1 THEN '[ ]' ELSE '[?]' END AS mark, CASE WHEN turn % 2 = 0 THEN 'opt: ' || role ELSE role END AS option_text,
   CASE WHEN turn % 5 = 0 THEN 0 WHEN turn % 5 = 1 THEN 1 WHEN turn % 5 = 2 THEN 2 END AS severity FROM conversations""")
 def marker_rules(t: Tables):
-    body = F.expr("CASE role WHEN 'user' THEN 'Total - total - 5' WHEN 'assistant' THEN '1) 1)  rest ' || turn ELSE '1) 1)x' END")
+    body = F.expr("CASE role WHEN 'user' THEN 'Total - total - 5' WHEN 'assistant' THEN CASE WHEN turn % 3 = 0 THEN 'step A) Step a)\\t rest ' || turn ELSE 'STEP a) step a)x rest' END ELSE 'Step a) x' END")
     kind = F.when(F.col("role") == "user", "paragraph").when(F.col("role") == "assistant", "list_item").otherwise("paragraph")
     states = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(i > F.element_at(F.array(*map(F.lit, (4, 3, 1, 0, 0))), (F.col("turn") % 5 + 1).cast("int")), "checked"))
-    marked = regions.has_marker(F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" "), F.upper("role"), F.lit(" said"))).otherwise(F.concat("role", F.lit("s"))), F.when(F.col("role") != "system", F.col("role")).otherwise("none"))
-    return t.conversations.select("conv_id", "turn", regions.without_marker(body, kind, F.lit("1)")).alias("bare"), marked.alias("marked"), regions.checkbox_mark(F.expr("CASE turn % 3 WHEN 0 THEN 'checked' WHEN 1 THEN 'unchecked' END")).alias("mark"), regions.checkbox_text(F.when(F.col("turn") % 2 == 0, "opt"), F.col("role")).alias("option_text"), regions.unresolved_severity(states).alias("severity"))
+    marked = regions.has_marker(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("\t "), F.upper("role"), F.lit("\tsaid"))).otherwise(F.concat("role", F.lit("s"))), F.when(F.col("role") != "system", F.col("role")).otherwise("none"))
+    return t.conversations.select("conv_id", "turn", regions.without_marker(body, kind, F.lit(" step a) ")).alias("bare"), marked.alias("marked"), regions.checkbox_mark(F.expr("CASE turn % 3 WHEN 0 THEN 'checked' WHEN 1 THEN 'unchecked' END")).alias("mark"), regions.checkbox_text(F.when(F.col("turn") % 2 == 0, "opt"), F.col("role")).alias("option_text"), regions.unresolved_severity(states).alias("severity"))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN ['a b', role] WHEN 1 THEN CASE WHEN role = 'v' THEN ['L', 'v'] ELSE ['L', role] END WHEN 2 THEN list_filter(['[x]', role, 'text'], lambda x: x <> '') WHEN 3 THEN ['text', 'cap'] ELSE ['text', '-'] END AS said FROM conversations""")
+@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN ['a b', role, 'text'] WHEN 1 THEN list_distinct_in_order(['L', role, 'text']) WHEN 2 THEN list_filter(['[x]', role, 'text'], lambda x: x <> '') WHEN 3 THEN ['text', 'cap'] ELSE ['text', '-'] END AS said FROM conversations""".replace("list_distinct_in_order(['L', role, 'text'])", "['L', role, 'text']"))
 def semantic_fragments(t: Tables):
     kind = F.expr("CASE turn % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'form_field' WHEN 2 THEN 'checkbox' WHEN 3 THEN 'figure' ELSE 'list_item' END")
     role, none = F.col("role"), F.lit(None).cast("string")
-    said = regions.fragments(kind, F.lit("text"), F.array(F.lit("a\nb"), role, F.lit("")), F.struct(F.lit("L:").alias("label"), role.alias("value"), none.alias("hint")), F.struct(F.lit("checked").alias("state"), none.alias("group"), role.alias("option")), F.array(F.lit("cap"), F.lit("text")), F.lit(""))
+    cell = lambda col, c: F.struct(F.lit(0).alias("row"), F.lit(col).alias("col"), c.alias("text"))
+    said = regions.fragments(kind, F.lit("text"), F.array(cell(0, F.lit("a\nb")), cell(1, role), cell(2, F.lit(""))), F.struct(F.lit("L:").alias("label"), role.alias("value"), none.alias("hint")), F.struct(F.lit("checked").alias("state"), none.alias("group"), role.alias("option")), F.array(F.lit("cap"), F.lit("text")), F.lit(""))
     return t.conversations.select("conv_id", "turn", said.alias("said"))
 
 
+RESIDUAL_SQL = """WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_returnflag AS f, l_linestatus AS s, l_partkey % 5 AS p FROM lineitem),
+own AS (SELECT k, n, 0 AS x, CASE p WHEN 0 THEN f || '|' || s WHEN 1 THEN f WHEN 2 THEN 'note ' || f WHEN 3 THEN f || '|' || s ELSE '' END AS key, CASE p WHEN 0 THEN '| ' || f || ' |  ' || s || ' |' WHEN 1 THEN f WHEN 2 THEN 'note  ' || f ELSE f || ' | ' || s END AS line FROM l WHERE p < 4
+  UNION ALL SELECT k, n, 1, f || '|' || s, f || '|' || s FROM l WHERE p = 3),
+held AS (SELECT k, key, max(c) AS c FROM (SELECT k, v AS key, count(*) AS c FROM (SELECT k, unnest([f, s]) AS v FROM l) q GROUP BY 1, 2 UNION ALL SELECT k, f || '|' || s, count(*) FROM l GROUP BY 1, 2) q GROUP BY 1, 2),
+rest AS (SELECT own.k, 1 AS part, n * 2 + x AS pos, trim(line) AS said FROM (SELECT *, row_number() OVER (PARTITION BY k, key ORDER BY n, x) AS nth FROM own) own LEFT JOIN held USING (k, key) WHERE nth > coalesce(c, 0)),
+every AS (SELECT k, 0 AS part, n * 2 AS pos, f AS said FROM l UNION ALL SELECT k, 0, n * 2 + 1, s FROM l UNION ALL SELECT * FROM rest),
+firsts AS (SELECT k, said, min((part, pos)) AS place FROM every GROUP BY k, said)
+SELECT k AS l_orderkey, string_agg(said, ';' ORDER BY place) AS said FROM firsts GROUP BY k"""
+
+
+@query(RESIDUAL_SQL)
+def residual_fragments(t: Tables):
+    """Tables whose text repeats their rows and cells, some oftener than they stand there, with other lines between."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    l = t.lineitem.withColumn("n", F.row_number().over(order))
+    f, s, p = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_partkey") % 5
+    both = F.concat(f, F.lit(" | "), s, F.lit("\r\n"), f, F.lit("|"), s)
+    body = F.when(p == 0, F.concat(F.lit("| "), f, F.lit(" |  "), s, F.lit(" |"))).when(p == 1, f).when(p == 2, F.concat(F.lit("note  "), f)).when(p == 3, both).otherwise("  ")
+    cells = F.array(F.struct(F.col("n").alias("row"), F.lit(0).alias("col"), f.alias("text")), F.struct(F.col("n").alias("row"), F.lit(1).alias("col"), s.alias("text")))
+    tables = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", body.alias("b"), cells.alias("c")))).alias("r"))
+    said = regions.fragments(F.lit("table"), F.array_join(F.transform("r", lambda x: x["b"]), "\n"), F.flatten(F.transform("r", lambda x: x["c"])), F.lit(None).cast("struct<label:string,value:string,hint:string>"), F.lit(None).cast("struct<state:string,group:string,option:string>"), F.lit(None).cast("array<string>"), F.lit(None).cast("string"))
+    return tables.select("l_orderkey", F.array_join(said, ";").alias("said"))
+
+
 @query("""WITH a AS (SELECT c_custkey AS doc_id, c_custkey AS anchor_id, 'x' || c_custkey AS said FROM customer), b AS (SELECT o_custkey AS doc_id, o_orderkey AS block_id, o_orderkey % 3 AS page, o_orderkey AS n, 'x' || o_custkey || '-' || o_orderstatus AS text FROM orders WHERE o_orderstatus <> 'P')
 SELECT a.doc_id, anchor_id, arg_min(block_id, (page, n)) AS block_id FROM a JOIN b ON a.doc_id = b.doc_id AND contains(b.text, a.said) GROUP BY 1, 2""")
 def anchor_claims(t: Tables):

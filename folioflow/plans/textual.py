@@ -179,10 +179,10 @@ def pointer_lookup(t: Tables):
     return t.events.select("event_id", pointers.lookup(F.col("props"), "/k", "bigint").alias("k"), pointers.lookup(F.col("props"), "/none").alias("missing"))
 
 
-@query("""WITH v AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN event_type WHEN 2 THEN 'TRUE' ELSE '1' || event_id || '.5' END AS s FROM events)
+@query("""WITH v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN event_type WHEN 2 THEN 'TRUE' WHEN 3 THEN '-' || (1000000000000000000 + event_id) WHEN 4 THEN '+9' || (9000000000000000000 + event_id) ELSE '1' || event_id || '.5' END AS s FROM events)
 SELECT event_id, TRY_CAST(CASE WHEN regexp_full_match(s, '[+-]?\\d+') THEN s END AS BIGINT) AS as_integer, TRY_CAST(CASE WHEN regexp_full_match(s, '[+-]?\\d+(\\.\\d*)?') THEN s END AS DOUBLE) AS as_number, CASE WHEN lower(s) = 'true' THEN true WHEN lower(s) = 'false' THEN false END AS as_boolean FROM v""")
 def literal_coercion(t: Tables):
-    s = F.expr("CASE event_id % 4 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN event_type WHEN 2 THEN 'TRUE' ELSE concat('1', event_id, '.5') END")
+    s = F.expr("CASE event_id % 6 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN event_type WHEN 2 THEN 'TRUE' WHEN 3 THEN concat('-', 1000000000000000000 + event_id) WHEN 4 THEN concat('+9', 9000000000000000000 + event_id) ELSE concat('1', event_id, '.5') END")
     return t.events.select("event_id", pointers.coerce(s, "integer").alias("as_integer"), pointers.coerce(s, "number").alias("as_number"), pointers.coerce(s, "boolean").alias("as_boolean"))
 
 
@@ -197,3 +197,12 @@ def grounded_candidates(t: Tables):
     spans = base.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.lit(5).cast("bigint").alias("end"))
     out = joins.ground_candidates(c, fields, base.select("doc_id", "base_text"), spans)
     return out.join(base.select("doc_id", "conv_id", "turn"), "doc_id").select("conv_id", "turn", "reason")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sha256('{"Z":' || l_suppkey || ',"a":{"b":' || CASE WHEN l_partkey % 3 = 0 THEN 'null' ELSE CAST(l_partkey AS VARCHAR) END || ',"c":[' || l_linenumber || ',"x:1.0"]}}') AS sha FROM lineitem""")
+def canonical_fingerprints(t: Tables):
+    """Fields in two orders, numbers with and without a fraction, nulls: one hash."""
+    part, other = F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey")), F.col("l_linenumber") % 2 == 0
+    one = F.concat(F.lit('{ "a": {"c": ['), "l_linenumber", F.lit('.0, "x:1.0"], "b": '), F.coalesce(part.cast("string"), F.lit("null")), F.lit('}, "Z": '), "l_suppkey", F.lit("}"))
+    two = F.concat(F.lit('{"Z":'), "l_suppkey", F.lit(',"a":{"b":'), F.coalesce(part.cast("string"), F.lit("null")), F.lit(',"c":['), "l_linenumber", F.lit(',"x:1.0"]}}'))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.sha2(pointers.canonical_json(F.when(other, one).otherwise(two)), 256).alias("sha"))

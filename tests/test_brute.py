@@ -7,8 +7,8 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.functions import text
-from folioflow.operators import regions
+from folioflow.functions import pointers, text
+from folioflow.operators import folds, regions
 from folioflow.plans import catalog
 
 from .conftest import SMALL
@@ -139,8 +139,34 @@ def test_context_packing(spark):
 
 def test_html_grid(spark):
     source = "<table><tr><th rowspan=2>A</th><td colspan='2'>B<br>c</td></tr><tr><td>D</td><td rowspan=x>E &amp; F</td></tr></table>"
-    rows = regions.html_grid(spark.createDataFrame([(1, source), (2, None), (3, "<td>q</td>")], "k int, h string"), "k", "h").collect()
-    assert {(r.k, r.row, r.column, r.row_span, r.col_span, r.text) for r in rows} == {(1, 0, 0, 2, 1, "A"), (1, 0, 1, 1, 2, "B c"), (1, 1, 1, 1, 1, "D"), (1, 1, 2, 1, 1, "E & F"), (3, 0, 0, 1, 1, "q")}
+    odd = "<tr><td colspan='²' rowspan=0>a</td><TD rowspan='3000000'>b<td>never closed<tr><td>in an open row<tr><td COLSPAN = \"+2\">&eacute;<!-- no --><i>x</i></TD ></tr ><td>stray</td>"
+    rows = regions.html_grid(spark.createDataFrame([(1, source), (2, None), (3, "<td>q</td>"), (4, odd)], "k int, h string"), "k", "h").collect()
+    assert {(r.k, r.row, r.column, r.row_span, r.col_span, r.text, r.header) for r in rows} == {(1, 0, 0, 2, 1, "A", True), (1, 0, 1, 1, 2, "B c", False), (1, 1, 1, 1, 1, "D", False), (1, 1, 2, 1, 1, "E & F", False), (4, 0, 0, 1, 2, "éx", False)}
+
+
+def test_spans_of_any_size_are_one_interval(spark):
+    c = spark.createDataFrame([(1, r, 0, 10_000_000, 3_000_000, f"{r}") for r in range(300)], "t int, row int, seq int, row_span int, col_span int, text string")
+    assert sorted(r.column for r in folds.place_cells(c, ["t"]).collect()) == [3_000_000 * r for r in range(300)]
+
+
+def test_markers_fragments_and_literals(spark):
+    one = lambda expr: spark.range(1).select(expr).first()[0]
+    item = lambda body, marker: one(regions.without_marker(F.lit(body), F.lit("list_item"), F.lit(marker)))
+    assert item("step a) Step A)  rest", "step a)") == "rest" and item("\t1) x", "1)") == "\t1) x" and item("1) 1)x", "1)") == "1)x" and item("a.b c", "a?b") == "a.b c" and item("\\E1 x", "\\E1") == "x" and item("- ", "-") == ""
+    assert one(regions.has_marker(F.lit("\t (a) b"), F.lit("(A)"))) and one(regions.has_marker(F.lit("\u2003(a)"), F.lit("(a)"))) and not one(regions.has_marker(F.lit("(a)b"), F.lit("(a)")))
+    none = [F.lit(None).cast(t) for t in ("struct<label:string,value:string,hint:string>", "struct<state:string,group:string,option:string>", "array<string>", "string")]
+    cells = F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(t).alias("text")) for r, c, t in ((0, 0, "c\n"), (0, 1, "a\r\nb"), (1, 0, "x"))])
+    said = lambda body: one(regions.fragments(F.lit("table"), F.lit(body), cells, *none))
+    assert said("") == ["c", "a  b", "x"] and said("x\nx\n| c | a b|\n c\nnew | x\n\n") == ["c", "a  b", "x", "new | x"]
+    form = F.struct(F.lit("Name:").alias("label"), F.lit("Ann").alias("value"), F.lit(None).cast("string").alias("hint"))
+    filled = one(regions.fragments(F.lit("form_field"), F.lit("Name: Ann\nName: Ann\nsigned\nsigned"), F.lit(None).cast("array<struct<row:int,col:int,text:string>>"), form, *none[1:]))
+    assert filled == ["Name", "Ann", "Name: Ann", "signed"]
+    number = lambda s, kind="integer": one(pointers.coerce(F.lit(s), kind))
+    assert number("1234567890123456789") == 1234567890123456789 and number("-9223372036854775808") == -(2**63) and number("9223372036854775808") is None and number("1\n") is None and number("+7") == 7 and number("1e400", "number") == float("inf")
+    same = [one(F.sha2(pointers.canonical_json(F.lit(t)), 256)) for t in ('{"a":1,"b":[1.0,null]}', ' {"b" : [1, null], "a": 1.00}', '{"a":1,"b":[1]}', '{"a":1}')]
+    assert same[0] == same[1] and len(set(same)) == 3
+    f = lambda text_: one(pointers.fingerprint(F.from_json(F.lit(text_), "a int, b int")))
+    assert f('{"a":1}') == f('{"b":null,"a":1}') and one(pointers.canonical_json(F.lit('{"x":"1.0","y":"q\\"2.0,"}'))) == '{"x":"1.0","y":"q\\"2.0,"}'
 
 
 def test_processed_page(spark):
