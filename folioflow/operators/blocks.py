@@ -44,7 +44,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _walked(groups: np.ndarray, ids: np.ndarray, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def _walked(groups: np.ndarray, ids: np.ndarray, parents: np.ndarray, numbers: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """rows, depth, position and number of the rows that a root reaches, level by level. groups: codes; ids, parents: codes of one
     numbering, parents -1 without one; rows stand in sibling order."""
     n, wide = len(ids), int(max(ids.max(initial=-1), parents.max(initial=-1))) + 1
@@ -68,22 +68,23 @@ def _walked(groups: np.ndarray, ids: np.ndarray, parents: np.ndarray) -> tuple[n
             levels.append(front)
     for rows in levels[:0:-1]:
         np.add.at(size, parent[rows], size[rows])
-    position, number = np.zeros(n, np.int64), [""] * n
+    position, number = np.zeros(n, np.int64), [None] * n
     for k, rows in enumerate(levels):
         before = np.cumsum(size[rows]) - size[rows]
         start = before[np.maximum.accumulate(np.where(nth[rows] == 1, np.arange(len(rows)), 0))]
         position[rows] = before - start + 1 + (position[parent[rows]] if k else 0)
-        for r in rows.tolist():
+        for r in rows.tolist() if numbers else ():
             number[r] = f"{number[parent[r]]}.{nth[r]}" if k else str(nth[r])
     found = np.flatnonzero(depth >= 0)
     return found, depth[found], position[found], [number[r] for r in found.tolist()]
 
 
-def preorder(blocks: DataFrame, by: list[str], order: str = "reading_order") -> DataFrame:
+def preorder(blocks: DataFrame, by: list[str], order: str = "reading_order", numbers: bool = True) -> DataFrame:
     """Depth, dotted section number and position of each block in a depth-first walk, siblings by order (then block_id).
 
     Rows whose parent is missing, and rows on a cycle, hang on no root and do not appear. A block_id stands for one block of its
     group. One shuffle by group; many groups are walked together, level by level, so neither rows nor levels have a limit.
+    Numbers of a chain of n levels take n * n characters; without them (numbers=False, they are null) a row costs the same at any depth.
     """
     m = len(by)
 
@@ -91,7 +92,7 @@ def preorder(blocks: DataFrame, by: list[str], order: str = "reading_order") ->
         for t in _whole_groups(batches, m + 2):
             both = pa.chunked_array([*t[m].chunks, *t[m + 1].chunks]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             groups = t[m + 2].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            found, depth, position, number = _walked(groups, both[: t.num_rows], both[t.num_rows :])
+            found, depth, position, number = _walked(groups, both[: t.num_rows], both[t.num_rows :], numbers)
             kept = t.take(pa.array(found)).combine_chunks()
             yield from pa.table([*[kept[i] for i in range(m + 1)], pa.array(depth.astype(np.int32)), pa.array(number, pa.string()), pa.array(position.astype(np.int32))], names=[*by, "block_id", "depth", "number", "position"]).to_batches()
 
@@ -109,7 +110,7 @@ def active(blocks: DataFrame) -> DataFrame:
 
 def elements(blocks: DataFrame, by: list[str]) -> DataFrame:
     """Public elements: numbered from 1 in each page's walk."""
-    return preorder(blocks, by).select(*by, "block_id", F.col("position").alias("element_order"), "depth")
+    return preorder(blocks, by, numbers=False).select(*by, "block_id", F.col("position").alias("element_order"), "depth")
 
 
 def semantic_text(*parts: Column) -> Column:

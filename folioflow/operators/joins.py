@@ -189,8 +189,23 @@ def centre_weighted_mean(cells: DataFrame, regions: DataFrame, by: list[str], gr
 
 
 def claimed_anchors(blocks: DataFrame, anchors: DataFrame, by: list[str]) -> DataFrame:
-    """Each anchor text goes to the first block, in page and reading order, that contains it."""
-    j = blocks.join(anchors, by).where(F.contains(F.col("text"), F.col("anchor_text")))
+    """Each anchor text goes to the first block, in page and reading order, that contains it.
+
+    A word between the outer ones of an anchor stands whole in a block that contains it, so the longest of them is the join key; an anchor
+    of fewer words is keyed by its first three characters, one of fewer characters by its document. Blocks are cut into characters only
+    where their document has such anchors.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    inner = F.filter(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    a = anchors.withColumn("_w", words(F.col("anchor_text"))).withColumn("_key", F.when(longest.isNotNull(), F.concat(F.lit("w"), longest)).when(F.length("anchor_text") >= 3, F.concat(F.lit("g"), F.substring("anchor_text", 1, 3))).otherwise("t")).drop("_w")
+    kinds = a.groupBy(*by).agg(F.bool_or(F.startswith("_key", F.lit("g"))).alias("_grams"), F.bool_or(F.col("_key") == "t").alias("_tiny"))
+    none = F.array().cast("array<string>")
+    text = F.col("text")
+    grams = F.when(F.col("_grams") & (F.length(text) >= 3), F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.concat(F.lit("g"), F.substring(text, i, F.lit(3))))).otherwise(none)
+    keys = F.concat(F.transform(words(text), lambda w: F.concat(F.lit("w"), w)), grams, F.when(F.col("_tiny"), F.array(F.lit("t"))).otherwise(none))
+    b = blocks.join(kinds, by).withColumn("_key", F.explode(F.array_distinct(keys))).drop("_grams", "_tiny")
+    j = b.join(a, [*by, "_key"]).where(F.contains(F.col("text"), F.col("anchor_text")))
     return j.groupBy(*by, "anchor_id").agg(F.min_by("block_id", F.struct("page", "reading_order")).alias("block_id"))
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import pointers
 
 
 def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
@@ -111,12 +116,24 @@ def brier_ece(scored: DataFrame) -> DataFrame:
     return brier.join(ece)  # one row each
 
 
-def regression_gate(metrics: DataFrame, baseline: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules over metrics keyed by pointer; a missing or non-numeric metric fails. metrics, baseline: path, value, is_number;
+def report_gate(reports: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """Rules as rows over JSON reports: each report meets the rules of its kind, and each rule the number at its own pointer.
+
+    reports: key, kind, candidate, baseline (JSON texts); rules: kind, name, path (a pointer), higher_is_better, minimum, maximum,
+    max_regression. The leaves of all reports are joined by pointer, so rules may name any place of any report."""
+    asked = reports.select(key, "kind").join(rules, "kind")
+    number = F.when(F.col("kind") == "number", F.col("value").cast("double"))
+    side = lambda c: pointers.leaves(reports, key, c).select(key, F.col("pointer").alias("path"), number.alias("value"), (F.col("kind") == "number").alias("is_number"))
+    return regression_gate(side("candidate"), side("baseline"), asked, [key])
+
+
+def regression_gate(metrics: DataFrame, baseline: DataFrame, rules: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rules over metrics keyed by pointer (and by); a missing or non-numeric metric fails. metrics, baseline: path, value, is_number;
     rules: name, path, higher_is_better, minimum, maximum, max_regression."""
-    c = metrics.select("path", F.col("value").alias("candidate"), F.col("is_number").alias("c_number"), F.lit(True).alias("c_there"))
-    b = baseline.select("path", F.col("value").alias("baseline"), F.col("is_number").alias("b_number"), F.lit(True).alias("b_there"))
-    j = rules.join(c, "path", "left").join(b, "path", "left")
+    by = by or []
+    c = metrics.select(*by, "path", F.col("value").alias("candidate"), F.col("is_number").alias("c_number"), F.lit(True).alias("c_there"))
+    b = baseline.select(*by, "path", F.col("value").alias("baseline"), F.col("is_number").alias("b_number"), F.lit(True).alias("b_there"))
+    j = rules.join(c, [*by, "path"], "left").join(b, [*by, "path"], "left")
     there = lambda x: F.coalesce(F.col(x), F.lit(False))
     usable = there("c_there") & there("c_number")
     absolute = F.when(usable, (F.col("minimum").isNull() | (F.col("candidate") >= F.col("minimum"))) & (F.col("maximum").isNull() | (F.col("candidate") <= F.col("maximum")))).otherwise(True)
@@ -129,7 +146,7 @@ def regression_gate(metrics: DataFrame, baseline: DataFrame, rules: DataFrame) -
         .when(F.col("max_regression").isNotNull() & ~there("b_there"), "baseline metric is missing").when(F.col("max_regression").isNotNull() & ~there("b_number"), "baseline metric is not numeric")
         .when(~F.col("absolute_passed") & bad, "absolute threshold and baseline regression failed").when(~F.col("absolute_passed"), "absolute threshold failed").when(bad, "baseline regression exceeded")
     )
-    return j.withColumn("reason", reason).select("name", "path", "absolute_passed", "regression_passed", F.col("reason").isNull().alias("passed"), "reason")
+    return j.withColumn("reason", reason).select(*by, "name", "path", "absolute_passed", "regression_passed", F.col("reason").isNull().alias("passed"), "reason")
 
 
 def pair_scores(candidate: DataFrame, gold: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -140,15 +157,35 @@ def pair_scores(candidate: DataFrame, gold: DataFrame, keys: list[str], by: list
     return both.select(*by, "matches", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 
 
+def ordered_pairs(values: np.ndarray) -> int:
+    """Pairs of places i < j with values[i] < values[j]: blocks of doubling width are merged, a level at a time."""
+    n = len(values)
+    ranks = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    at, total, width = np.arange(n), 0, 1
+    while width < n:
+        block = at // (2 * width)
+        key, left = block * n + ranks, at // width % 2 == 0
+        held = np.sort(key[left])
+        start = np.searchsorted(held, block[~left] * n)
+        total += int((np.searchsorted(held, key[~left]) - start).sum())
+        width *= 2
+    return total
+
+
+@F.pandas_udf(T.LongType())
+def _ordered_pairs(lines: pd.Series) -> pd.Series:
+    return pd.Series([ordered_pairs(np.asarray(x)) for x in lines], dtype="int64")
+
+
 def reading_order(candidate: DataFrame, gold: DataFrame) -> DataFrame:
     """Pairwise concordance over ordered gold pairs and anchor coverage. candidate, gold: doc_id, anchor, pos; of repeated candidates the first counts.
 
-    Pairs in order are counted per document from sorted arrays, so no pair rows are made.
+    Pairs in order are counted by merging within a document, so no pair is made.
     """
     c = candidate.groupBy("doc_id", "anchor").agg(F.min("pos").alias("cpos"))
     j = gold.join(c, ["doc_id", "anchor"], "left")
     per = j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gold"), F.count("cpos").alias("n_found"), F.transform(F.array_sort(F.collect_list(F.when(F.col("cpos").isNotNull(), F.struct("pos", "cpos")))), lambda x: x["cpos"]).alias("line"))
-    later = F.aggregate(F.transform(F.col("line"), lambda x, i: F.size(F.filter(F.slice("line", i + 2, F.size("line")), lambda y: y > x))), F.lit(0), lambda a, b: a + b)
+    later = _ordered_pairs("line")
     n_pairs = F.col("n_found") * (F.col("n_found") - 1) / 2
     return per.select("doc_id", ratio(later.cast("double"), n_pairs, 1.0).alias("pairwise_order_accuracy"), ratio(F.col("n_found").cast("double"), F.col("n_gold"), 1.0).alias("anchor_coverage"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import instances
+from ..operators import instances, metrics
+from ..sources import stores
 from .registry import Tables, query
 
 _S = lambda kind, *more: {"type": [kind, *more]}
@@ -77,3 +78,38 @@ def traced_requests(t: Tables):
     answers, trace = instances.structured_requests(asked, _model, instances.rules(t.spark, {"n": schema}), "o_custkey", "schema")
     done = trace.where("status = 'completed'").join(answers, "o_custkey").select("o_custkey", "attempt", "document")
     return trace.join(done, ["o_custkey", "attempt"], "left").select("o_custkey", "attempt", "status", F.col("n_problems").cast("bigint").alias("n_problems"), "input_tokens", "document")
+
+
+@query("""WITH r AS (SELECT o_custkey AS k, o_orderpriority AS kind, avg(o_totalprice) AS c, count(*) AS n, min(o_totalprice) AS b FROM orders GROUP BY ALL),
+j AS (SELECT 'price' AS name, '/prices/0/mean' AS path, k, kind, c, b, true AS c_num, false AS up, NULL::DOUBLE AS low, 250000.0::DOUBLE AS high, 20000.0::DOUBLE AS slack, kind <> '5-LOW' AS base FROM r
+  UNION ALL SELECT 'orders', '/a~1b/n', k, kind, n, 1, n % 4 > 0, true, 2, NULL, NULL, true FROM r WHERE kind = '1-URGENT'
+  UNION ALL SELECT 'none', '/missing', k, kind, NULL, NULL, NULL, true, 1, NULL, NULL, true FROM r WHERE kind = '2-HIGH'),
+t AS (SELECT *, c IS NOT NULL AND c_num AS usable FROM j),
+u AS (SELECT *, CASE WHEN usable THEN (low IS NULL OR c >= low) AND (high IS NULL OR c <= high) ELSE true END AS absolute_passed, CASE WHEN usable AND slack IS NOT NULL THEN base AND c <= b + slack END AS regression_passed FROM t),
+v AS (SELECT *, CASE WHEN name = 'none' THEN 'candidate metric is missing' WHEN NOT c_num THEN 'candidate metric is not numeric' WHEN slack IS NOT NULL AND NOT base THEN 'baseline metric is missing' WHEN NOT absolute_passed AND regression_passed IS false THEN 'absolute threshold and baseline regression failed' WHEN NOT absolute_passed THEN 'absolute threshold failed' WHEN regression_passed IS false THEN 'baseline regression exceeded' END AS reason FROM u)
+SELECT k || kind AS report, name, path, absolute_passed, regression_passed, reason IS NULL AS passed, reason FROM v""")
+def report_gates(t: Tables):
+    """A report for each customer and priority; the rules are rows with a pointer of their own each."""
+    r = t.orders.groupBy("o_custkey", F.col("o_orderpriority").alias("kind")).agg(F.avg("o_totalprice").alias("c"), F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("b"))
+    n = F.when(F.col("n") % 4 == 0, F.concat(F.lit('"'), "n", F.lit('"'))).otherwise(F.col("n").cast("string"))
+    whole = F.concat(F.lit('{"prices":[{"mean":'), "c", F.lit('}],"a/b":{"n":'), n, F.lit("}}"))
+    base = F.when(F.col("kind") == "5-LOW", '{"prices":[]}').otherwise(F.concat(F.lit('{"prices":[{"mean":'), F.col("b").cast("double"), F.lit("}]}")))
+    rules = t.orders.select(F.col("o_orderpriority").alias("kind")).distinct().select("kind", F.lit("price").alias("name"), F.lit("/prices/0/mean").alias("path"), F.lit(False).alias("higher_is_better"), F.lit(None).cast("double").alias("minimum"), F.lit(250000.0).alias("maximum"), F.lit(20000.0).alias("max_regression"))
+    more = t.spark.createDataFrame([("1-URGENT", "orders", "/a~1b/n", True, 2.0, None, None), ("2-HIGH", "none", "/missing", True, 1.0, None, None)], "kind string, name string, path string, higher_is_better boolean, minimum double, maximum double, max_regression double")
+    return metrics.report_gate(r.select(F.concat("o_custkey", "kind").alias("report"), "kind", whole.alias("candidate"), base.alias("baseline")), rules.unionByName(more), "report")
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, c_name AS name, 1 + c_custkey % 3 AS version FROM customer WHERE c_custkey % 4 <> 0), c AS (SELECT *, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 9 ELSE 1 + k % 3 END AS expected, k % 7 = 0 AS del FROM (SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 2 = 0) q),
+o AS (SELECT c.k, c.name AS cname, s.name, s.version, CASE WHEN expected IS NULL AND s.k IS NOT NULL THEN 'exists' WHEN expected IS NULL AND del THEN 'missing' WHEN expected IS NULL THEN 'created' WHEN s.k IS NULL THEN 'missing' WHEN s.version <> expected THEN 'conflict' WHEN del THEN 'deleted' ELSE 'updated' END AS outcome FROM c LEFT JOIN s USING (k)),
+after AS (SELECT name, version, 'old' AS payload FROM s WHERE k NOT IN (SELECT k FROM o WHERE outcome IN ('updated', 'deleted')) UNION ALL SELECT coalesce(name, lower(cname)), coalesce(version, 0) + 1, 'new' FROM o WHERE outcome IN ('created', 'updated'))
+SELECT w.n AS asked, a.name, CAST(a.version AS INTEGER) AS version, a.payload, outcome FROM (SELECT c_custkey AS k, upper(c_name) AS n FROM customer) w LEFT JOIN after a ON lower(a.name) = lower(w.n) LEFT JOIN o ON o.k = w.k""")
+def caseless_store(t: Tables):
+    """Names in three spellings are one key in the update and in the lookup; repeated changes of a key are told and not taken."""
+    c, k = t.customer, F.col("c_custkey")
+    stored = c.where(k % 4 != 0).select("c_name", (1 + k % 3).cast("int").alias("version"), F.lit("old").alias("payload"))
+    own = c.where(k % 2 == 0).select(F.lower("c_name").alias("c_name"), F.when(k % 5 == 0, None).when(k % 5 == 1, 9).otherwise((1 + k % 3).cast("int")).alias("expected"), k.alias("seq"), (k % 7 == 0).alias("deleted"), F.lit("new").alias("payload"))
+    again = c.where(k % 2 == 0).select(F.upper("c_name").alias("c_name"), F.lit(None).cast("int").alias("expected"), (k + 1_000_000_000).alias("seq"), F.lit(False).alias("deleted"), F.lit("never").alias("payload"))
+    after, told = stores.put(stored, own.unionByName(again), "c_name")
+    asked = stores.found(after, c.select(F.upper("c_name").alias("c_name")), "c_name")
+    first = told.where("outcome <> 'repeated'").select(F.upper("c_name").alias("asked"), "outcome")
+    return asked.join(first, "asked", "left").select("asked", F.col("c_name").alias("name"), "version", "payload", "outcome")

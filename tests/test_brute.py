@@ -1,14 +1,16 @@
 """Queries that SQL cannot express against plain Python on the same tables, and region operators by hand."""
 
 import difflib
+import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import pointers, text
-from folioflow.operators import folds, regions
+from folioflow.operators import blocks, folds, joins, metrics, regions
 from folioflow.plans import catalog
 
 from .conftest import SMALL
@@ -159,7 +161,7 @@ def test_markers_fragments_and_literals(spark):
     said = lambda body: one(regions.fragments(F.lit("table"), F.lit(body), cells, *none))
     assert said("") == ["c", "a  b", "x"] and said("x\nx\n| c | a b|\n c\nnew | x\n\n") == ["c", "a  b", "x", "new | x"]
     form = F.struct(F.lit("Name:").alias("label"), F.lit("Ann").alias("value"), F.lit(None).cast("string").alias("hint"))
-    filled = one(regions.fragments(F.lit("form_field"), F.lit("Name: Ann\nName: Ann\nsigned\nsigned"), F.lit(None).cast("array<struct<row:int,col:int,text:string>>"), form, *none[1:]))
+    filled = one(regions.fragments(F.lit("form_field"), F.lit("Name: Ann\nName: Ann\nName: Ann\nsigned\nsigned"), F.lit(None).cast("array<struct<row:int,col:int,text:string>>"), form, *none[1:]))
     assert filled == ["Name", "Ann", "Name: Ann", "signed"]
     number = lambda s, kind="integer": one(pointers.coerce(F.lit(s), kind))
     assert number("1234567890123456789") == 1234567890123456789 and number("-9223372036854775808") == -(2**63) and number("9223372036854775808") is None and number("1\n") is None and number("+7") == 7 and number("1e400", "number") == float("inf")
@@ -188,3 +190,36 @@ def test_markers(spark):
     f = lambda b, m="1)": regions.without_marker(F.lit(b), F.lit("list_item"), F.lit(m))
     r = spark.range(1).select(f("1) 1)  a  b").alias("a"), f("1)a").alias("b"), f("1)").alias("c"), f("A. a. x", "a.").alias("d"), f("x", "").alias("e")).first()
     assert tuple(r) == ("a  b", "1)a", "", "x", "x")
+
+
+def test_long_rows_take_linear_time(spark):
+    """20,000 words, anchors and levels in seconds each."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(15_000)}" for _ in range(20_000)]
+    other = rng.sample(words, len(words))
+    df = spark.createDataFrame([(words, other[:18_000]), (None, ["a"]), ([], ["a"]), (["a", "a"], None)], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(text.multiset_coverage("a", "b")).collect()] == [0.9, 1.0, 1.0, 0.0]
+    short = spark.createDataFrame([(words[:4000], words[:3990]), (["😀", "b"], ["b"])], "a array<string>, b array<string>")
+    assert [r[0] for r in short.select(text.token_distance(F.col("a"), F.col("b"))).collect()] == [10, 1]
+    values = np.array([rng.randrange(300) for _ in range(3000)])
+    assert metrics.ordered_pairs(values) == sum(int((values[i + 1 :] > values[i]).sum()) for i in range(len(values))) and metrics.ordered_pairs(values[:0]) == 0
+    gold = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("anchor"), F.col("id").alias("pos"))
+    turned = gold.select("doc_id", "anchor", (F.lit(20_000) - F.col("pos")).alias("pos"))
+    assert metrics.reading_order(turned, gold).first().pairwise_order_accuracy == 0.0
+    chain = spark.range(80_000).select(F.lit(1).alias("d"), F.col("id").cast("string").alias("block_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"), F.lit(0).alias("reading_order"))
+    deep = blocks.preorder(chain, ["d"], numbers=False).agg(F.max("depth").alias("d"), F.count("number").alias("n")).first()
+    assert (deep.d, deep.n) == (79_999, 0)
+
+
+def test_anchors_against_every_pair(spark):
+    rng = random.Random(4)
+    said = lambda n: " ".join(rng.choice(["ab", "abc", "é b", "zz", "a"]) for _ in range(n))
+    b = [(d, i, i % 3, i, said(9)) for d in range(5) for i in range(12)] + [(9, 1, 0, 0, ""), (9, 2, 0, 1, None)]
+    a = [(d, i, said(rng.choice([1, 2, 3, 4]))[rng.randrange(2) :]) for d in (*range(5), 9, 11) for i in range(15)] + [(0, 99, ""), (0, 98, None), (1, 97, "z z")]
+    got = {(r.doc_id, r.anchor_id): r.block_id for r in joins.claimed_anchors(spark.createDataFrame(b, "doc_id int, block_id int, page int, reading_order int, text string"), spark.createDataFrame(a, "doc_id int, anchor_id int, anchor_text string"), ["doc_id"]).collect()}
+    want = {}
+    for d, i, anchor in a:
+        held = sorted((x[2], x[3], x[1]) for x in b if x[0] == d and x[4] is not None and anchor is not None and anchor in x[4])
+        if held:
+            want[d, i] = held[0][2]
+    assert got == want
