@@ -180,14 +180,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     nodes = settle(signed.where("node IS NOT NULL").groupBy("node", "check_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("row_hash").alias("row_hash"))).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
     joined = components(candidate_edges(nodes))
     sizes = joined.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = joined.join(sizes, "label").join(nodes, "node").select("first.doc_id", "first.row_hash", "node", "copies", "label", "size")
+    members = spread_join(joined, sizes, "label", F.col("node")).join(nodes, "node").select("first.doc_id", "first.row_hash", "node", "copies", "label", "size")
     checked = settle(verified(docs, settle(members), threshold))
     labels = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "copies", F.col("first.doc_id").alias("first_id")).join(links, "node", "left").join(labels, "node", "left")
     known = known.withColumn("label", F.coalesce("label", "node"))
     named = known.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    known = known.join(named, "label").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = spread_join(known, named, "label", F.col("node")).select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # rows without words go round the join; copies of one text share a node and are spread
     out = spread_join(signed.where("node IS NOT NULL").select("doc_id", "row_hash", "node"), known, "node", F.struct("doc_id", "row_hash"))
     none = signed.where("node IS NULL").select("doc_id", "row_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "node")
