@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import settle
+from ._shared import settle, spread_join
 
 WINDOW = 10
 BROADCAST_GRAMS = 1_000_000
@@ -75,7 +75,7 @@ def _probed(docs: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
     if grams.count() <= BROADCAST_GRAMS:
         found = probes.join(F.broadcast(grams.withColumn("hit", F.lit(True))), "h", "left").where("i = 0 OR hit")
     else:
-        found = probes.where("i = 0").unionByName(probes.where("h IS NOT NULL").join(grams, "h", "left_semi"))
+        found = probes.where("i = 0").unionByName(spread_join(probes.where("h IS NOT NULL"), grams, "h", F.struct("doc_id", "row_hash", "i")))
     return found.groupBy("doc_id", "row_hash").agg(F.count_if(F.col("i") == 0).alias("copies"), F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("i") > 0, F.col("i") - 1)).alias("marks"))
 
 
@@ -98,7 +98,7 @@ def _spots(marks: Column, n_words: Column, widths: list[int]) -> Column:
 
 def searched(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, row_hash, copies, n_words, places, items of each distinct row of docs: places are the sorted word places that are hit (null without a hit), items the sorted item ids."""
-    known = benchmark_windows(benchmark, width)
+    known = settle(benchmark_windows(benchmark, width))
     widths = sorted(r["width"] for r in known.select("width").distinct().collect()) or [width]  # at most width rows
     probed = settle(_probed(docs, known, widths))
     marked = probed.where(F.size("marks") > 0).select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"), "n_words", "marks")
@@ -106,7 +106,9 @@ def searched(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> Data
     again = again.join(marked, again["doc_id"].eqNullSafe(marked["d"]) & (again["row_hash"] == marked["r"])).select("d", "r", words(F.col("text")).alias("w"), _spots(F.col("marks"), F.col("n_words"), widths).alias("spots"))
     # w is bound by a lambda: a column that is named once, inside another lambda, would be computed anew for each spot
     spots = F.flatten(F.transform(F.array("w"), lambda w: F.transform("spots", lambda x: F.struct(x["pos"].alias("pos"), x["width"].alias("width"), F.array_join(F.slice(w, x["pos"] + 1, x["width"]), " ").alias("key")))))
-    runs = again.select("d", "r", F.explode_outer(spots).alias("x")).select("d", "r", "x.pos", "x.width", "x.key").join(known, ["key", "width"])
+    runs = again.select("d", "r", F.explode_outer(spots).alias("x")).select("d", "r", "x.pos", "x.width", "x.key")
+    # a passage may stand in most documents
+    runs = spread_join(runs.withColumn("_ff_window", F.concat_ws(":", "width", "key")), known.select(F.concat_ws(":", "width", "key").alias("_ff_window"), "items"), "_ff_window", F.struct("d", "r", "pos"))
     hits = runs.groupBy("d", "r").agg(F.collect_set(F.struct("pos", "width")).alias("runs"), F.flatten(F.collect_set("items")).alias("items"))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["pos"], x["pos"] + x["width"] - 1)))))
     hits = hits.select("d", "r", places.alias("places"), F.array_sort(F.array_distinct("items")).alias("items"))
