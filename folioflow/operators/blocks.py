@@ -285,9 +285,9 @@ def form_priority() -> Column:
 
 
 def recovery_content(regions: DataFrame, by: list[str]) -> DataFrame:
-    """P25: the longest table if there is one, else all texts by line."""
-    full = F.trim("content") != ""
-    table = F.max_by(F.when(full, F.col("content")), F.when((F.lower("label") == "table") & full, F.length("content")))
+    """P25: the longest table if there is one (the first of equals), else all texts by line."""
+    full = text.squash(F.col("content")) != ""
+    table = F.max_by("content", F.when((F.lower("label") == "table") & full, F.struct(F.length("content"), -F.col("idx"))))
     rest = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(full, F.struct("idx", "content")))), lambda x: x["content"]), "\n")
     return regions.groupBy(*by).agg(F.coalesce(table, rest).alias("content"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import instances, metrics
+from ..operators import evaluation, instances, metrics
 from ..sources import stores
 from .registry import Tables, query
 
@@ -113,3 +113,24 @@ def caseless_store(t: Tables):
     asked = stores.found(after, c.select(F.upper("c_name").alias("c_name")), "c_name")
     first = told.where("outcome <> 'repeated'").select(F.upper("c_name").alias("asked"), "outcome")
     return asked.join(first, "asked", "left").select("asked", F.col("c_name").alias("name"), "version", "payload", "outcome")
+
+
+@query("""WITH o AS (SELECT o_custkey AS d, o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_custkey % 3 = 0),
+ids AS (SELECT DISTINCT d FROM o), there AS (SELECT DISTINCT d FROM o WHERE k % 6 > 0 OR k % 2 = 0),
+t AS (SELECT d, sum(levenshtein(CASE WHEN k % 6 = 0 THEN '' ELSE CAST(k * 7 % 1000 AS VARCHAR) END, CAST(k AS VARCHAR))) AS dist, sum(length(CAST(k AS VARCHAR))) AS n, count(*) AS pages FROM o WHERE k % 4 < 3 AND p <> '5-LOW' GROUP BY d),
+c AS (SELECT DISTINCT d, p, s FROM o WHERE k % 2 = 0), g AS (SELECT DISTINCT d, p, s FROM o WHERE k % 3 > 0),
+r AS (SELECT g.d, count(*) AS ng, count(c.d) AS hit, any_value((SELECT count(*) FROM c x WHERE x.d = g.d)) AS nc FROM g LEFT JOIN c ON c.d = g.d AND c.p = g.p AND c.s = g.s GROUP BY g.d),
+a AS (SELECT ids.d AS doc_id, CASE WHEN ids.d % 5 = 0 THEN 'error' WHEN there.d IS NULL THEN 'missing' ELSE 'evaluated' END AS status, CASE WHEN ids.d % 5 = 0 THEN 'timeout' END AS error, t.dist, t.n, t.pages, r.ng, r.hit, r.nc FROM ids LEFT JOIN there ON there.d = ids.d LEFT JOIN t ON t.d = ids.d LEFT JOIN r ON r.d = ids.d)
+SELECT doc_id, status, error, CASE WHEN status = 'evaluated' AND n IS NOT NULL THEN round(greatest(0.0, 1 - dist / n), 6)::DOUBLE END AS word_accuracy, CASE WHEN status = 'evaluated' THEN pages END AS page_count, CASE WHEN status = 'evaluated' AND ng IS NOT NULL THEN CASE WHEN nc = 0 THEN 0.0 ELSE round(hit / nc, 6) END END::DOUBLE AS "precision",
+  CASE WHEN status = 'evaluated' THEN round(hit / ng, 6) END::DOUBLE AS recall, CASE WHEN status = 'evaluated' THEN list_filter([CASE WHEN n IS NULL THEN 'text' END, CASE WHEN ng IS NULL THEN 'relations' END], lambda x: x IS NOT NULL) END AS unavailable FROM a""")
+def corpus_scores(t: Tables):
+    """Customers as documents, orders as pages; some pages are not asked for, some have no gold, some no result, some documents fail."""
+    o, k = t.orders.where("o_custkey % 3 = 0"), F.col("o_orderkey")
+    spaced = lambda c: F.array_join(F.split(c.cast("string"), ""), " ")
+    page = [F.col("o_custkey").alias("doc_id"), k.alias("page")]
+    result = {"text": o.where("o_orderkey % 6 > 0").select(*page, spaced(k * 7 % 1000).alias("text")), "relations": o.where("o_orderkey % 2 = 0").select("o_custkey", "o_orderpriority", "o_orderstatus").toDF("doc_id", "source", "target")}
+    gold = {"text": o.where("o_orderpriority <> '5-LOW'").select(*page, spaced(k).alias("text")), "relations": o.where("o_orderkey % 3 > 0").select("o_custkey", "o_orderpriority", "o_orderstatus").toDF("doc_id", "source", "target")}
+    manifest = t.orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.collect_list(F.when(k % 4 < 3, k)).alias("pages")).where("doc_id % 3 = 0")
+    errors = o.where("o_custkey % 5 = 0").select(F.col("o_custkey").alias("doc_id"), F.lit("timeout").alias("error"))
+    s = evaluation.corpus(manifest, result, gold, errors)
+    return s.select("doc_id", "status", "error", F.round("text.word_accuracy", 6).alias("word_accuracy"), "text.page_count", F.round("relations.precision", 6).alias("precision"), F.round("relations.recall", 6).alias("recall"), "unavailable")

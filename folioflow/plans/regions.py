@@ -199,10 +199,14 @@ def page_quality(t: Tables):
     return blocks.page_quality(b, ["o_custkey"])
 
 
-@query("""SELECT o_custkey, coalesce(arg_max(o_orderpriority, (len(o_orderpriority), -o_orderkey)) FILTER (WHERE o_orderstatus = 'F' AND false), string_agg(o_orderpriority, chr(10) ORDER BY o_orderkey)) AS content, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS n_tables FROM orders GROUP BY 1""")
+@query("""WITH r AS (SELECT o_custkey, o_orderkey AS idx, CASE o_orderkey % 5 WHEN 0 THEN 'Table' WHEN 1 THEN 'TABLE' ELSE 'text' END AS label, CASE WHEN o_orderkey % 7 = 0 THEN chr(9) || '  ' ELSE o_orderpriority || repeat('x', CAST(o_orderkey % 4 AS INTEGER)) END AS content, o_orderstatus AS s FROM orders)
+SELECT o_custkey, coalesce(arg_max(content, (length(content), -idx)) FILTER (WHERE lower(label) = 'table' AND idx % 7 > 0), string_agg(content, chr(10) ORDER BY idx) FILTER (WHERE idx % 7 > 0), '') AS content, CAST(count(*) FILTER (WHERE s = 'O') AS BIGINT) AS n_tables FROM r GROUP BY 1""")
 def recovered_content(t: Tables):
-    r = t.orders.select("o_custkey", F.col("o_orderkey").alias("idx"), F.lit("text").alias("label"), F.col("o_orderpriority").alias("content"))
-    b = t.orders.select("o_custkey", F.when(F.col("o_orderstatus") == "O", "table").otherwise("text").alias("type"), F.lit("ok").alias("status"), F.col("o_orderkey").alias("reading_order"), F.col("o_orderkey").alias("block_id"))
+    """Tables of several lengths and spellings, blank ones among them; customers without one give all their texts."""
+    k = F.col("o_orderkey")
+    label = F.when(k % 5 == 0, "Table").when(k % 5 == 1, "TABLE").otherwise("text")
+    r = t.orders.select("o_custkey", k.alias("idx"), label.alias("label"), F.when(k % 7 == 0, "\t  ").otherwise(F.concat("o_orderpriority", F.repeat(F.lit("x"), (k % 4).cast("int")))).alias("content"))
+    b = t.orders.select("o_custkey", F.when(F.col("o_orderstatus") == "O", "table").otherwise("text").alias("type"), F.lit("ok").alias("status"), k.alias("reading_order"), k.alias("block_id"))
     n = blocks.candidate_tables(b, ["o_custkey"]).groupBy("o_custkey").agg((F.max("ordinal") + 1).cast("bigint").alias("n"))
     return blocks.recovery_content(r, ["o_custkey"]).join(n, "o_custkey", "left").select("o_custkey", "content", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_tables"))
 
