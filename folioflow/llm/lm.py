@@ -8,9 +8,9 @@ are the only inexactness of the counts.
   u. A head word (below) may have any number of followers: its pairs go to segments by both words, and its own count is
   taken from the head in the same classes; other contexts have fewer than N / HEAD pairs. A count is read back by probing level after level until one is missing. Segments are built where their n-grams meet
   and hold ``BITS_PER_ENTRY`` bits for each (n-gram, level) they store, counted there: with ``HASHES`` probes a level that
-  is not stored is found in about 1% of the cases ((1 - e^-0.5)^5 = 0.9%), whatever the corpus. The filter is broadcast in
-  shards of at most ``MAX_FILTER`` bytes; a pair lies in one shard, with its context unless that is a head word, so each
-  shard adds its share of a text's score in a pass of its own (the passes, not a worker's memory, grow with the corpus).
+  is not stored is found in about 1% of the cases ((1 - e^-0.5)^5 = 0.9%), whatever the corpus. A filter of at most
+  ``MAX_FILTER`` bytes is broadcast and texts are scored beside it; a larger one lies in shards of that size, and each batch of
+  texts sends its distinct keys to the shards that hold them and gets their levels back. Both ways give equal scores.
 * Score: sum of log10 P(w|u) with P(w|u) = (c(u,w) + ALPHA * P1(w)) / (max(c(u), c(u,w)) + ALPHA); P1 is the
   unigram probability from the word's exact count.
 * Head: words with count * HEAD >= N. There are at most HEAD of them whatever the corpus, so they are broadcast. The others
