@@ -175,7 +175,8 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, width: int =
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, row_hash, class_id (smallest doc_id of the class), n_links (other documents at or above the threshold), node."""
+    """doc_id, row_hash, class_id (smallest doc_id of the class), n_links (other documents at or above the threshold), node, label (of the class; rows
+    that share a doc_id may stand in several). node and label are null without words."""
     signed = settle(signatures(docs, *choose(threshold, recall)))
     nodes = settle(signed.where("node IS NOT NULL").groupBy("node", "check_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("row_hash").alias("row_hash"))).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
     joined = components(candidate_edges(nodes))
@@ -187,18 +188,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     known = nodes.select("node", "copies", F.col("first.doc_id").alias("first_id")).join(links, "node", "left").join(labels, "node", "left")
     known = known.withColumn("label", F.coalesce("label", "node"))
     named = known.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    known = spread_join(known, named, "label", F.col("node")).select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = spread_join(known, named, "label", F.col("node")).select("node", "label", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # rows without words go round the join; copies of one text share a node and are spread
     out = spread_join(signed.where("node IS NOT NULL").select("doc_id", "row_hash", "node"), known, "node", F.struct("doc_id", "row_hash"))
-    none = signed.where("node IS NULL").select("doc_id", "row_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "node")
-    return out.select("doc_id", "row_hash", "class_id", F.col("n_links").cast("bigint").alias("n_links"), "node").unionByName(none)
+    none = signed.where("node IS NULL").select("doc_id", "row_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "node", F.lit(None).cast("bigint").alias("label"))
+    return out.select("doc_id", "row_hash", "class_id", F.col("n_links").cast("bigint").alias("n_links"), "node", "label").unionByName(none)
 
 
 def representatives(docs: DataFrame, **rule) -> DataFrame:
     """docs with one row of each class, all columns kept: the one with the class's smallest doc_id. Rows without words all stay."""
     found = settle(classes(docs, **rule))
     # of a class the smallest doc_id; of rows that share it the smallest row hash
-    keep = found.where("node IS NOT NULL").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("row_hash").alias("row_hash"))
+    keep = found.where("node IS NOT NULL").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("row_hash").alias("row_hash"), F.first("class_id").alias("class_id"))
     keep = keep.select(F.col("class_id").alias("_ff_d"), F.col("row_hash").alias("_ff_r"))
     keyed = docs.withColumn("_ff_key", F.xxhash64("doc_id", "text")).withColumn("_ff_words", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     kept = keyed.where("_ff_words").join(keep, keyed["doc_id"].eqNullSafe(keep["_ff_d"]) & (keyed["_ff_key"] == keep["_ff_r"]))
