@@ -28,7 +28,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest doc_id.
 
-    Rows without words all stay; of repeated rows, or rows that share the doc_id, one stays; extra columns are kept; an empty table gives no rows.
+    Rows without words all stay; of repeated rows one stays, and rows that share a doc_id are apart if their texts are; extra columns are kept; an empty table gives no rows.
     """
     return neardup.representatives(docs)
 
