@@ -1,6 +1,7 @@
 """Queries that SQL cannot express against plain Python on the same tables, and region operators by hand."""
 
 import difflib
+import html
 import random
 import re
 import unicodedata
@@ -223,3 +224,78 @@ def test_anchors_against_every_pair(spark):
         if held:
             want[d, i] = held[0][2]
     assert got == want
+
+
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+LEAVES = {"p", "li", "pre", "table", *(f"h{i}" for i in range(1, 7))}
+
+
+def brute_blocks(source: str):
+    """(type, text, path) of leaf blocks by marks of a pattern: (start, end, tag, path) of each element first, then those without a block inside."""
+    stack, found, said = [("", "", {})], [], []
+    for m in re.finditer(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([a-z][a-z0-9]*)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", source):
+        if m[3]:
+            tag = m[3].lower()
+            if m[2]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == tag:
+                        for t, path, info in stack[k:]:
+                            info["end"] = len(said)
+                        del stack[k:]
+                        break
+                continue
+            seen = stack[-1][2].setdefault("seen", {})
+            seen[tag] = seen.get(tag, 0) + 1
+            node = (tag, f"{stack[-1][1]}/{tag}[{seen[tag]}]", {"start": len(said), "end": None})
+            found.append(node)
+            if tag in VOID:
+                node[2]["end"] = len(said)
+            else:
+                stack.append(node)
+        elif m[1]:
+            seen = stack[-1][2].setdefault("seen", {})
+            seen[m[1].lower()] = seen.get(m[1].lower(), 0) + 1
+        elif not m[0].startswith("<!"):
+            said.append(html.unescape(m[0]).strip())
+    out = []
+    for tag, path, info in found:
+        if tag in LEAVES and (tag == "table" or not any(p.startswith(path + "/") and t in LEAVES for t, p, _ in found)):
+            text_ = " ".join(x for x in said[info["start"] : len(said) if info["end"] is None else info["end"]] if x)
+            if text_:
+                out.append(("table" if tag == "table" else "text", text_, path))
+    return out
+
+
+def test_blocks_and_headings_of_pages(spark):
+    want = {(r.page_id, n, *b) for r in table(spark, "pages") for n, b in enumerate(brute_blocks(r.html or ""), 1)}
+    assert {(r.page_id, r.seq, r.type, r.text, r.path) for r in catalog.QUERIES["html_blocks"](spark, SMALL).collect()} == want
+    heads = {}
+    for page, seq, _, _, path in sorted(want, key=lambda x: (x[0], x[1])):
+        m = re.search(r"/h([1-6])\[\d+\]$", path)
+        if m:
+            heads.setdefault(page, []).append((seq, int(m[1])))
+    parents = {(page, s, level, max((t for t, l in own if t < s and l < level), default=None)) for page, own in heads.items() for s, level in own}
+    assert {(r.page_id, r.seq, r.level, r.parent) for r in catalog.QUERIES["html_heading_parents"](spark, SMALL).collect()} == parents
+
+
+def test_retrieval_against_every_element(spark):
+    question = "the order of the pages"
+    terms = sorted(set(re.findall(r"[\w-]{2,}", question)))
+    by = {}
+    for r in table(spark, "conversations"):
+        by.setdefault(r.conv_id, []).append(r)
+    want = set()
+    for conv, turns in by.items():
+        scored = []
+        for r in turns:
+            t = (r.text or "").casefold()
+            score = 10 * sum(x in t for x in terms) + difflib.SequenceMatcher(None, question, t[:500]).ratio() + (0.25 if r.role == "system" else 0)
+            scored.append((-score, -r.turn))
+        best = {-n for _, n in sorted(scored)[:3]}
+        used = 0
+        for r in sorted(turns, key=lambda r: r.turn):
+            if best & {r.turn - 1, r.turn, r.turn + 1}:
+                used += 2 * len(r.text) + 64
+                if used <= 48_000:
+                    want.add((conv, r.turn))
+    assert {(r.conv_id, r.idx) for r in catalog.QUERIES["lexical_retrieval"](spark, SMALL).collect()} == want
