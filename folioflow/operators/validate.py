@@ -14,6 +14,31 @@ def violations(df: DataFrame, key: list[str], rules: dict[str, Column]) -> DataF
     return df.select(*key, F.explode(broken).alias("rule"))
 
 
+def _implies(a: Column, b: Column) -> Column:
+    return ~F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+
+
+def _between(c: str, low: float, high: float) -> Column:
+    """Null, or within the bounds."""
+    return F.col(c).isNull() | F.col(c).between(low, high)
+
+
+def record_rules(kind: str) -> dict[str, Column]:
+    """V2, V5: rules of a kind of record by name, for ``violations``.
+
+    segment: start_page, end_page; range: start, end (inclusive, from 1); span: start, end (half open); replacement: action, replacement_text,
+    confidence; directive: render_as, heading_level, list_depth.
+    """
+    col = F.col
+    return {
+        "segment": lambda: {"start_page is at least 1": col("start_page") >= 1, "start_page is not after end_page": col("start_page") <= col("end_page")},
+        "range": lambda: {"start is at least 1": col("start") >= 1, "end is not before start": col("end") >= col("start")},
+        "span": lambda: {"start is not negative": col("start") >= 0, "start is before end": col("start") < col("end")},
+        "replacement": lambda: {"replace has a text": _implies(col("action") == "replace", col("replacement_text").isNotNull()), "only replace has a text": _implies(~col("action").eqNullSafe("replace"), col("replacement_text").isNull()), "confidence is a share": _between("confidence", 0, 1)},
+        "directive": lambda: {"heading_level is of a heading": _implies(col("heading_level").isNotNull(), col("render_as") == "heading"), "list_depth is of a list item": _implies(col("list_depth").isNotNull(), col("render_as") == "list_item"), "heading_level is 1 to 6": _between("heading_level", 1, 6), "list_depth is 0 to 6": _between("list_depth", 0, 6)},
+    }[kind]()
+
+
 def duplicates(df: DataFrame, key: list[str], rule: str) -> DataFrame:
     """V4, V6: keys that occur more than once; text without case."""
     kinds = dict(df.dtypes)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, instances, metrics
+from ..functions import text
+from ..operators import evaluation, instances, metrics, validate
 from ..sources import stores
 from .registry import Tables, query
 
@@ -134,3 +135,32 @@ def corpus_scores(t: Tables):
     errors = o.where("o_custkey % 5 = 0").select(F.col("o_custkey").alias("doc_id"), F.lit("timeout").alias("error"))
     s = evaluation.corpus(manifest, result, gold, errors)
     return s.select("doc_id", "status", "error", F.round("text.word_accuracy", 6).alias("word_accuracy"), "text.page_count", F.round("relations.precision", 6).alias("precision"), F.round("relations.recall", 6).alias("recall"), "unavailable")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey AS p, l_returnflag AS f, l_linestatus AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, p AS l_partkey, CASE p % 5 WHEN 0 THEN [f, s] WHEN 1 THEN [f || chr(92) || '|' || s, 'x'] WHEN 2 THEN [f || chr(92) || chr(92), s] WHEN 3 THEN NULL ELSE [''] END AS cited,
+  CASE p % 5 WHEN 0 THEN [f, s] WHEN 1 THEN [f || '|' || s, 'x'] WHEN 2 THEN [f || chr(92) || '|' || s] WHEN 3 THEN [f, s || '|'] ELSE [''] END AS schema_cells,
+  CASE p % 3 WHEN 0 THEN '0,0,true,A;0,1,true,B;1,0,false,' || f || ';1,1,false,' || s WHEN 1 THEN '0,0,false,' || f || ';0,1,false,' || s || ';1,0,false,C' ELSE '' END AS grid FROM r""")
+def table_dialects(t: Tables):
+    """Rows with escaped bars, escaped backslashes, open ends; tables with and without a rule below their first row."""
+    p, f, s = F.col("l_partkey"), F.col("l_returnflag"), F.col("l_linestatus")
+    row = (
+        F.when(p % 5 == 0, F.concat(F.lit(" | "), f, F.lit(" |\t"), s, F.lit(" | "))).when(p % 5 == 1, F.concat(F.lit("|"), f, F.lit("\\|"), s, F.lit("| x |"))).when(p % 5 == 2, F.concat(F.lit("|"), f, F.lit("\\\\|"), s, F.lit("|")))
+        .when(p % 5 == 3, F.concat(f, F.lit(" | "), s, F.lit("\\|"))).otherwise("|")
+    )
+    whole = F.when(p % 3 == 0, F.concat(F.lit("| A | B |\r\n|:---| - - - |\n\n"), f, F.lit("|"), s)).when(p % 3 == 1, F.concat(F.lit("||"), f, F.lit("|"), s, F.lit("\ntext\nC|"))).otherwise(F.concat(f, F.lit("|"), s))
+    grid = F.array_join(F.transform(text.markdown_cells(whole), lambda c: F.concat_ws(",", c["row"], c["col"], c["header"].cast("string"), c["text"])), ";")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", text.table_row_cells(row).alias("cited"), text.schema_row_cells(row).alias("schema_cells"), grid.alias("grid"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey AS p, l_suppkey AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, p AS l_partkey, rule FROM (SELECT *, unnest(list_filter([CASE WHEN p % 5 < 0 THEN 'start is not negative' END, CASE WHEN p % 5 >= s % 4 THEN 'start is before end' END, CASE WHEN p % 3 = 0 AND s % 2 = 0 THEN 'replace has a text' END, CASE WHEN p % 3 > 0 AND s % 2 = 1 THEN 'only replace has a text' END,
+  CASE WHEN p % 7 = 6 THEN 'confidence is a share' END, CASE WHEN p % 4 < 2 AND s % 3 > 0 THEN 'heading_level is of a heading' END, CASE WHEN p % 4 = 2 AND s % 3 > 0 THEN 'list_depth is of a list item' END, CASE WHEN p % 4 = 0 THEN 'heading_level is 1 to 6' END], lambda x: x IS NOT NULL)) AS rule FROM r) q""")
+def record_rules(t: Tables):
+    """Spans, replacements and directives of one row each; null where a part says nothing."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    rows = t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", (p % 5).alias("start"), (s % 4).alias("end"), F.when(p % 3 == 0, "replace").when(p % 3 == 1, "confirm").alias("action"), F.when(s % 2 == 1, "new").alias("replacement_text"), F.when(p % 7 > 0, p % 7 / 5.0).alias("confidence"),
+        F.when(s % 3 > 0, F.when(s % 3 == 1, "text")).when(p % 4 < 2, "heading").otherwise("list_item").alias("render_as"), F.when(p % 4 < 2, p % 4 * 6).alias("heading_level"), F.when(p % 4 == 2, 6).alias("list_depth"),
+    )
+    return validate.violations(rows, ["l_orderkey", "l_linenumber", "l_partkey"], {**validate.record_rules("span"), **validate.record_rules("replacement"), **validate.record_rules("directive")})
