@@ -146,6 +146,27 @@ def test_stream_of_rounds_equals_the_batch(spark, tmp_path):
     assert last.count() == batch.count() > 0 and last.exceptAll(batch).isEmpty() and batch.exceptAll(last).isEmpty()
 
 
-def test_page_rounds_meet_every_outcome(spark):
+def test_rounds_meet_every_outcome(spark):
+    found = set()
+    for seed in (1, 2, 3):
+        made = drawn(seed)
+        for n in (1, 2, 3):
+            upto = [t for t in made[1] if t[1] <= n]
+            found |= {(r["status"], r["reason"]) for r in by_hand(made[0], upto, made[2], 1)}
+    assert {"verified", "needs_review", "rejected", "inspect", "pending"} <= {s for s, _ in found}
+    assert {r for _, r in found} >= {None, rounds.UNANSWERED, rounds.SEVERAL, rounds.UNSURE, rounds.INCONCLUSIVE, rounds.NO_BOX, rounds.REFUSED, rounds.UNCHANGED}
+
+
+def test_crops_beyond_the_limit_ask_for_review(spark):
+    blocks = [(1, f"b{i}", "paragraph", "plain", "pending", 0.1 * i, True, i) for i in range(1, 5)] + [(1, "f", "figure", None, "pending", 0.9, True, 9)]
+    turns = [(1, 1), (1, 2)]
+    answers = [(1, 1, f"b{i}", 0, "inspect", None, None) for i in range(1, 5)] + [(1, 2, "b1", 1, "accept", None, None), (1, 2, "f", 0, "correct", 0.9, "seen"), (1, 2, "b2", 1, "accept", None, None)]
+    got = {r.id: (r.status, r.reason, r.version, r.recovered) for r in rounds.run(*frames(spark, (blocks, turns, answers)), ["page"], most=1).collect()}
+    over = ("needs_review", rounds.LIMIT, 2, False)
+    assert got == {"b1": ("verified", None, 2, False), "b2": over, "b3": over, "b4": over, "f": ("verified", None, 1, True)}
+    assert got == {r["id"]: (r["status"], r["reason"], r["version"], r["recovered"]) for r in by_hand(blocks, turns, answers, 1)}
+
+
+def test_page_rounds_change_states(spark):
     rows = recovery.page_rounds(Tables(spark, SMALL)).collect()
-    assert {"verified", "needs_review", "pending"} <= {r.status for r in rows} and {r.reason for r in rows} >= {None, "no answer", "several answers", "unsure correction", "inconclusive", "crop limit"}
+    assert {"verified", "needs_review", "pending"} <= {r.status for r in rows} and len({r.reason for r in rows}) >= 5 and any(r.recovered for r in rows)
