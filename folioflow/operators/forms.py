@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import joins
+from . import joins, keep
 
 # fixed values: option labels, the marks of a state, and the two labels of which one excludes the other
 OPTIONS = (
@@ -32,9 +32,10 @@ def cell_bodies(html: Column) -> Column:
 
 def option(said: Column) -> Column:
     """label and state of a cell's text; both null for a text that is no option."""
-    label = text.checkbox_label(said)
-    known = label.isin(*OPTIONS)
-    return F.struct(F.when(known, label).alias("label"), F.when(known, text.checkbox_state(said)).alias("state"))
+    def both(label: Column) -> Column:
+        return F.when(label.isin(*OPTIONS), F.struct(label.alias("label"), text.checkbox_state(said).alias("state"))).otherwise(F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("state")))
+
+    return text.bound(text.checkbox_label(said), both)
 
 
 def _mark(said: Column) -> Column:
@@ -181,8 +182,10 @@ def recover_forms(regions: DataFrame, readings: DataFrame, by: list[str], most_p
     ready = met.where("status IS NULL")
     first, second = (option_states(ready.select(*key, f"_r{r}"), key, f"_r{r}") for r in (1, 2))
     on = [*key, "label", "occurrence"]
-    apart = first.join(second.select(*on, F.col("state").alias("_s2"), F.lit(True).alias("_in2")), on, "full").where(~F.col("state").eqNullSafe(F.col("_s2")) | F.col("_in2").isNull())
-    merged = merge_states(ready.select(*key, "text"), confirmed(first, second, key), key).join(apart.select(*key).distinct().withColumn("_apart", F.lit(True)), key, "left")
+    joint = keep.kept(first.withColumn("_in1", F.lit(True)).join(second.select(*on, F.col("state").alias("_s2"), F.lit(True).alias("_in2")), on, "full"))
+    apart = joint.where(~F.col("state").eqNullSafe(F.col("_s2")) | F.col("_in1").isNull() | F.col("_in2").isNull()).select(*key).distinct().withColumn("_apart", F.lit(True))
+    agreed = joint.where("state = _s2").select(*on, "state")
+    merged = merge_states(ready.select(*key, "text"), agreed, key).join(apart, key, "left")
     told = merged.select(*key, F.col("text").alias("_text"), "n_resolved", F.when(F.col("n_resolved") > 0, "resolved").when(F.col("_apart"), "disagreed").otherwise("unchanged").alias("_status"))
     told = met.select(*key, "status").join(told, key, "left").select(*key, F.coalesce("status", "_status").alias("status"), "_text", "n_resolved")
     out = forms.join(told, key, "left").withColumn("text", F.coalesce("_text", "text")).withColumn("status", F.coalesce("status", F.lit("complete"))).withColumn("n_resolved", F.coalesce("n_resolved", F.lit(0))).drop("_text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import drafts, forms, rounds
+from ..operators import drafts, forms, keep, rounds
 from .registry import Tables, query
 
 LABELS = ("Office", "Participating", "Home health", "Nonparticipating", "Hospice", "Office")
@@ -80,7 +80,7 @@ def _inputs(t: Tables):
 def form_recovery(t: Tables):
     """States are read back from the completed texts."""
     regions, readings = _inputs(t)
-    done = forms.recover_forms(regions, readings, ["doc_id"], 3)
+    done = keep.kept(forms.recover_forms(regions, readings, ["doc_id"], 3))
     key = ["doc_id", "page", "region_id"]
     cells = forms.numbered_cells(done, key, "text").where("label IS NOT NULL")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.concat("label", F.lit("="), F.coalesce("state", F.lit("?"))).alias("s")))), lambda x: x["s"]), ",")
