@@ -349,7 +349,15 @@ def base_text(native: DataFrame, by: str = "path") -> DataFrame:
 
 def scan_quality(histogram: Column, edge_variance: Column, blank: float = 0.005, sharp: float = 100.0, contrast: int = 40) -> Column:
     """Blank, blurred and flat pages from a grey histogram (256 counts) and an edge variance, which a pixel reader supplies."""
-    total = F.aggregate(histogram, F.lit(0.0), lambda a, x: a + x)
-    ink = F.aggregate(F.slice(histogram, 1, 245), F.lit(0.0), lambda a, x: a + x) / total
-    level = lambda q: F.aggregate(histogram, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i")), lambda a, x: F.struct((a["s"] + x).alias("s"), F.when(a["s"] + x < total * q, a["i"] + 1).otherwise(a["i"]).alias("i")), lambda a: a["i"])
-    return F.array_compact(F.array(F.when(ink <= blank, "blank"), F.when(edge_variance < sharp, "blur"), F.when(level(0.95) - level(0.05) < contrast, "low contrast")))
+    step = lambda a, x: a + x
+
+    def levels(h: Column, total: Column) -> Column:
+        """How far the counts up to a grey lie below 5 and 95 per cent of all."""
+        more = lambda i, s, q: F.when(s < total * q, i + 1).otherwise(i)
+        return F.aggregate(h, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(0).alias("j")), lambda a, x: F.struct((a["s"] + x).alias("s"), more(a["i"], a["s"] + x, 0.95).alias("i"), more(a["j"], a["s"] + x, 0.05).alias("j")), lambda a: a["i"] - a["j"])
+
+    def problems(h: Column, dark: Column, total: Column) -> Column:
+        return F.array_compact(F.array(F.when(dark / total <= blank, "blank"), F.when(edge_variance < sharp, "blur"), F.when(levels(h, total) < contrast, "low contrast")))
+
+    # the histogram and its sums are made once a page, not once a level of grey
+    return text.bound(histogram, lambda h: text.bound(F.aggregate(F.slice(h, 1, 245), F.lit(0.0), step), lambda dark: text.bound(F.aggregate(F.slice(h, 246, 11), dark, step), lambda total: problems(h, dark, total))))

@@ -121,7 +121,8 @@ def scan_problems(t: Tables):
     """Grey histograms of two levels: a dark one with no, or 10 to 30, pixels and a light one with 96."""
     k = F.col("c_custkey")
     grey = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.when(i == 250, 96).when(i == k % 240, k % 4 * 10).otherwise(0))
-    return t.customer.select("c_custkey", blocks.scan_quality(grey, k % 150).alias("problems"))
+    pages = t.customer.select("c_custkey").repartition(4 * t.spark.sparkContext.defaultParallelism, "c_custkey")  # a small file, much work a row
+    return pages.select("c_custkey", blocks.scan_quality(grey, k % 150).alias("problems"))
 
 
 @query("""WITH c AS (SELECT o_custkey, o_orderkey AS id, o_orderkey % 3 AS page, (o_orderkey % 10) / 10 AS confidence FROM orders),
