@@ -133,6 +133,8 @@ def regression_gate(metrics: DataFrame, baseline: DataFrame, rules: DataFrame, b
     by = by or []
     c = metrics.select(*by, "path", F.col("value").alias("candidate"), F.col("is_number").alias("c_number"), F.lit(True).alias("c_there"))
     b = baseline.select(*by, "path", F.col("value").alias("baseline"), F.col("is_number").alias("b_number"), F.lit(True).alias("b_there"))
+    if by:  # metrics of many reports look small to the planner, as their texts are; they are never sent whole to the driver
+        c, b = c.hint("merge"), b.hint("merge")
     j = rules.join(c, [*by, "path"], "left").join(b, [*by, "path"], "left")
     there = lambda x: F.coalesce(F.col(x), F.lit(False))
     usable = there("c_there") & there("c_number")
