@@ -1,12 +1,15 @@
 """Form states: options of HTML forms, the agreement of two independent readings, and the merge of what they give.
 
-A form is read into one row an option with its label, the number of earlier options of that label (its occurrence) and its
-state; readings meet on label and occurrence, so nothing is searched and a form of any length is a few rows in a join. A text
-is taken apart into cells and the gaps between them, and put together again with the cells that changed.
+A form is read into its options, each with its label, the number of earlier options of that label (its occurrence) and its state;
+readings meet on label and occurrence. A text is taken apart into cells and the gaps between them, and put together again with the
+cells that changed. All this stays in the form's row, in passes that grow with its length: labels are of a fixed list, so what
+depends on a label is done for each label that is there. Rows and frames of options are made of these arrays where callers ask.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ EITHER = ("participating", "nonparticipating")
 CELL = r"(?is)<(td|th)(\s[^>]*)?>(.*?)</\1>"
 ROW = r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"
 MARK = r"(?U)^\s*(?:\[[xX ?]\]|[☑✓✔☐□]|[xX](?=\s+))\s*"
+PLAIN = r"[^ -%'-;=-~]|\A | \z|  "  # what keeps a body from being its own visible text
+SAYS_OPTION = r"(?iu)\A\s*(?:\[[xX ?]\]|[☑✓✔☐□]|[xX](?=\s))?\s*(?:" + "|".join(re.escape(o) for o in OPTIONS) + r")\s*:*\s*\z"  # of squashed texts; any option is among them
 CLOSE = 5  # characters of a closing cell tag
 
 
@@ -30,27 +35,44 @@ def cell_bodies(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(CELL), F.lit(3))
 
 
+def _visible(body: Column) -> Column:
+    """The visible text of a cell; one pass over most."""
+    return F.when(body.rlike(PLAIN), text.visible_html(body)).otherwise(body)
+
+
 def option(said: Column) -> Column:
-    """label and state of a cell's text; both null for a text that is no option."""
+    """label and state of a cell's visible text; both null for a text that is no option."""
+    none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("state"))
+
     def both(label: Column) -> Column:
-        return F.when(label.isin(*OPTIONS), F.struct(label.alias("label"), text.checkbox_state(said).alias("state"))).otherwise(F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("state")))
+        return F.when(label.isin(*OPTIONS), F.struct(label.alias("label"), text.checkbox_state(said).alias("state"))).otherwise(none)
 
-    return text.bound(text.checkbox_label(said), both)
+    return F.when(said.rlike(SAYS_OPTION), text.bound(text.checkbox_label(said), both)).otherwise(none)
 
 
 def _mark(said: Column) -> Column:
-    return F.when(F.lower(said).isin(*CHECKED), "checked").when(F.lower(said).isin(*UNCHECKED), "unchecked")
+    return F.when(said.isin(*CHECKED, "X"), "checked").when(said.isin(*UNCHECKED), "unchecked")
 
 
 def anchor(html: Column) -> Column:
     """The first text of a form that is neither an option nor a mark, folded: what two readings of one form share."""
-    said = F.filter(F.transform(cell_bodies(html), lambda b: text.visible_html(b)), lambda s: (s != "") & _mark(s).isNull() & option(s)["label"].isNull())
-    return text.folded(F.get(said, F.lit(0)))
+    def first(bodies: Column) -> Column:
+        said = F.filter(F.transform(bodies, _visible), lambda s: (s != "") & _mark(s).isNull() & option(s)["label"].isNull())
+        return F.get(said, F.lit(0))
+
+    # it mostly stands at the head, so the other cells are read only where it does not
+    return text.bound(text.bound(cell_bodies(html), lambda b: F.coalesce(first(F.slice(b, 1, 4)), first(b))), text.folded)
+
+
+def _by_label(items: Column, make) -> Column:
+    """make(item, number among those of its label) of items with a label, label by label."""
+    labels = lambda xs: F.array_distinct(F.transform(xs, lambda x: x["label"]))
+    return text.bound(items, lambda xs: F.flatten(F.transform(labels(xs), lambda label: F.transform(F.filter(xs, lambda x: x["label"] == label), make))))
 
 
 def _row_options(row: Column, marks: bool) -> Column:
     """Options of a row; with marks, a mark that stands alone in the cell before one is its state."""
-    said = F.transform(cell_bodies(row), lambda b: text.visible_html(b))
+    said = F.transform(cell_bodies(row), _visible)
 
     def at(cells: Column) -> Column:
         own = F.transform(cells, lambda s, i: F.struct(option(s).alias("o"), (_mark(F.get(cells, i - 1)) if marks else F.lit(None).cast("string")).alias("m"), _mark(s).alias("self")))
@@ -60,22 +82,28 @@ def _row_options(row: Column, marks: bool) -> Column:
     return text.bound(said, at)
 
 
-def option_states(forms: DataFrame, key: list[str], column: str, marks: bool = True) -> DataFrame:
-    """key, label, occurrence, state: one row an option of each form.
+def states_of(html: Column, marks: bool = True) -> Column:
+    """label, occurrence, state of a form's options, label by label in the order of their occurrences.
 
     marks: read marks of their own cells, and take the other of two excluding options as unchecked where one is checked.
     """
-    rows = F.regexp_extract_all(F.col(column), F.lit(ROW), F.lit(1))
-    plain = _row_options(F.col(column), False)
-    found = F.when(F.size(rows) > 0, F.flatten(F.transform(rows, lambda r: _row_options(r, True)))).otherwise(plain) if marks else plain
-    each = forms.select(*key, F.posexplode(found).alias("pos", "o"))
-    numbered = each.select(*key, F.col("o.label").alias("label"), (F.row_number().over(Window.partitionBy(*key, "o.label").orderBy("pos")) - 1).alias("occurrence"), F.col("o.state").alias("state"))
+    number = lambda found: _by_label(found, lambda x, i: F.struct(x["label"].alias("label"), i.alias("occurrence"), x["state"].alias("state")))
     if not marks:
-        return numbered
-    peers = Window.partitionBy(*key, "occurrence")
-    of = lambda label: F.max(F.when(F.col("label") == label, F.col("state"))).over(peers)
-    other = F.when(F.col("label") == EITHER[0], of(EITHER[1])).when(F.col("label") == EITHER[1], of(EITHER[0]))
-    return numbered.withColumn("state", F.coalesce("state", F.when(other == "checked", "unchecked")))
+        return number(_row_options(html, False))
+    rows = F.regexp_extract_all(html, F.lit(ROW), F.lit(1))
+    found = text.bound(rows, lambda rs: F.when(F.size(rs) > 0, F.flatten(F.transform(rs, lambda r: _row_options(r, True)))).otherwise(_row_options(html, False)))
+
+    def told(own: Column, left: Column, right: Column) -> Column:
+        other = lambda x: F.when(x["label"] == EITHER[0], F.get(right, x["occurrence"])["state"]).when(x["label"] == EITHER[1], F.get(left, x["occurrence"])["state"])
+        return F.transform(own, lambda x: F.struct(x["label"].alias("label"), x["occurrence"].alias("occurrence"), F.coalesce(x["state"], F.when(other(x) == "checked", "unchecked")).alias("state")))
+
+    of = lambda own, label: F.filter(own, lambda x: x["label"] == label)
+    return text.bound(number(found), lambda own: text.bound(of(own, EITHER[0]), lambda left: text.bound(of(own, EITHER[1]), lambda right: told(own, left, right))))
+
+
+def option_states(forms: DataFrame, key: list[str], column: str, marks: bool = True) -> DataFrame:
+    """key, label, occurrence, state: one row an option of each form, as ``states_of`` reads them."""
+    return forms.select(*key, F.inline(states_of(F.col(column), marks)))
 
 
 def confirmed(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
@@ -84,23 +112,38 @@ def confirmed(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return left.where("state IS NOT NULL").join(right.select(*on, F.col("state").alias("_r")), on).where(F.col("state") == F.col("_r")).drop("_r")
 
 
+def cells_of(html: Column) -> Column:
+    """cell, body, said, label, occurrence, state of every cell in order; occurrences count options of a label."""
+    def read(body: Column, i: Column) -> Column:
+        return text.bound(_visible(body), lambda said: text.bound(option(said), lambda o: F.struct(i.alias("cell"), body.alias("body"), said.alias("said"), o["label"].alias("label"), o["state"].alias("state"))))
+
+    numbered = lambda x, i: F.struct(x["cell"].alias("cell"), x["body"].alias("body"), x["said"].alias("said"), x["label"].alias("label"), i.alias("occurrence"), x["state"].alias("state"))
+    others = lambda cells: F.transform(F.filter(cells, lambda x: x["label"].isNull()), lambda x: numbered(x, F.lit(None).cast("int")))
+    return text.bound(F.transform(cell_bodies(html), read), lambda cells: F.sort_array(F.concat(others(cells), _by_label(F.filter(cells, lambda x: x["label"].isNotNull()), numbered))))
+
+
 def numbered_cells(forms: DataFrame, key: list[str], column: str) -> DataFrame:
-    """key, cell, body, said, label, occurrence, state of every cell; occurrences count options of a label."""
-    cells = forms.select(*key, F.posexplode(cell_bodies(F.col(column))).alias("cell", "body")).withColumn("said", text.visible_html(F.col("body"))).withColumn("_o", option(F.col("said")))
-    number = F.row_number().over(Window.partitionBy(*key, "_o.label").orderBy("cell")) - 1
-    return cells.select(*key, "cell", "body", "said", F.col("_o.label").alias("label"), F.when(F.col("_o.label").isNotNull(), number).alias("occurrence"), F.col("_o.state").alias("state"))
+    """key, cell, body, said, label, occurrence, state of every cell, as ``cells_of`` reads them."""
+    return forms.select(*key, F.inline(cells_of(F.col(column))))
 
 
-def with_cells(html: Column, changed: Column) -> Column:
-    """The text with the bodies of some cells replaced. changed: map of cell number to body."""
-    whole, bodies, gaps = F.regexp_extract_all(html, F.lit(CELL), F.lit(0)), cell_bodies(html), F.split(html, CELL)
+def _with_bodies(html: Column, new) -> Column:
+    """The text with the body new(cell number) in place of a cell's own where that is not null."""
+    def piece(gaps: Column):
+        def at(w: Column, i: Column) -> Column:
+            cell = lambda n: F.when(n.isNull(), w).otherwise(F.concat(F.substring(w, F.lit(1), F.instr(w, ">")), n, F.substring(w, F.length(w) - CLOSE + 1, F.lit(CLOSE))))
+            return F.concat(text.bound(new(i), cell), F.get(gaps, i + 1))
+
+        return at
 
-    def piece(w: Column, i: Column) -> Column:
-        new, tail = F.try_element_at(changed, i), F.length(w) - CLOSE
-        cell = F.concat(F.substring(w, F.lit(1), tail - F.length(F.get(bodies, i))), new, F.substring(w, tail + 1, F.lit(CLOSE)))
-        return F.concat(F.when(new.isNull(), w).otherwise(cell), F.get(gaps, i + 1))
+    whole = F.regexp_extract_all(html, F.lit(CELL), F.lit(0))
+    put = lambda ws, gaps: F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(ws, piece(gaps)), ""))
+    return text.bound(whole, lambda ws: F.when(F.size(ws) > 0, text.bound(F.split(html, CELL), lambda gaps: put(ws, gaps))).otherwise(html))
 
-    return F.when(F.size(whole) > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(whole, piece), ""))).otherwise(html)
+
+def with_cells(html: Column, changed: Column) -> Column:
+    """The text with the bodies of some cells replaced. changed: map of cell number to body."""
+    return text.bound(changed, lambda c: _with_bodies(html, lambda i: F.try_element_at(c, i)))
 
 
 def _marked(state: Column, body: Column) -> Column:
@@ -129,30 +172,75 @@ def _escaped(c: Column) -> Column:
     return c
 
 
+def _at(states: Column, label: Column, occurrence: Column) -> Column:
+    """The state of an option in states by label (label, states in the order of their occurrences)."""
+    return F.get(F.get(F.filter(states, lambda x: x["label"] == label), F.lit(0))["states"], occurrence)
+
+
+def _states_by_label(items: Column) -> Column:
+    """States of items with label and state, which stand in the order of their occurrences: label, states."""
+    labels = lambda xs: F.array_distinct(F.transform(xs, lambda x: x["label"]))
+    return text.bound(items, lambda xs: F.transform(labels(xs), lambda label: F.struct(label.alias("label"), F.transform(F.filter(xs, lambda x: x["label"] == label), lambda x: x["state"]).alias("states"))))
+
+
+def agreed_states(one: Column, two: Column) -> Column:
+    """J16 of two readings' ``states_of`` in one row: label, states, null where the readings do not agree."""
+    def both(label: Column) -> Column:
+        of = lambda c: F.filter(c, lambda x: x["label"] == label)
+        return F.struct(label.alias("label"), F.zip_with(of(one), of(two), lambda a, b: F.when(a["state"] == b["state"], a["state"])).alias("states"))
+
+    return F.transform(F.array_distinct(F.transform(one, lambda x: x["label"])), both)
+
+
+def with_states(html: Column, states: Column) -> Column:
+    """text and n_resolved: the text with the missing states of its options put in where states (label, states) know them, and their number."""
+    def new(c: Column) -> Column:
+        return text.bound(F.when(c["label"].isNotNull() & c["state"].isNull(), _at(states, c["label"], c["occurrence"])), lambda s: F.when(s.isNotNull(), _marked(s, c["body"])))
+
+    def put(news: Column) -> Column:
+        n = F.size(F.filter(news, lambda x: x.isNotNull()))
+        return text.bound(n, lambda n: F.struct(F.when(n > 0, _with_bodies(html, lambda i: F.get(news, i))).otherwise(html).alias("text"), n.cast("bigint").alias("n_resolved")))
+
+    return text.bound(F.transform(cells_of(html), new), put)
+
+
 def merge_forms(forms: DataFrame, key: list[str], column: str = "text", other: str = "recovered") -> DataFrame:
     """Forms merged with another reading: states that either gives and neither denies, and blank cells whose left neighbour is one label in both.
 
-    Adds merge_status (conflict, partial, ambiguous, resolved, unchanged) and n_merged, the states and blanks that are now known.
+    Adds merge_status (conflict, partial, ambiguous, resolved, unchanged) and n_merged, the states and blanks that are now known. Each form
+    is merged in its row.
     """
-    own = numbered_cells(forms, key, column)
-    theirs = numbered_cells(forms, key, other)
-    states = theirs.where("label IS NOT NULL").select(*key, "label", "occurrence", F.col("state").alias("_s"))
-    before = Window.partitionBy(*key).orderBy("cell")
-    beside = theirs.withColumn("_theirs", F.lag("said").over(before)).select(*key, "cell", F.col("said").alias("_said"), "_theirs")
-    met = own.withColumn("_left", F.lag("said").over(before)).join(states, [*key, "label", "occurrence"], "left").join(beside, [*key, "cell"], "left")
-    conflict = F.coalesce(F.col("state") != F.col("_s"), F.lit(False))
-    state = F.when(~conflict, F.coalesce("_s", "state"))
-    fills = (F.col("said") == "") & F.endswith("_left", F.lit(":")) & (F.col("_said") != "") & (text.casefold(F.col("_left")) == text.casefold(F.col("_theirs")))
-    kind = F.when(F.col("label").isNotNull(), F.when(conflict, "conflict").when(state.isNull(), "unknown").otherwise("known")).when(fills, "filled")
-    new = F.when(F.col("label").isNotNull(), _marked(state, F.col("body"))).otherwise(_escaped(F.col("_said")))
-    changes = met.select(*key, "cell", new.alias("new"), kind.alias("kind")).where("kind IS NOT NULL")
-    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
-    told = changes.groupBy(*key).agg(
-        F.when(n("conflict") > 0, "conflict").when((n("unknown") > 0) & (n("known", "filled") > 0), "partial").when(n("unknown") > 0, "ambiguous").otherwise("resolved").alias("merge_status"),
-        n("known", "filled").alias("n_merged"),
-    )
-    out = _put(forms, key, column, changes).join(told, key, "left")
-    return out.withColumn("merge_status", F.coalesce("merge_status", F.lit("unchanged"))).withColumn("n_merged", F.coalesce("n_merged", F.lit(0)))
+    def change(own: Column, theirs: Column, states: Column):
+        def at(c: Column, i: Column) -> Column:
+            left, beside, said = F.get(own, i - 1)["said"], F.get(theirs, i - 1)["said"], F.get(theirs, i)["said"]
+
+            def told(s: Column) -> Column:
+                conflict = F.coalesce(c["state"] != s, F.lit(False))
+                state = F.when(~conflict, F.coalesce(s, c["state"]))
+                return F.struct(F.when(conflict, "conflict").when(state.isNull(), "unknown").otherwise("known").alias("kind"), _marked(state, c["body"]).alias("new"))
+
+            fills = (c["said"] == "") & F.endswith(left, F.lit(":")) & (said != "") & (text.casefold(left) == text.casefold(beside))
+            return F.when(c["label"].isNotNull(), text.bound(_at(states, c["label"], c["occurrence"]), told)).when(fills, F.struct(F.lit("filled").alias("kind"), _escaped(said).alias("new")))
+
+        return at
+
+    def changes(own: Column, theirs: Column) -> Column:
+        states = _states_by_label(F.filter(theirs, lambda x: x["label"].isNotNull()))
+        return text.bound(states, lambda s: F.transform(own, change(own, theirs, s)))
+
+    none = F.array().cast("array<struct<cell:int,body:string,said:string,label:string,occurrence:int,state:string>>")
+    n = lambda ch, *kinds: F.size(F.filter(ch, lambda x: F.coalesce(x["kind"].isin(*kinds), F.lit(False))))
+
+    def merged(ch: Column) -> Column:
+        unknown, known = n(ch, "unknown"), n(ch, "known", "filled")
+        status = F.when(F.size(F.array_compact(ch)) == 0, "unchanged").when(n(ch, "conflict") > 0, "conflict").when((unknown > 0) & (known > 0), "partial").when(unknown > 0, "ambiguous").otherwise("resolved")
+        return F.struct(_with_bodies(F.col(column), lambda i: F.get(ch, i)["new"]).alias("text"), status.alias("status"), known.cast("bigint").alias("n"))
+
+    read = lambda c: F.coalesce(cells_of(F.col(c)), none)
+    m = text.bound(read(column), lambda own: text.bound(read(other), lambda theirs: text.bound(changes(own, theirs), merged)))
+    rest = [c for c in forms.columns if c not in key]
+    whole = forms.withColumn("_m", m)
+    return whole.select(*key, *[F.col("_m.text").alias(c) if c == column else F.col(c) for c in rest], F.col("_m.status").alias("merge_status"), F.col("_m.n").alias("n_merged"))
 
 
 def recover_forms(regions: DataFrame, readings: DataFrame, by: list[str], most_pages: int, fine: DataFrame | None = None, per_page: int = 3) -> DataFrame:
@@ -166,33 +254,32 @@ def recover_forms(regions: DataFrame, readings: DataFrame, by: list[str], most_p
     """
     key = [*by, "page", "region_id"]
     forms = regions.where(F.col("type").isin("table", "form"))
-    own = option_states(forms, key, "text").groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("state").isNull()).alias("_open"))
-    asked = forms.join(own.where("_n >= 2 AND _open > 0"), key).withColumn("anchor", anchor(F.col("text"))).where("anchor IS NOT NULL").drop("_n", "_open")
+    open_in = lambda states: F.size(F.filter(states, lambda x: x["state"].isNull()))
+    asks = text.bound(states_of(F.col("text")), lambda own: (F.size(own) >= 2) & (open_in(own) > 0))
+    # what passes through joins is small: of a form its anchor, of a reading its states
+    asked = forms.select(*key, F.explode(F.filter(F.array(F.when(asks, anchor(F.col("text")))), lambda a: a.isNotNull())).alias("anchor"))
     asked = asked.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy("page"))).withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy(*by, "page", "anchor")))
 
     seen = readings.groupBy(*by, "page").agg(F.count_distinct("reading").alias("_readings"))
-    tables = readings.where(F.lower("content").contains("<table")).withColumn("anchor", anchor(F.col("content"))).groupBy(*by, "page", "anchor", "reading").agg(F.count(F.lit(1)).alias("_n"), F.first("content").alias("content")).where("_n = 1")
-    both = tables.groupBy(*by, "page", "anchor").agg(*[F.max(F.when(F.col("reading") == r, F.col("content"))).alias(f"_r{r}") for r in (1, 2)])
+    tables = readings.where(F.lower("content").contains("<table")).select(*by, "page", "reading", anchor(F.col("content")).alias("anchor"), states_of(F.col("content")).alias("_s"))
+    of = lambda r: F.when(F.count_if(F.col("reading") == r) == 1, F.first(F.when(F.col("reading") == r, F.col("_s")), ignorenulls=True)).alias(f"_r{r}")
+    both = tables.groupBy(*by, "page", "anchor").agg(of(1), of(2))
     met = asked.join(seen, [*by, "page"], "left").join(both, [*by, "page", "anchor"], "left")
     why = (
         F.when(F.col("_rank") > most_pages, "deferred").when(F.col("_same") > 1, "ambiguous").when(F.coalesce("_readings", F.lit(0)) < 2, "unavailable")
         .when(F.col("_r1").isNull() | F.col("_r2").isNull(), "unaligned")
     )
-    met = met.withColumn("status", why)
-    ready = met.where("status IS NULL")
-    first, second = (option_states(ready.select(*key, f"_r{r}"), key, f"_r{r}") for r in (1, 2))
-    on = [*key, "label", "occurrence"]
-    joint = keep.kept(first.withColumn("_in1", F.lit(True)).join(second.select(*on, F.col("state").alias("_s2"), F.lit(True).alias("_in2")), on, "full"))
-    apart = joint.where(~F.col("state").eqNullSafe(F.col("_s2")) | F.col("_in1").isNull() | F.col("_in2").isNull()).select(*key).distinct().withColumn("_apart", F.lit(True))
-    agreed = joint.where("state = _s2").select(*on, "state")
-    merged = merge_states(ready.select(*key, "text"), agreed, key).join(apart, key, "left")
-    told = merged.select(*key, F.col("text").alias("_text"), "n_resolved", F.when(F.col("n_resolved") > 0, "resolved").when(F.col("_apart"), "disagreed").otherwise("unchanged").alias("_status"))
-    told = met.select(*key, "status").join(told, key, "left").select(*key, F.coalesce("status", "_status").alias("status"), "_text", "n_resolved")
-    out = forms.join(told, key, "left").withColumn("text", F.coalesce("_text", "text")).withColumn("status", F.coalesce("status", F.lit("complete"))).withColumn("n_resolved", F.coalesce("n_resolved", F.lit(0))).drop("_text")
+    agreed = F.when(why.isNull(), agreed_states(F.col("_r1"), F.col("_r2")))
+    told = met.select(*key, why.alias("_why"), agreed.alias("_agreed"), (~F.array_sort("_r1").eqNullSafe(F.array_sort("_r2"))).alias("_apart"), F.lit(True).alias("_asked"))
+    rest = [c for c in forms.columns if c not in key and c != "text"]
+    merged = forms.join(told, key, "left").withColumn("_m", F.when(F.col("_agreed").isNotNull(), with_states(F.col("text"), F.col("_agreed"))))
+    status = F.when(F.col("_asked").isNull(), "complete").when(F.col("_why").isNotNull(), F.col("_why")).when(F.col("_m.n_resolved") > 0, "resolved").when(F.col("_apart"), "disagreed").otherwise("unchanged")
+    out = merged.select(*key, *rest, F.coalesce("_m.text", "text").alias("text"), status.alias("status"), F.coalesce("_m.n_resolved", F.lit(0)).alias("n_resolved"))
     if fine is None:
         return out
-    open_ = option_states(out, key, "text").groupBy(*key).agg(F.count(F.lit(1)).alias("_options"), F.count_if(F.col("state").isNull()).alias("_open")).where("_open > 0")
-    ranked = out.join(open_, key).withColumn("_priority", F.when(F.col("_options") >= 2, 0).when(F.col("type") == "form", 1).otherwise(2))
+    out = keep.kept(out)
+    still = text.bound(states_of(F.col("text")), lambda s: F.struct(F.size(s).alias("_options"), open_in(s).alias("_open")))
+    ranked = out.withColumn("_still", F.explode(F.filter(F.array(still), lambda o: o["_open"] > 0))).withColumn("_priority", F.when(F.col("_still._options") >= 2, 0).when(F.col("type") == "form", 1).otherwise(2))
     chosen = joins.capped_topk(ranked, [*by, "page"], ["_priority", "page", "region_id"], per_page, 1 << 30, by)
     merged = merge_forms(chosen.select(*key, "text").join(fine, key), key).select(*key, F.col("text").alias("_text"), "merge_status", "n_merged")
     return out.join(merged, key, "left").withColumn("text", F.coalesce("_text", "text")).drop("_text")

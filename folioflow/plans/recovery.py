@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import drafts, forms, keep, rounds
+from ..functions import text
+from ..operators import drafts, forms, rounds
 from .registry import Tables, query
 
 LABELS = ("Office", "Participating", "Home health", "Nonparticipating", "Hospice", "Office")
@@ -26,7 +27,7 @@ def _options(t: Tables):
     l = _lines(t)
     part = (F.col("l_partkey") + F.col("l_linenumber")) % 4
     return l.select(
-        F.floor(F.col("l_orderkey") / 8).alias("doc_id"), (F.col("l_orderkey") % 8).alias("page"), F.when(F.col("l_linenumber") <= 4, "a").otherwise("b").alias("region_id"), F.col("l_linenumber").alias("n"),
+        "l_orderkey", F.floor(F.col("l_orderkey") / 8).alias("doc_id"), (F.col("l_orderkey") % 8).alias("page"), F.when(F.col("l_linenumber") <= 4, "a").otherwise("b").alias("region_id"), F.col("l_linenumber").alias("n"),
         F.element_at(F.array(*map(F.lit, LABELS)), (F.col("l_suppkey") % 6 + 1).cast("int")).alias("label"), (F.col("l_partkey") % 3).alias("own"), part.alias("one"),
         F.when(F.col("l_quantity").cast("int") % 5 == 0, (part + 1) % 4).otherwise(part).alias("two"), (F.col("l_partkey") % 5 % 3).alias("fine"),
     )
@@ -42,10 +43,9 @@ def _html(state, label, apart: bool):
 
 def _texts(options, name):
     """One row a form with its text in the own and both other readings."""
-    said = [_html(F.col(c), F.col("label"), apart).alias(c) for c, apart in (("own", False), ("one", True), ("two", True))]
-    forms_ = options.groupBy("doc_id", "page", "region_id").agg(F.array_sort(F.collect_list(F.struct("n", *said))).alias("r"))
-    whole = lambda c: F.concat(F.lit("<table><TR><th>"), name, F.lit("</th></TR>"), F.array_join(F.transform("r", lambda x: x[c]), "\n"), F.lit("</table>")).alias(c)
-    return forms_.select("doc_id", "page", "region_id", *[whole(c) for c in ("own", "one", "two")])
+    forms_ = options.groupBy("l_orderkey", "region_id").agg(F.first("doc_id").alias("doc_id"), F.first("page").alias("page"), F.array_sort(F.collect_list(F.struct("n", "label", "own", "one", "two"))).alias("r"))  # an order is a page
+    whole = lambda c, apart: F.concat(F.lit("<table><TR><th>"), name, F.lit("</th></TR>"), F.array_join(F.transform("r", lambda x: _html(x[c], x["label"], apart)), "\n"), F.lit("</table>")).alias(c)
+    return forms_.select("doc_id", "page", "region_id", *[whole(c, apart) for c, apart in (("own", False), ("one", True), ("two", True))])
 
 
 def _named():
@@ -80,11 +80,10 @@ def _inputs(t: Tables):
 def form_recovery(t: Tables):
     """States are read back from the completed texts."""
     regions, readings = _inputs(t)
-    done = keep.kept(forms.recover_forms(regions, readings, ["doc_id"], 3))
-    key = ["doc_id", "page", "region_id"]
-    cells = forms.numbered_cells(done, key, "text").where("label IS NOT NULL")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.concat("label", F.lit("="), F.coalesce("state", F.lit("?"))).alias("s")))), lambda x: x["s"]), ",")
-    return done.select(*key, "status", F.col("n_resolved").cast("bigint").alias("n_resolved")).join(cells.groupBy(*key).agg(said.alias("states")), key)
+    done = forms.recover_forms(regions, readings, ["doc_id"], 3)
+    cells = F.filter(forms.cells_of(F.col("text")), lambda c: c["label"].isNotNull())
+    said = F.array_join(F.transform(cells, lambda c: F.concat(c["label"], F.lit("="), F.coalesce(c["state"], F.lit("?")))), ",")
+    return done.select("doc_id", "page", "region_id", "status", F.col("n_resolved").cast("bigint").alias("n_resolved"), F.explode(F.filter(F.array(said), lambda s: s != "")).alias("states"))
 
 
 @query(f"""WITH {PLACED_SQL}, s AS (SELECT l_orderkey, l_linenumber AS n, (['office', 'participating', 'home health', 'nonparticipating', 'hospice', 'office'])[l_suppkey % 6 + 1] AS label, CASE l_partkey % 3 WHEN 1 THEN 'checked' WHEN 2 THEN 'unchecked' END AS own, CASE l_partkey % 5 % 3 WHEN 1 THEN 'checked' WHEN 2 THEN 'unchecked' END AS fine, l_suppkey % 2 = 0 AS blank, l_returnflag AS said FROM lines),
@@ -101,11 +100,10 @@ def merged_forms(t: Tables):
     lines = F.array_sort(F.collect_list(F.struct("l_linenumber", row(F.col("l_partkey") % 3, F.lit("Reason:"), F.lit(" ")).alias("own"), other.alias("other"))))
     whole = _lines(t).groupBy("l_orderkey").agg(lines.alias("l")).select("l_orderkey", F.array_join(F.transform("l", lambda x: x["own"]), "").alias("text"), F.array_join(F.transform("l", lambda x: x["other"]), "").alias("recovered"))
     done = forms.merge_forms(whole, ["l_orderkey"])
-    cells = forms.numbered_cells(done, ["l_orderkey"], "text")
-    state = F.when(F.col("label").isNotNull(), F.concat("label", F.lit("="), F.coalesce("state", F.lit("?")))).otherwise(F.col("said"))
-    parts = cells.where("cell % 3 <> 1").groupBy("l_orderkey", F.floor(F.col("cell") / 3).alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", state.alias("s")))), lambda x: x["s"]), " ").alias("p"))
-    told = parts.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "p"))), lambda x: x["p"]), ",").alias("states"))
-    return done.select("l_orderkey", "merge_status", F.col("n_merged").cast("bigint").alias("n_merged")).join(told, "l_orderkey")
+    state = lambda c: F.when(c["label"].isNotNull(), F.concat(c["label"], F.lit("="), F.coalesce(c["state"], F.lit("?")))).otherwise(c["said"])
+    of_line = lambda cells, k: F.transform(F.filter(cells, lambda c: c["cell"] % 3 == k), state)
+    told = text.bound(forms.cells_of(F.col("text")), lambda cells: F.array_join(F.zip_with(of_line(cells, 0), of_line(cells, 2), lambda a, b: F.concat(a, F.lit(" "), b)), ","))
+    return done.select("l_orderkey", "merge_status", F.col("n_merged").cast("bigint").alias("n_merged"), told.alias("states"))
 
 
 def _actions(k):
