@@ -9,6 +9,7 @@ import bisect
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,13 +152,49 @@ def covered_area(boxes: np.ndarray) -> float:
 
 
 def union_area(boxes: DataFrame, by: list[str]) -> DataFrame:
-    """Area of the union of each group's boxes."""
+    """Area of the union of each group's boxes. Groups stand whole and in order in their partition and are read as a stream, so that many small ones cost one batch."""
+    corners = ("x0", "y0", "x1", "y1")
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        return group[by].head(1).assign(union_area=covered_area(group[["x0", "y0", "x1", "y1"]].to_numpy(float)))
+    def run(batches):
+        held = None  # rows of the group that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [*held, batch])
+            if held is not None and _same_group(held[0].slice(0, 1), batch.slice(batch.num_rows - 1), by):
+                held.append(batch)  # one group so far: it is put together once, at its end
+                continue
+            starts = _group_starts(table, by)
+            held = table.slice(int(starts[-1])).to_batches()
+            if len(starts) > 1:
+                yield from areas(table.slice(0, int(starts[-1])), starts[:-1])
+        if held is not None:
+            yield from areas(pa.Table.from_batches(held), np.array([0]))
+
+    def areas(table: pa.Table, starts: np.ndarray):
+        xy = np.column_stack([table[c].to_numpy().astype(float) for c in corners])
+        found = [covered_area(xy[i:j]) for i, j in zip(starts, [*starts[1:], len(xy)])]
+        firsts = table.select(by).take(pa.array(starts))
+        yield from pa.Table.from_arrays([*firsts.columns, pa.array(found, pa.float64())], names=[*by, "union_area"]).to_batches()
 
     t = dict(boxes.dtypes)
-    return boxes.groupBy(*by).applyInPandas(fold, ", ".join(f"`{c}` {t[c]}" for c in by) + ", union_area double")
+    ordered = boxes.select(*by, *[F.col(c).cast("double").alias(c) for c in corners]).repartition(*by).sortWithinPartitions(*by)
+    return ordered.mapInArrow(run, ", ".join(f"`{c}` {t[c]}" for c in by) + ", union_area double")
+
+
+def _group_starts(table: pa.Table, by: list[str]) -> np.ndarray:
+    """First rows of runs of equal keys; nulls are equal."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in by:
+        column = table[c].combine_chunks()
+        codes = pc.fill_null(column.dictionary_encode().combine_chunks().indices if isinstance(column, pa.ChunkedArray) else column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _same_group(a: pa.RecordBatch, b: pa.RecordBatch, by: list[str]) -> bool:
+    return all(a.column(c).to_pylist() == b.column(c).to_pylist() for c in by)
 
 
 def covered_fraction(boxes: DataFrame, regions: DataFrame, by: list[str]) -> DataFrame:
