@@ -204,29 +204,43 @@ def covered_fraction(boxes: DataFrame, regions: DataFrame, by: list[str]) -> Dat
     return regions.join(union_area(cut, by), by, "left").select(*by, F.when(size > 0, F.coalesce("union_area", F.lit(0.0)) / size).otherwise(0.0).alias("covered"))
 
 
+class Grid:
+    """Columns that the cells of one table take, given by row and place. A cell that reaches below its row is one interval of columns with the
+    row behind it, so a span of any number of rows or columns takes one entry while it lasts."""
+
+    __slots__ = ("row", "column", "held", "next")
+
+    def __init__(self):
+        self.row, self.column, self.held, self.next = None, 0, [], 0  # held: spans (first column, column behind, row behind) by first column
+
+    def place(self, row: int, down: int, across: int) -> int:
+        """The first free column of the row for a cell of that many rows and columns; it may run over a span beside it."""
+        if row != self.row:
+            self.row, self.column, self.held, self.next = row, 0, [x for x in self.held if x[2] > row], 0
+        held, column, i = self.held, self.column, self.next
+        while i < len(held) and held[i][0] <= column:
+            column, i = max(column, held[i][1]), i + 1
+        if down > 1:
+            bisect.insort(held, (column, column + across, row + down))
+            i += 1
+        self.column, self.next = column + across, i
+        return column
+
+
 def place_cells(cells: DataFrame, by: list[str]) -> DataFrame:
     """Table cells (row, seq, row_span, col_span and more) put on the grid; a cell takes the first free column of its row, and may run over a span beside it.
 
-    Tables stand whole and in order in their partition and are read as a stream. A cell that reaches below its row is one interval of columns
-    with the row behind it, so a span of any number of rows or columns takes one entry while it lasts.
+    Tables stand whole and in order in their partition and are read as a stream.
     """
 
     def run(batches):
-        key, row, column, held = None, None, 0, []  # held: spans (first column, column behind, row behind) by first column
+        key, grid = None, Grid()
         for batch in batches:
             named, columns = {n: batch.column(n) for n in batch.schema.names}, []
             for k, r, down, across in zip(zip(*[named[b].to_pylist() for b in by]), *[named[n].to_pylist() for n in ("row", "row_span", "col_span")]):
                 if k != key:
-                    key, row, held = k, None, []
-                if r != row:
-                    row, column, held, i = r, 0, [x for x in held if x[2] > r], 0
-                while i < len(held) and held[i][0] <= column:
-                    column, i = max(column, held[i][1]), i + 1
-                columns.append(column)
-                if down > 1:
-                    bisect.insort(held, (column, column + across, r + down))
-                    i += 1
-                column += across
+                    key, grid = k, Grid()
+                columns.append(grid.place(r, down, across))
             yield pa.RecordBatch.from_arrays([*[named[b] for b in by], named["row"], pa.array(columns, pa.int64()), named["row_span"], named["col_span"], *[named[n] for n in rest]], names=[*by, "row", "column", "row_span", "col_span", *rest])
 
     t = dict(cells.dtypes)
