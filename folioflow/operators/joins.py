@@ -39,10 +39,13 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], bin_size: int
 
 
 def merged_intervals(spans: DataFrame, by: list[str]) -> DataFrame:
-    """Maximal runs of touching or overlapping intervals."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
+    """Maximal runs of touching or overlapping intervals; one without a start is a run of its own, behind the others.
+
+    Both windows read one sort, so that the order of equal intervals does not matter.
+    """
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w))
+    runs = spans.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
