@@ -41,11 +41,12 @@ def _html(state, label, apart: bool):
     return F.concat(F.lit("<tr><td>"), F.when(state == 1, "[x] ").when(state == 2, "[ ] ").otherwise(""), F.lit("<b>"), label, F.lit("</b></td><td>Reason:</td><td></td></tr>"))
 
 
-def _texts(options, name):
-    """One row a form with its text in the own and both other readings."""
-    forms_ = options.groupBy("l_orderkey", "region_id").agg(F.first("doc_id").alias("doc_id"), F.first("page").alias("page"), F.array_sort(F.collect_list(F.struct("n", "label", "own", "one", "two"))).alias("r"))  # an order is a page
-    whole = lambda c, apart: F.concat(F.lit("<table><TR><th>"), name, F.lit("</th></TR>"), F.array_join(F.transform("r", lambda x: _html(x[c], x["label"], apart)), "\n"), F.lit("</table>")).alias(c)
-    return forms_.select("doc_id", "page", "region_id", *[whole(c, apart) for c, apart in (("own", False), ("one", True), ("two", True))])
+def _texts(options, name, **columns):
+    """One row a form with its text in each reading; columns: name of a reading to its states and whether their marks stand apart. Rows of a form are written before they meet."""
+    rows = [_html(F.col(c), F.col("label"), apart).alias(c) for c, apart in columns.items()]
+    forms_ = options.select("l_orderkey", "doc_id", "page", "region_id", "n", *rows).groupBy("l_orderkey", "region_id").agg(F.first("doc_id").alias("doc_id"), F.first("page").alias("page"), F.array_sort(F.collect_list(F.struct("n", *columns))).alias("r"))  # an order is a page
+    whole = lambda c: F.concat(F.lit("<table><TR><th>"), name, F.lit("</th></TR>"), F.array_join(F.col("r")[c], "\n"), F.lit("</table>")).alias(c)
+    return forms_.select("doc_id", "page", "region_id", *map(whole, columns))
 
 
 def _named():
@@ -69,11 +70,11 @@ final AS (SELECT c.*, coalesce(status, 'complete') AS status, CASE WHEN status =
 
 def _inputs(t: Tables):
     """Pages without their second reading, with a form of another name, and with two forms of one name are among them."""
-    made = _texts(_options(t), _named())
+    options = _options(t)
     other = F.when((F.col("page") == 6) & (F.col("region_id") == "b"), F.replace("two", F.lit("Form b"), F.lit("Another"))).otherwise(F.col("two"))
     both = F.array(F.struct(F.lit(1).alias("reading"), F.col("one").alias("content")), F.struct(F.lit(2).alias("reading"), other.alias("content")))
-    readings = made.select("doc_id", "page", F.inline(both)).where("page <> 5 OR reading = 1")
-    return made.select("doc_id", "page", "region_id", F.lit("table").alias("type"), F.col("own").alias("text")), readings
+    readings = _texts(options, _named(), one=True, two=True).select("doc_id", "page", F.inline(both)).where("page <> 5 OR reading = 1")
+    return _texts(options, _named(), own=False).select("doc_id", "page", "region_id", F.lit("table").alias("type"), F.col("own").alias("text")), readings
 
 
 @query(f"""WITH {FORM_SQL} SELECT doc_id, page, region_id, any_value(status) AS status, CAST(any_value(n_resolved) AS BIGINT) AS n_resolved, string_agg(label || '=' || coalesce(now, '?'), ',' ORDER BY n) AS states FROM final GROUP BY doc_id, page, region_id""")
@@ -81,9 +82,8 @@ def form_recovery(t: Tables):
     """States are read back from the completed texts."""
     regions, readings = _inputs(t)
     done = forms.recover_forms(regions, readings, ["doc_id"], 3)
-    cells = F.filter(forms.cells_of(F.col("text")), lambda c: c["label"].isNotNull())
-    said = F.array_join(F.transform(cells, lambda c: F.concat(c["label"], F.lit("="), F.coalesce(c["state"], F.lit("?")))), ",")
-    return done.select("doc_id", "page", "region_id", "status", F.col("n_resolved").cast("bigint").alias("n_resolved"), F.explode(F.filter(F.array(said), lambda s: s != "")).alias("states"))
+    states = F.explode(F.filter(F.array(forms.said_options("text")), lambda s: s != ""))
+    return done.select("doc_id", "page", "region_id", "status", F.col("n_resolved").cast("bigint").alias("n_resolved"), states.alias("states"))
 
 
 @query(f"""WITH {PLACED_SQL}, s AS (SELECT l_orderkey, l_linenumber AS n, (['office', 'participating', 'home health', 'nonparticipating', 'hospice', 'office'])[l_suppkey % 6 + 1] AS label, CASE l_partkey % 3 WHEN 1 THEN 'checked' WHEN 2 THEN 'unchecked' END AS own, CASE l_partkey % 5 % 3 WHEN 1 THEN 'checked' WHEN 2 THEN 'unchecked' END AS fine, l_suppkey % 2 = 0 AS blank, l_returnflag AS said FROM lines),
